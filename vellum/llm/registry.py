@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import exact_dedup
+from vellum.llm import exact_dedup, minhash_dedup
 
 MODULES = {
+    "op1_minhash_near_dedup": minhash_dedup,
     "op10_exact_dedup": exact_dedup,
 }
 
