@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, exact_dedup, minhash_dedup
+from vellum.llm import decontamination, exact_dedup, minhash_dedup, packing
 
 MODULES = {
     "op1_minhash_near_dedup": minhash_dedup,
+    "op2_harmonic_packing": packing,
     "op7_decontamination": decontamination,
     "op10_exact_dedup": exact_dedup,
 }
