@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, exact_dedup, minhash_dedup, packing, quality
+from vellum.llm import decontamination, exact_dedup, minhash_dedup, packing, quality, toxicity
 
 MODULES = {
     "op1_minhash_near_dedup": minhash_dedup,
     "op2_harmonic_packing": packing,
     "op7_decontamination": decontamination,
     "op8_quality": quality,
+    "op9_toxicity": toxicity,
     "op10_exact_dedup": exact_dedup,
 }
 
