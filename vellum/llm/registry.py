@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, exact_dedup, minhash_dedup, packing, quality, toxicity
+from vellum.llm import decontamination, exact_dedup, line_templates, minhash_dedup, packing, quality, resharding, toxicity
 
 MODULES = {
     "op1_minhash_near_dedup": minhash_dedup,
     "op2_harmonic_packing": packing,
+    "op3_min_cost_resharding": resharding,
+    "op4_line_templates": line_templates,
     "op7_decontamination": decontamination,
     "op8_quality": quality,
     "op9_toxicity": toxicity,
