@@ -1,8 +1,66 @@
-"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
 
-STAGES = []
+Each stage takes what its predecessor kept and passes on the columns of documents; the last returns the pieces of the
+packed sequences. A stage's result is written and read again before the next begins, so a lost executor never
+costs more than a stage. Rows with a null id pass the filters by id as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.llm import decontamination, exact_dedup, minhash_dedup, packing, quality
+from vellum.llm.common import kept, read, small_side
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rejected ids; the rejected are the smaller side, broadcast when few enough."""
+    ids = kept(rejected.select("doc_id").filter("doc_id is not null").distinct(), "rejected")
+    return docs.join(small_side(ids, 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels of the given documents, accepts."""
+    scores = quality.score(docs, read(spark, sf_dir, "labels"))
+    return _without(docs, scores.filter(F.col("score") < quality.ACCEPT))
+
+
+def one_of_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return _without(docs, exact_dedup.exact_dedup(docs).filter("not kept"))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest id."""
+    return _without(docs, minhash_dedup.near_dedup(docs).filter("not kept"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter(F.size("spans") > 0))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact_dedup", one_of_exact_copies),
+    ("near_dedup", one_of_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: Classifier, tokenizer and near-duplicate links are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

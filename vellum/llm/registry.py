@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, exact_dedup, line_templates, minhash_dedup, packing, quality, resharding, toxicity
+import corpus_pipeline
+from vellum.llm import decontamination, exact_dedup, line_templates, minhash_dedup, packing, quality, resharding, suffix_dedup, toxicity, trie_counts
 
 MODULES = {
     "op1_minhash_near_dedup": minhash_dedup,
     "op2_harmonic_packing": packing,
     "op3_min_cost_resharding": resharding,
     "op4_line_templates": line_templates,
+    "op5_suffix_dedup": suffix_dedup,
+    "op6_trie_token_counts": trie_counts,
     "op7_decontamination": decontamination,
     "op8_quality": quality,
     "op9_toxicity": toxicity,
@@ -17,10 +20,9 @@ MODULES = {
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {name: module.query for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.SQL for name, module in MODULES.items() if getattr(module, "SQL", None)}
+    own = {name: module.SQL for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in own.items() if sql}
