@@ -1,0 +1,99 @@
+"""Sections, sentences and redundancy of prose. Everything is keyed by doc_id; no document is ever gathered in one row or task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from vellum.functions.scores import ratio
+from vellum.functions.text import ngrams, split_sentences, tokens
+
+GRAM, LEAST_COVERED = 8, 0.5
+
+
+def sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, sec, line): each line of a text plays the part of a section."""
+    return docs.select("doc_id", F.posexplode(F.split(text_col, "\n")).alias("sec", "line"))
+
+
+def sentences(parts: DataFrame) -> DataFrame:
+    """(doc_id, sec, sent, text, words) from sections (doc_id, sec, line)."""
+    split = parts.select("doc_id", "sec", F.posexplode(split_sentences(F.col("line"))).alias("sent", "text"))
+    return split.withColumn("words", tokens(F.col("text")))
+
+
+def outline(parts: DataFrame) -> DataFrame:
+    """(doc_id, sec, n_words, n_sentences): words between white space and sentences of each section."""
+    counted = parts.select("doc_id", "sec", split_sentences(F.col("line")).alias("s"))
+    words = F.aggregate("s", F.lit(0), lambda n, s: n + F.size(F.split(F.trim(s), r"\s+")))
+    return counted.select("doc_id", "sec", words.alias("n_words"), F.size("s").alias("n_sentences"))
+
+
+def gram_rows(sents: DataFrame, n: int = GRAM) -> DataFrame:
+    """(doc_id, sec, sent, at, h1, h2): each n-gram by two independent hashes."""
+    grams = sents.filter(F.size("words") >= n).select("doc_id", "sec", "sent", F.explode(ngrams(F.col("words"), n)).alias("g"))
+    return grams.select("doc_id", "sec", "sent", "g.at", F.xxhash64("g.gram").alias("h1"), F.hash("g.gram").alias("h2"))
+
+
+def repeated_grams(sents: DataFrame, n: int = GRAM) -> DataFrame:
+    """(doc_id, sec, sent, at, src_sec, src_sent): grams whose first occurrence in the document lies in another section.
+
+    Firsts are found by a map-side combined aggregate; only grams seen in two sections are joined back."""
+    rows = gram_rows(sents, n)
+    firsts = rows.groupBy("doc_id", "h1", "h2").agg(F.min(F.struct("sec", "sent", "at")).alias("first"), F.max("sec").alias("last_sec")).filter("last_sec > first.sec")
+    joined = rows.join(firsts, ["doc_id", "h1", "h2"]).filter("sec <> first.sec")
+    return joined.select("doc_id", "sec", "sent", "at", F.col("first.sec").alias("src_sec"), F.col("first.sent").alias("src_sent"))
+
+
+def flagged_sentences(sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
+    """(doc_id, sec, sent, text, n_tokens, covered, coverage, src_sec, src_sent, src_text): sentences mostly made of earlier sections' grams.
+
+    The source is the section with most shared grams, the one met first on a tie, and its earliest sentence among them."""
+    key = ["doc_id", "sec", "sent"]
+    hits = repeated_grams(sents, n)
+    step = F.col("at") - F.lag("at").over(W.partitionBy(*key).orderBy("at"))
+    covered = hits.withColumn("new", F.least(F.lit(n), F.coalesce(step, F.lit(n)))).groupBy(*key).agg(F.sum("new").alias("covered"))
+    by_source = hits.groupBy(*key, "src_sec").agg(F.count("*").alias("grams"), F.min("at").alias("met"), F.min_by("src_sent", "at").alias("src_sent"))
+    source = by_source.groupBy(*key).agg(F.max_by(F.struct("src_sec", "src_sent"), F.struct("grams", -F.col("met"))).alias("source")).select(*key, "source.*")
+    sized = sents.select(*key, "text", F.size("words").alias("n_tokens"))
+    flagged = sized.join(covered, key).withColumn("coverage", ratio(F.col("covered"), F.col("n_tokens"))).filter(F.col("coverage") >= least).join(source, key)
+    origin = sents.select("doc_id", F.col("sec").alias("src_sec"), F.col("sent").alias("src_sent"), F.col("text").alias("src_text"))
+    return flagged.join(origin, ["doc_id", "src_sec", "src_sent"])
+
+
+def macro_redundancy(docs: DataFrame, sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
+    """(doc_id, num, den, score, status) for every document; den counts the sentences of n tokens or more, score is null without any."""
+    key = ["doc_id", "sec", "sent"]
+    hits = repeated_grams(sents, n)
+    step = F.col("at") - F.lag("at").over(W.partitionBy(*key).orderBy("at"))
+    covered = hits.withColumn("new", F.least(F.lit(n), F.coalesce(step, F.lit(n)))).groupBy(*key).agg(F.sum("new").alias("covered"))
+    sized = sents.select(*key, F.size("words").alias("n_tokens")).filter(F.col("n_tokens") >= n)
+    units = sized.groupBy("doc_id").agg(F.count("*").alias("den"))
+    flagged = covered.join(sized, key).filter(ratio(F.col("covered"), F.col("n_tokens")) >= least).groupBy("doc_id").agg(F.count("*").alias("num"))
+    every = docs.select("doc_id").join(units, "doc_id", "left").join(flagged, "doc_id", "left")
+    num = F.when(F.col("den").isNotNull(), F.coalesce("num", F.lit(0)))
+    return every.select("doc_id", num.alias("num"), "den", ratio(num, F.col("den")).alias("score"), F.when(F.col("den").isNull(), "na").otherwise("done").alias("status"))
+
+
+def redundancy_edges(flagged: DataFrame) -> DataFrame:
+    """(doc_id, src_sec, sec, n): how many flagged sentences of a section come from which other one."""
+    return flagged.groupBy("doc_id", "src_sec", "sec").agg(F.count("*").alias("n"))
+
+
+def near_duplicate_sentences(sents: DataFrame, n: int = GRAM, least: float = 0.2) -> DataFrame:
+    """(doc_id, sec1, sent1, sec2, sent2, jaccard): sentences of different sections of a document that share a gram, by the overlap of their word sets.
+
+    The shared gram is an equality join on its hash within the document; sentences without one are never paired."""
+    grams = gram_rows(sents, n).select("doc_id", "sec", "sent", "h1", "h2").distinct()
+    shared = grams.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    a = grams.join(shared, ["doc_id", "h1", "h2"])
+    b = a.select("doc_id", "h1", "h2", F.col("sec").alias("sec2"), F.col("sent").alias("sent2"))
+    pairs = a.withColumnsRenamed({"sec": "sec1", "sent": "sent1"}).join(b, ["doc_id", "h1", "h2"]).filter("sec1 < sec2").select("doc_id", "sec1", "sent1", "sec2", "sent2").distinct()
+    words = sents.select("doc_id", "sec", "sent", F.array_distinct("words").alias("w"))
+    left = words.withColumnsRenamed({"sec": "sec1", "sent": "sent1", "w": "w1"})
+    right = words.withColumnsRenamed({"sec": "sec2", "sent": "sent2", "w": "w2"})
+    both = pairs.join(left, ["doc_id", "sec1", "sent1"]).join(right, ["doc_id", "sec2", "sent2"])
+    same = F.size(F.array_intersect("w1", "w2"))
+    both = both.withColumn("jaccard", ratio(same, F.size("w1") + F.size("w2") - same))
+    return both.filter(F.col("jaccard") >= least).select("doc_id", "sec1", "sent1", "sec2", "sent2", "jaccard")

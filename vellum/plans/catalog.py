@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.plans import prose_queries
+
+TABLES = [prose_queries.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Macro redundancy of every document."""
+    return prose_queries.macro_redundancy(spark, sf_dir)
+
+
+def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its small integers as BIGINT, as SQL counts them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind in ("int", "smallint", "tinyint")})
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _wide(query) for table in TABLES for name, (query, _) in table.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for table in TABLES for name, (_, sql) in table.items() if sql}
