@@ -75,7 +75,7 @@ def ngrams(words: Column, n: int = 8) -> Column:
 
 def named(text: Column, name: Column) -> Column:
     """True where the text holds the name as a whole word, whatever characters the name has."""
-    return F.concat(F.lit(" "), text, F.lit(" ")).rlike(F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), name, F.lit(r"\E(?![A-Za-z0-9])")))
+    return F.rlike(text, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), name, F.lit(r"\E(?![A-Za-z0-9])")))
 
 
 def identity(title: Column) -> Column:

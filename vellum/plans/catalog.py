@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.plans import prose_queries, table_queries
+from vellum.plans import fixture_queries, prose_queries, table_queries
 
-TABLES = [prose_queries.QUERIES, table_queries.QUERIES]
+TABLES = [prose_queries.QUERIES, table_queries.QUERIES, fixture_queries.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,241 @@
+"""Measures whose inputs no driver table carries, on literal rows that both engines read (class: fixture)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.operators import measures, spans, votes
+
+SECTIONS = ("doc_id long, sec int", [(1, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (4, 1)])
+OBJECTS = (
+    "doc_id long, id string, kind string, home int",
+    [(1, "s1", "section", 1), (1, "s2", "section", 2), (1, "s3", "section", 3), (1, "f1", "figure", 2), (1, "t1", "table", 3), (2, "s1", "section", 1), (2, "s2", "section", 2), (2, "f1", "figure", 1), (4, "e1", "equation", 1)],
+)
+POINTERS = (
+    "doc_id long, src int, target string, pos int",
+    [
+        (1, 0, "s1", 1), (1, 0, "s2", 2), (1, 0, "f1", 3), (1, 0, "s3", 4), (1, 0, "s1", 5), (1, 0, "s2", 6), (1, 2, "f1", 7), (1, 2, "t1", 8), (1, 1, "appendix:a", 9), (1, 2, "nowhere", 10), (1, 3, "s2", 11),
+        (2, 1, "s2", 1), (2, 1, "f1", 2), (2, 2, "f1", 3),
+    ],
+)
+DOCS = ("doc_id long, acknowledged boolean", [(1, False), (2, True), (3, False), (4, False), (5, False)])
+LABELS = (
+    "doc_id long, sent int, run int, label string",
+    [(1, s, r, x) for s, xs in ((1, "superiority superiority other"), (2, "other other other"), (3, "design_choice prior_limitation other"), (4, "prior_limitation prior_limitation prior_limitation"), (5, "other superiority superiority")) for r, x in enumerate(xs.split())]
+    + [(2, s, r, "superiority") for s in (1, 2) for r in range(3)]
+    + [(3, s, r, "other") for s in (1, 2, 3, 4) for r in range(3)],
+)
+SUPPORTS = ("doc_id long, claim int, support int", [(1, 1, 4), (1, 3, 2), (1, 4, 5), (1, 5, None), (2, 1, 2)])
+SENTENCES = (
+    "doc_id long, sec int, sent int, text string, keys string",
+    [
+        (1, 1, 0, "DetectGPT [cite] is known.", "a"), (1, 1, 1, "Similarly, others follow [cite].", "b"), (1, 1, 2, "A sentence without any work.", ""), (1, 1, 3, "Likewise, more follow [cite].", "c"),
+        (1, 1, 4, "Both are used [cite, cite].", "a,b"), (1, 1, 5, "It compares with DetectGPT in part [cite].", "b"), (1, 2, 0, "Unlike prior methods, it is fast [cite].", "d"), (1, 2, 1, "We extend prior methods [cite].", "d"),
+        (1, 2, 2, "The same work twice [cite].", "d,d"), (1, 9, 0, "Out of scope [cite].", "z"), (2, 1, 0, "No citation here.", ""), (3, 1, 0, "MetaGPT2 is studied [cite].", "q"),
+    ],
+)
+ROLES = ("doc_id long, sec int", [(1, 1), (1, 2), (1, 2), (2, 1), (3, 1)])
+NAMES = ("doc_id long, cite_key string, name string", [(1, "a", "DetectGPT"), (1, "e", "AI"), (1, "b", "ab"), (3, "q", "MetaGPT2")])
+TABLES = ("doc_id long, data_rows int, numeric_cells int", [(1, 2, 4), (1, 9, 90), (2, 2, 4), (3, 1, 9), (3, 5, 3), (4, 3, 5)])
+EXHIBITS = ("doc_id long, kind string", [(4, "caption"), (4, "quotation"), (3, "environment")])
+FIGURES = (
+    "doc_id long, index int, has_image boolean, caption string",
+    [(1, 0, True, "Results by size"), (1, 1, True, "Our approach"), (1, 2, True, "Overview of the system"), (1, 3, True, "Pipeline"), (2, 0, False, "Framework"), (2, 1, True, "Illustration of the idea"), (3, 0, True, "Losses")],
+)
+ELEMENTS = (
+    "doc_id long, run int, text string, role string",
+    [(1, 0, "Step 1", "label"), (1, 1, "(2) next", "label"), (1, 2, "Encoder", "label"), (1, 0, "Legend", "x"), (1, 1, "✓", "evaluative_mark"), (1, 2, "✗", "x"), (1, 0, " ", "example"), (2, 0, "Encoder", "label")],
+)
+KINDS = ["enumerated_stage", "notation_key", "evaluative_mark", "example", "result", "definition"]
+RESULTS = (
+    "doc_id long, key string, plane string, status string, score double",
+    [
+        (1, "cross_refs", "structure", "done", 1.0), (1, "macro_redundancy", "structure", "done", 0.0), (1, "argument_graph", "argument", "skipped", None), (1, "citation_isolation", "argument", "done", 0.5), (1, "figure_exposition", "artifacts", "na", None), (1, "evidence_gap", "artifacts", "na", None),
+        (2, "cross_refs", "structure", "done", 9 / 11), (2, "macro_redundancy", "structure", "done", 2 / 68), (2, "citation_isolation", "argument", "done", 5 / 9), (2, "evidence_gap", "artifacts", "done", 1.0), (2, "argument_graph", "argument", "skipped", None),
+        (3, "cross_refs", "structure", "done", 0.125), (3, "evidence_gap", "artifacts", "na", None), (4, "cross_refs", "structure", "error", None), (5, "evidence_gap", "artifacts", "done", 0.025),
+    ],
+)
+UNITS = ("item string, unit int, runs string", [("1-1", 1, "FAIL,FAIL,FAIL"), ("1-1", 2, "FAIL,PASS,PASS"), ("1-1", 3, "PASS"), ("1-1", 4, "PASS,PASS,UNRESOLVED"), ("1-2", 1, "NA,NA,FAIL"), ("1-2", 2, "UNRESOLVED,UNRESOLVED,UNRESOLVED"), ("1-2", 3, "PASS,PASS")])
+LAYOUT_EDGES = ("doc_id long, src int, target string", [(1, 1, "s2"), (1, 1, "s2"), (1, 2, "f1"), (1, 3, "f1"), (1, 2, "s2"), (1, 9, "s2"), (1, 1, "none"), (2, 1, "s2")])
+POINTS = ("page int, point string, kind string, x double, y double, column int", [(1, "p1", "figure", 0.0, 100.0, 0), (1, "p2", "figure", 0.0, 100.0, 1), (1, "p3", "table", 0.0, 700.0, 0), (2, "p4", "figure", 0.0, 0.0, 0)])
+ANCHORS = ("page int, anchor string, x double, y double, anchor_column int", [(1, "a1", 0.0, 90.0, 0), (1, "a2", 0.0, 130.0, 0), (1, "a3", 0.0, 500.0, 1), (1, "a4", 0.0, 650.0, 0), (2, "a5", 0.0, 800.0, 0)])
+GALLERY = (
+    "key string, title string, url string, created double, index int",
+    [("k1", "A Long Enough Title", None, 1.0, 50), ("k2", "a long-enough title!", None, 2.0, 60), ("k3", "Short", "https://arxiv.org/abs/2401.12345", 1.0, None), ("k4", "Brief", "https://arxiv.org/pdf/2401.12345v2", 3.0, 10), ("k5", "Short", None, 1.0, 20), ("k6", "A long enough TITLE", None, 2.0, 70)],
+)
+
+
+def _df(spark: SparkSession, fixture: tuple) -> DataFrame:
+    return spark.createDataFrame(fixture[1], fixture[0])
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+
+def _values(name: str, fixture: tuple) -> str:
+    fields = [f.split() for f in fixture[0].split(", ")]
+    kinds = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+    rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in fixture[1])
+    columns = ", ".join(f'CAST(c{i} AS {kinds[k]}) AS "{n}"' for i, (n, k) in enumerate(fields))
+    return f"{name} AS (SELECT {columns} FROM (VALUES {rows}) AS v({', '.join(f'c{i}' for i in range(len(fields)))}))"
+
+
+def _with(select: str, **fixtures: tuple) -> str:
+    return "WITH " + ", ".join(_values(n, f) for n, f in fixtures.items()) + " " + select
+
+
+def object_references(spark, sf_dir):
+    found = measures.object_references(_df(spark, SECTIONS), _df(spark, OBJECTS), _df(spark, POINTERS))
+    return found.select("doc_id", "id", "kind", "home", F.concat_ws(",", F.transform("sources", lambda s: s.cast("string"))).alias("sources"), "own")
+
+
+def cross_refs(spark, sf_dir):
+    return measures.cross_refs(_df(spark, DOCS), measures.object_references(_df(spark, SECTIONS), _df(spark, OBJECTS), _df(spark, POINTERS)))
+
+
+def argument_graph(spark, sf_dir):
+    labels = _df(spark, LABELS).groupBy("doc_id", "sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda r: r["label"]).alias("runs"))
+    return measures.argument_graph(_df(spark, DOCS), labels, _df(spark, SUPPORTS))
+
+
+def citation_isolation(spark, sf_dir):
+    cites = F.transform(F.filter(F.split("keys", ","), lambda k: k != ""), lambda k: F.array(k))
+    sents = _df(spark, SENTENCES).select("doc_id", "sec", "sent", "text", cites.alias("cites"))
+    roles = _df(spark, ROLES)
+    lexicon = measures.work_lexicon(sents.join(roles.distinct(), ["doc_id", "sec"], "left_semi"), _df(spark, NAMES))
+    return measures.citation_isolation(_df(spark, DOCS), measures.citing_sentences(sents, roles, lexicon))
+
+
+def figure_exposition(spark, sf_dir):
+    return measures.figure_exposition(_df(spark, DOCS), _df(spark, ELEMENTS), KINDS)
+
+
+def method_figure(spark, sf_dir):
+    return measures.method_figure(_df(spark, FIGURES))
+
+
+def evidence_gap(spark, sf_dir):
+    return measures.evidence_gap(_df(spark, DOCS), _df(spark, TABLES), _df(spark, EXHIBITS))
+
+
+def aggregate(spark, sf_dir):
+    return measures.aggregate(_df(spark, RESULTS)).withColumn("score", F.round("score", 12))
+
+
+def plane_scores(spark, sf_dir):
+    return measures.plane_scores(_df(spark, RESULTS)).withColumn("score", F.round("score", 12))
+
+
+def registry_tally(spark, sf_dir):
+    units = _df(spark, UNITS).withColumn("final", votes.verdict(F.split("runs", ",")))
+    return votes.score_and_coverage(units, ["item"], F.col("final"))
+
+
+def layout_edges(spark, sf_dir):
+    """Section pairs by their number of pointers; ends that no object resolves are dropped."""
+    homes = _df(spark, OBJECTS).select("doc_id", F.col("id").alias("target"), "home")
+    known = _df(spark, SECTIONS).select("doc_id", F.col("sec").alias("src"))
+    return _df(spark, LAYOUT_EDGES).join(homes, ["doc_id", "target"]).join(known, ["doc_id", "src"], "left_semi").groupBy("doc_id", "src", "home").agg(F.count("*").alias("n")).withColumn("loop", F.col("src") == F.col("home"))
+
+
+def nearest_anchor(spark, sf_dir):
+    return spans.nearest(_df(spark, POINTS), _df(spark, ANCHORS), ["page"])
+
+
+def gallery(spark, sf_dir):
+    """The newest analysis of each paper, papers being equal by title, or else by address, or else by key."""
+    title = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
+    arxiv = F.regexp_extract("url", r"arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})", 1)
+    ident = F.when(F.length(F.substring(title, 1, 80)) >= 12, F.concat(F.lit("t:"), F.substring(title, 1, 80))).when(arxiv != "", F.concat(F.lit("arxiv:"), arxiv)).otherwise(F.concat(F.lit("k:"), F.col("key")))
+    return votes.newest(_df(spark, GALLERY).withColumn("ident", ident), ["ident"], "created", "key").select("key", "ident", "index")
+
+
+_RATIO = "SELECT doc_id, CAST(n AS DOUBLE) AS num, CAST(d AS BIGINT) AS den, n / nullif(d, 0) AS score, CASE WHEN coalesce(d, 0) = 0 THEN 'na' ELSE 'done' END AS status FROM docs LEFT JOIN c USING (doc_id)"
+_ROAD = """, first AS (SELECT doc_id, min(sec) AS f FROM sections GROUP BY doc_id),
+own AS (SELECT p.doc_id, p.pos, coalesce(o.home > f, false) AS forward, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) AS n FROM pointers p JOIN first ON first.doc_id = p.doc_id AND src = f LEFT JOIN objects o ON o.doc_id = p.doc_id AND o.id = p.target AND o.kind = 'section'),
+run AS (SELECT doc_id, pos, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM own WHERE forward),
+best AS (SELECT doc_id, r FROM run GROUP BY doc_id, r HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(n)) = 1),
+road AS (SELECT run.doc_id, f AS src, pos FROM run JOIN best USING (doc_id, r) JOIN first USING (doc_id)),
+used AS (SELECT * FROM pointers WHERE target NOT LIKE 'appendix:%' AND (doc_id, src, pos) NOT IN (SELECT doc_id, src, pos FROM road)),
+refs AS (SELECT o.doc_id, o.id, o.kind, o.home, coalesce(string_agg(DISTINCT CAST(src AS VARCHAR), ',' ORDER BY CAST(src AS VARCHAR)) FILTER (WHERE src <> home), '') AS sources, count(*) FILTER (WHERE src = home) AS own
+         FROM objects o LEFT JOIN used u ON u.doc_id = o.doc_id AND u.target = o.id GROUP BY o.doc_id, o.id, o.kind, o.home)"""
+_FINAL = """SELECT item, unit, CASE WHEN n < 2 OR (f > 0 AND p > 0) THEN 'U' WHEN f * 2 > n THEN 'F' WHEN p * 2 > n THEN 'P' WHEN na * 2 > n THEN 'N' ELSE 'U' END AS v
+FROM (SELECT item, unit, len(r) AS n, len([x FOR x IN r IF x = 'FAIL']) AS f, len([x FOR x IN r IF x = 'PASS']) AS p, len([x FOR x IN r IF x = 'NA']) AS na FROM (SELECT *, string_split(runs, ',') AS r FROM units))"""
+
+QUERIES = {
+    "object_references_fixture": (object_references, _with(_ROAD + " SELECT doc_id, id, kind, CAST(home AS BIGINT) AS home, sources, own FROM refs", sections=SECTIONS, objects=OBJECTS, pointers=POINTERS)),
+    "cross_refs_fixture": (cross_refs, _with(_ROAD + ", c AS (SELECT doc_id, count(*) FILTER (WHERE sources = '') AS n, count(*) AS d FROM refs GROUP BY doc_id) " + _RATIO, docs=DOCS, sections=SECTIONS, objects=OBJECTS, pointers=POINTERS)),
+    "argument_graph_fixture": (
+        argument_graph,
+        _with(
+            """, k AS (SELECT doc_id, sent, label, count(*) AS n, min(run) AS first FROM labels GROUP BY doc_id, sent, label),
+            w AS (SELECT doc_id, sent, CASE WHEN count(*) FILTER (WHERE n = most) = 1 THEN arg_max(label, n) ELSE arg_min(label, first) END AS label FROM (SELECT *, max(n) OVER (PARTITION BY doc_id, sent) AS most FROM k) GROUP BY doc_id, sent, most),
+            c AS (SELECT doc_id, count(*) FILTER (WHERE support > claim) AS n, count(*) AS d FROM w JOIN supports USING (doc_id) WHERE claim = sent AND support IS NOT NULL AND label IN ('superiority', 'prior_limitation', 'design_choice')
+                  AND doc_id IN (SELECT doc_id FROM w GROUP BY doc_id HAVING count(*) >= 4) GROUP BY doc_id) """ + _RATIO,
+            docs=DOCS, labels=LABELS, supports=SUPPORTS,
+        ),
+    ),
+    # Read off the literal sentences by hand: isolated are (1,1,0), (1,1,3), (1,2,1), (1,2,2) of eight, and the only one of document 3.
+    "citation_isolation_fixture": (
+        citation_isolation,
+        _with("SELECT doc_id, num, den, num / den AS score, CASE WHEN den IS NULL THEN 'na' ELSE 'done' END AS status, coalesce(den < 8, false) AS weak FROM docs LEFT JOIN expected USING (doc_id)", docs=DOCS, expected=("doc_id long, num double, den long", [(1, 4.0, 8), (3, 1.0, 1)])),
+    ),
+    "figure_exposition_fixture": (
+        figure_exposition,
+        _with(
+            """, k AS (SELECT doc_id, run, unnest([role, CASE WHEN regexp_matches(trim(text), '(?i)^\\s*(\\(?\\d+\\)|(stage|step|phase|round)\\s*[0-9IVX]+)') THEN 'enumerated_stage' WHEN regexp_matches(trim(text), '(?i)\\b(legend|denotes?)\\b') THEN 'notation_key' WHEN regexp_matches(trim(text), '[✓✗]') THEN 'evaluative_mark' END]) AS kind FROM elements WHERE trim(text) <> ''),
+            p AS (SELECT doc_id, kind FROM k WHERE kind IN ('enumerated_stage', 'notation_key', 'evaluative_mark', 'example', 'result', 'definition') GROUP BY doc_id, kind HAVING count(DISTINCT run) * 2 > 3),
+            c AS (SELECT e.doc_id, count(DISTINCT p.kind) AS n, 6 AS d FROM (SELECT DISTINCT doc_id FROM elements) e LEFT JOIN p USING (doc_id) GROUP BY e.doc_id) """ + _RATIO,
+            docs=DOCS, elements=ELEMENTS,
+        ),
+    ),
+    "method_figure_fixture": (method_figure, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT), CAST(2 AS BIGINT)), (2, 1, 1)) AS v(doc_id, \"index\", gate)"),
+    "evidence_gap_fixture": (
+        evidence_gap,
+        _with(
+            """, t AS (SELECT DISTINCT doc_id, 1 AS d FROM tables_ WHERE data_rows >= 2 AND numeric_cells >= 4), e AS (SELECT DISTINCT doc_id, true AS shown FROM exhibits),
+            c AS (SELECT doc_id, CASE WHEN d IS NULL THEN NULL WHEN shown THEN 0 WHEN acknowledged THEN 0.5 ELSE 1 END AS n, d FROM docs LEFT JOIN t USING (doc_id) LEFT JOIN e USING (doc_id))
+            SELECT doc_id, CAST(n AS DOUBLE) AS num, CAST(d AS BIGINT) AS den, CAST(n / d AS DOUBLE) AS score, CASE WHEN d IS NULL THEN 'na' ELSE 'done' END AS status FROM c""",
+            docs=DOCS, tables_=TABLES, exhibits=EXHIBITS,
+        ),
+    ),
+    "plane_scores_fixture": (plane_scores, _with("SELECT doc_id, plane, round(avg(score) FILTER (WHERE status = 'done'), 12) AS score, count(score) FILTER (WHERE status = 'done') AS items FROM results GROUP BY doc_id, plane", results=RESULTS)),
+    "aggregate_fixture": (
+        aggregate,
+        _with(
+            """, p AS (SELECT doc_id, plane, avg(score) FILTER (WHERE status = 'done') AS s FROM results GROUP BY doc_id, plane), a AS (SELECT doc_id, avg(s) AS score FROM p GROUP BY doc_id)
+            SELECT doc_id, round(score, 12) AS score, CAST(round_even(score * 100, 0) AS BIGINT) AS "index", (SELECT bool_or(status IN ('skipped', 'error')) FROM results r WHERE r.doc_id = a.doc_id) AS partial FROM a""",
+            results=RESULTS,
+        ),
+    ),
+    "registry_tally_fixture": (
+        registry_tally,
+        _with(f", v AS ({_FINAL}), c AS (SELECT item, count(*) FILTER (WHERE v = 'F') AS f, count(*) FILTER (WHERE v = 'P') AS p, count(*) FILTER (WHERE v = 'U') AS u FROM v GROUP BY item) SELECT *, f / nullif(f + p, 0) AS score, (f + p) / nullif(f + p + u, 0) AS coverage FROM c", units=UNITS),
+    ),
+    "layout_edges_fixture": (
+        layout_edges,
+        _with(
+            "SELECT e.doc_id, CAST(src AS BIGINT) AS src, CAST(home AS BIGINT) AS home, count(*) AS n, src = home AS loop FROM edges e JOIN objects o ON o.doc_id = e.doc_id AND o.id = e.target WHERE (e.doc_id, src) IN (SELECT doc_id, sec FROM sections) GROUP BY e.doc_id, src, home",
+            edges=LAYOUT_EDGES, objects=OBJECTS, sections=SECTIONS,
+        ),
+    ),
+    "nearest_anchor_fixture": (
+        nearest_anchor,
+        _with(
+            """, d AS (SELECT p.page, point, anchor, abs(a.y - p.y) + CASE WHEN "column" <> anchor_column THEN 400 ELSE 0 END AS d FROM points p JOIN anchors a USING (page) WHERE a.y - p.y >= CASE WHEN kind = 'table' THEN -60 ELSE -14 END)
+            SELECT CAST(page AS BIGINT) AS page, point, anchor FROM d WHERE d <= 760 QUALIFY row_number() OVER (PARTITION BY page, point ORDER BY d, anchor) = 1""",
+            points=POINTS, anchors=ANCHORS,
+        ),
+    ),
+    "gallery_fixture": (
+        gallery,
+        _with(
+            """, i AS (SELECT *, left(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 80) AS t, regexp_extract(url, 'arxiv\\.org/(?:abs|pdf)/(\\d{4}\\.\\d{4,5})', 1) AS a FROM gallery),
+            k AS (SELECT key, created, "index", CASE WHEN length(t) >= 12 THEN 't:' || t WHEN a <> '' THEN 'arxiv:' || a ELSE 'k:' || key END AS ident FROM i)
+            SELECT key, ident, CAST("index" AS BIGINT) AS "index" FROM k QUALIFY row_number() OVER (PARTITION BY ident ORDER BY created DESC, key DESC) = 1""",
+            gallery=GALLERY,
+        ),
+    ),
+}
