@@ -1,0 +1,38 @@
+from pyspark.sql import functions as F
+
+from vellum.functions import scores, text
+
+
+def _one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column).first()[0]
+
+
+def test_sentences(spark):
+    cut = lambda s: _one(spark, text.split_sentences(F.col("t")), t=s)
+    assert cut("See Fig. 2 for it. Next one? \"Yes.\" It is 3.5 long.") == ["See Fig. 2 for it.", "Next one?", '"Yes.', "It is 3.5 long."]
+    assert cut("J. A. Smith came. e.g. This") == ["J.", "A. Smith came.", "e.g. This"]
+    assert cut("First.\n\nSecond") == ["First.", "Second"]
+    assert cut("") == []
+
+
+def test_tokens(spark):
+    assert _one(spark, text.tokens(F.col("t")), t="It's [cite] café state-of-the-art 3.5") == ["it's", "[cite]", "caf", "state-of-the-art", "3", "5"]
+
+
+def test_ngrams(spark):
+    grams = lambda n: len(_one(spark, text.ngrams(F.split("t", " ")), t=" ".join(map(str, range(n)))))
+    assert [grams(n) for n in (1, 7, 8, 10)] == [0, 0, 1, 3]
+
+
+def test_names_are_literal(spark):
+    assert _one(spark, text.named(F.col("t"), F.col("n")), t="uses C++(x) now", n="C++(x)")
+    assert not _one(spark, text.named(F.col("t"), F.col("n")), t="uses XNames", n="Name")
+
+
+def test_scores(spark):
+    df = spark.createDataFrame([(0.125,), (0.025,), (0.004,), (None,)], "s double")
+    assert [r[0] for r in df.select(scores.index_of(F.col("s"))).collect()] == [12, 2, 0, None]
+    assert [r[0] for r in df.select(scores.shown(F.col("s"))).collect()] == ["13", "3", "<1", None]
+    assert [r[0] for r in spark.range(0, 80, 20).select(scores.band(F.col("id"))).collect()] == ["Low", "Moderate", "High", "Very high"]
+    assert _one(spark, scores.truncated(F.col("t"), 3), t="abcd") == "abc…"
+    assert _one(spark, scores.initials(F.col("t")), t="ada  lovelace king") == "AL"
