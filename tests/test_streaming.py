@@ -30,18 +30,16 @@ def test_exact_limiter_on_a_stream(spark, tmp_path):
     for n, at in enumerate(range(0, len(rows), 300)):
         spark.createDataFrame(rows[at : at + 300], "key string, event_id long, ts double").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     source = spark.readStream.schema("key string, event_id long, ts double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = jobs.rate_limited_stream(source, 3600, 4).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").start()
-    query.processAllAvailable()
-    query.stop()
+    query = jobs.rate_limited_stream(source, 3600, 4).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert {r.event_id: r.accepted for r in spark.table("limited").collect()} == _expected(rows, 3600, 4)
 
 
 def test_daily_counts(spark, tmp_path):
     rows = [("a", "2025-01-01 10:00:00"), ("a", "2025-01-01 11:00:00"), ("b", "2025-01-02 00:00:00"), ("a", "bad")]
     spark.createDataFrame(rows, ["kind", "at"]).write.json(f"{tmp_path}/log")
-    query = jobs.daily_stream(spark, f"{tmp_path}/log").writeStream.outputMode("complete").format("memory").queryName("daily").start()
-    query.processAllAvailable()
-    query.stop()
+    query = jobs.daily_stream(spark, f"{tmp_path}/log").writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert {(str(r.day), r.kind, r.n) for r in spark.table("daily").collect()} >= {("2025-01-01", "a", 2), ("2025-01-02", "b", 1)}
 
 

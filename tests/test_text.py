@@ -10,7 +10,7 @@ def _one(spark, column, **values):
 def test_sentences(spark):
     cut = lambda s: _one(spark, text.split_sentences(F.col("t")), t=s)
     assert cut("See Fig. 2 for it. Next one? \"Yes.\" It is 3.5 long.") == ["See Fig. 2 for it.", "Next one?", '"Yes.', "It is 3.5 long."]
-    assert cut("J. A. Smith came. e.g. This") == ["J.", "A. Smith came.", "e.g. This"]
+    assert cut("J. A. Smith came. e.g. This") == ["J.", "A. Smith came. e.g. This"]
     assert cut("First.\n\nSecond") == ["First.", "Second"]
     assert cut("") == []
 
