@@ -29,6 +29,7 @@ def test_exact_limiter_on_a_stream(spark, tmp_path):
     rows = sorted(_rows(), key=lambda r: r[2])
     for n, at in enumerate(range(0, len(rows), 300)):
         spark.createDataFrame(rows[at : at + 300], "key string, event_id long, ts double").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches for timeouts never end
     source = spark.readStream.schema("key string, event_id long, ts double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = jobs.rate_limited_stream(source, 3600, 4).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
