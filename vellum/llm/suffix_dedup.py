@@ -3,8 +3,9 @@
 A window of 200 bytes chooses its trigger, the gram in it with the least rolling hash, so the choice follows from the
 window's bytes alone. Consecutive windows with the same trigger form a phrase. Equal windows lie in phrases with the same trigger,
 so the dictionary of phrases, with counts, decides most of the text: a phrase whose trigger occurs once holds nothing
-that repeats, and a phrase that itself occurs twice repeats throughout. Only phrases that share a trigger without being
-equal, as at the ends of a repeat, are resolved window by window. What is asked of the suffix order is which suffixes
+that repeats, and a phrase that itself occurs twice repeats throughout. Phrases that share a trigger without being
+equal, as at the ends of a repeat, are cut into parts that are compared in the same way, and only parts that share
+their core without being equal are resolved window by window. What is asked of the suffix order is which suffixes
 agree in their first 200 bytes; those are neighbours in it, and here they are grouped by a hash of that prefix within their
 trigger, so no order of the whole corpus is sorted. Texts are parsed in segments, so memory does not grow with a text.
 
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import kept, read, small_side
 
 WIDTH, GRAM, SEGMENT = 200, 40, 1 << 18
+#: Windows of a part of a phrase.
+PART = 16
+#: Bytes up to which a counted side of a join is broadcast here.
+BROADCAST = 48 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -55,7 +60,7 @@ _BYTE_VALUES = [int.from_bytes(sha256(bytes([i])).digest()[:8], "little") for i
 
 
 def phrases(raw: bytes, roller: Roller, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(trigger, content, start, windows) arrays of the phrases of each segment."""
+    """(trigger, content, start, windows, left) arrays of the phrases of each segment; the trigger begins `left` bytes after the start."""
     every = np.frombuffer(raw, np.uint8)
     for at in range(0, max(0, len(raw) - width + 1), SEGMENT):
         part = every[at : at + SEGMENT + width - 1]
@@ -75,7 +80,7 @@ def phrases(raw: bytes, roller: Roller, width: int = WIDTH, gram: int = GRAM) ->
         windows = np.diff(np.append(start, len(place)))
         place = place[start]
         content = roller.hashes(sums, start, start + windows + width - 1) + (place - start).astype(np.uint64) * np.uint64(_BASE) + windows.astype(np.uint64)
-        yield grams[place].view(np.int64), content.view(np.int64), start + at, windows
+        yield grams[place].view(np.int64), content.view(np.int64), start + at, windows, place - start
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -84,68 +89,123 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def dictionary_records(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(key, size, trigger, content, start, windows) per phrase."""
+    """(key, size, trigger, content, start, windows, left) per phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(width)
         for batch in batches:
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for trigger, content, start, windows in phrases((text or "").encode(), roller, width, gram):
+                for trigger, content, start, windows, left in phrases((text or "").encode(), roller, width, gram):
                     n = len(start)
                     same = [pa.array(np.full(n, batch.column(c)[i].as_py())) for c in (0, 1)]
                     yield pa.RecordBatch.from_arrays(
-                        [same[0].cast(pa.int64()), same[1].cast(pa.int32()), pa.array(trigger), pa.array(content), pa.array(start).cast(pa.int32()), pa.array(windows).cast(pa.int32())], names=["key", "size", "trigger", "content", "start", "windows"]
+                        [same[0].cast(pa.int64()), same[1].cast(pa.int32()), pa.array(trigger), pa.array(content), pa.array(start).cast(pa.int32()), pa.array(windows).cast(pa.int16()), pa.array(left).cast(pa.int16())],
+                        names=["key", "size", "trigger", "content", "start", "windows", "left"],
                     )
 
-    return docs.select("key", "size", "text").mapInArrow(run, "key long, size int, trigger long, content long, start int, windows int")
+    return docs.select("key", "size", "text").mapInArrow(run, "key long, size int, trigger long, content long, start int, windows smallint, left smallint")
+
+
+def _located(docs: DataFrame, asked: DataFrame, run, schema: str) -> DataFrame:
+    """Runs over (key, size, text, asked) rows, asked being the list of all rows of `asked` for that text."""
+    names = [c for c in asked.columns if c not in ("key", "size")]
+    asked = kept(asked.groupBy("key", "size").agg(F.collect_list(F.struct(*names)).alias("asked")), "asked")
+    listed = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    asked = F.broadcast(asked) if listed * 8 * (len(names) + 2) <= BROADCAST else asked
+    return docs.join(asked, ["key", "size"]).select("key", "size", "text", "asked").mapInArrow(run, schema)
+
+
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for whole in batches:
+        for at in range(0, len(whole), 64):
+            yield from zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True)
+
+
+def _parts(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(core, full, key, size, start, windows, count) of the asked phrases cut into parts of up to PART windows.
+
+    Parts are aligned to the trigger. The core is what all windows of a part have in common, so windows of two phrases
+    can only be equal where the cores of their parts are; where the full parts are equal, all their windows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller = Roller(width, 4 * width)
+        for key, size, text, asked_ in _each_text(batches):
+            raw, out = np.frombuffer(text.encode(), np.uint8), []
+            for p in asked_:
+                sums = roller.sums(raw[p["start"] : p["start"] + p["windows"] + width - 1])
+                # Windows are numbered by the bytes they reach to the left of the trigger: most in the first.
+                most, least = p["left"], p["left"] - p["windows"] + 1
+                part = np.arange(least // PART, most // PART + 1)
+                high, low = np.minimum(most, part * PART + PART - 1), np.maximum(least, part * PART)
+                core = roller.hashes(sums, p["left"] - part * PART, p["left"] - part * PART - PART + width + 1)
+                full = roller.hashes(sums, p["left"] - high, p["left"] - low + width)
+                salt = np.uint64(p["trigger"] & (2**64 - 1)) + part.astype(np.uint64) * np.uint64(_BASE)
+                out.append((core ^ salt * np.uint64(_INVERSE), full + (high * 512 + low + 256).astype(np.uint64) * np.uint64(_BASE), p["start"] + p["left"] - high, high - low + 1, np.full(len(part), p["count"])))
+            core, full, start, windows, count = (np.concatenate(x) for x in zip(*out, strict=True))
+            n = len(core)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(np.full(n, key)), pa.array(np.full(n, size)).cast(pa.int32()), pa.array(start).cast(pa.int32()), pa.array(windows).cast(pa.int16()), pa.array(count)],
+                names=["core", "full", "key", "size", "start", "windows", "count"],
+            )
+
+    return _located(docs, asked, run, "core long, full long, key long, size int, start int, windows smallint, count long")
 
 
 def _windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """(trigger, prefix, key, size, start, count) of every window of the asked phrases."""
-    asked = asked.groupBy("key", "size").agg(F.collect_list(F.struct("trigger", "start", "windows", "count")).alias("asked"))
-    joined = docs.join(small_side(kept(asked, "asked"), 256), ["key", "size"])
+    """(core, prefix, key, size, start, count) of every window of the asked parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(width, 4 * width)
-        for batch in batches:
-            for key, size, text, phrases_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, out = np.frombuffer(text.encode(), np.uint8), []
-                for p in phrases_:
-                    n = p["windows"]
-                    sums = roller.sums(raw[p["start"] : p["start"] + n + width - 1])
-                    prefix = roller.hashes(sums, slice(0, n), slice(width, width + n)).view(np.int64)
-                    out.append((np.full(n, p["trigger"]), prefix, np.arange(p["start"], p["start"] + n), np.full(n, p["count"])))
-                trigger, prefix, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
-                n = len(start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(trigger), pa.array(prefix), pa.array(np.full(n, key)), pa.array(np.full(n, size)).cast(pa.int32()), pa.array(start).cast(pa.int32()), pa.array(count)], names=["trigger", "prefix", "key", "size", "start", "count"]
-                )
-
-    return joined.select("key", "size", "text", "asked").mapInArrow(run, "trigger long, prefix long, key long, size int, start int, count long")
+        for key, size, text, asked_ in _each_text(batches):
+            raw, out = np.frombuffer(text.encode(), np.uint8), []
+            for p in asked_:
+                n = p["windows"]
+                sums = roller.sums(raw[p["start"] : p["start"] + n + width - 1])
+                prefix = roller.hashes(sums, slice(0, n), slice(width, width + n)).view(np.int64)
+                out.append((np.full(n, p["core"]), prefix, np.arange(p["start"], p["start"] + n), np.full(n, p["count"])))
+            core, prefix, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
+            n = len(start)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core), pa.array(prefix), pa.array(np.full(n, key)), pa.array(np.full(n, size)).cast(pa.int32()), pa.array(start).cast(pa.int32()), pa.array(count)], names=["core", "prefix", "key", "size", "start", "count"]
+            )
+
+    return _located(docs, asked, run, "core long, prefix long, key long, size int, start int, count long")
+
+
+def _several(df: DataFrame, by: str) -> DataFrame:
+    return df.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1").select(by)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(key, size, first, last) byte ranges, last exclusive, that together cover every window that starts anywhere else too; docs has key, size and text."""
+    span = lambda df: df.select("key", "size", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (width - 1)).alias("last"))
     records = kept(dictionary_records(docs, width, gram), "phrases")
-    triggers = small_side(kept(records.groupBy("trigger").agg(F.count("*").alias("n")).filter("n > 1").select("trigger"), "triggers"), 16)
+    triggers = small_side(kept(_several(records, "trigger"), "triggers"), 16, BROADCAST)
     shared = kept(records.join(triggers, "trigger", "left_semi"), "shared")
-    classes = kept(shared.groupBy("trigger", "content").agg(F.count("*").alias("count"), F.min(F.struct("key", "size", "start", "windows")).alias("one")), "classes")
-    several = small_side(kept(classes.filter("count > 1").select("trigger", "content"), "several"), 24)
-    last = F.col("start") + F.col("windows") + (width - 1)
-    whole = shared.join(several, ["trigger", "content"], "left_semi").select("key", "size", F.col("start").alias("first"), last.alias("last"))
-    mixed = classes.groupBy("trigger").agg(F.count("*").alias("n")).filter("n > 1").select("trigger")
-    asked = classes.join(mixed, "trigger", "left_semi").select("trigger", "count", "one.*")
-    windows = kept(_windows(docs, asked, width), "windows")
-    repeats = windows.groupBy("trigger", "prefix").agg(F.sum("count").alias("n")).filter("n > 1").select("trigger", "prefix")
-    single = windows.filter("count = 1").join(repeats, ["trigger", "prefix"], "left_semi")
-    return whole.unionByName(single.select("key", "size", F.col("start").alias("first"), (F.col("start") + width).alias("last")))
+    # Phrases that are equal throughout.
+    classes = kept(shared.groupBy("trigger", "content").agg(F.count("*").alias("count"), F.min(F.struct("key", "size", "start", "windows", "left")).alias("one")), "classes")
+    several = small_side(kept(classes.filter("count > 1").select("trigger", "content"), "several"), 24, BROADCAST)
+    whole = span(shared.join(several, ["trigger", "content"], "left_semi"))
+    # Parts that are equal throughout, of phrases that share a trigger.
+    parts = kept(_parts(docs, classes.join(_several(classes, "trigger"), "trigger", "left_semi").select("trigger", "count", "one.*"), width), "parts")
+    cores = kept(_several(parts, "core"), "cores")
+    parts = kept(parts.join(small_side(cores, 16, BROADCAST), "core", "left_semi"), "shared-parts")
+    variants = kept(parts.groupBy("core", "full").agg(F.sum("count").alias("count"), F.min(F.struct("key", "size", "start", "windows")).alias("one")), "variants")
+    equal = span(parts.filter("count = 1").join(variants.filter("count > 1").select("core", "full"), ["core", "full"], "left_semi"))
+    # Single windows, of parts that share a core.
+    windows = kept(_windows(docs, variants.join(_several(variants, "core"), "core", "left_semi").select("core", "count", "one.*"), width), "windows")
+    repeats = windows.groupBy("core", "prefix").agg(F.sum("count").alias("n")).filter("n > 1").select("core", "prefix")
+    single = windows.filter("count = 1").join(repeats, ["core", "prefix"], "left_semi").withColumn("windows", F.lit(1))
+    return whole.unionByName(equal).unionByName(span(single))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept holds the bytes that stay, which need not be valid UTF-8."""
     docs = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     spans = repeated_spans(docs, width, gram).groupBy("key", "size").agg(F.array_distinct(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    joined = docs.join(small_side(kept(spans, "spans"), 256), ["key", "size"], "left").select("doc_id", "text", "spans")
+    spans = kept(spans, "spans")
+    listed = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    joined = docs.join(F.broadcast(spans) if listed * 32 <= BROADCAST else spans, ["key", "size"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
