@@ -14,8 +14,9 @@ packed one by one; a null id stays null; further columns are ignored; an empty t
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from itertools import chain
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import kept, read
 
 #: Distinct white-space-free chunks whose ids a task remembers at a time, and bytes of text that it encodes at a time.
-CHUNK_CACHE, ENCODE_BYTES = 200_000, 1 << 20
+CHUNK_CACHE, ENCODE_BYTES = 500_000, 1 << 20
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -38,24 +39,57 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkEncoder:
-    """Ids of whole texts from the ids of their chunks between ASCII white space, for tokenizers that drop white space and never join across it."""
+    """Ids of whole texts from the ids of their chunks, for byte-level tokenizers that drop case and white space.
+
+    Chunks lie between ASCII white space, and commas and stops between letters, digits and blanks are chunks too: no
+    token reaches across these. A chunk of lower-case letters is one pre-token, so the model alone encodes it."""
 
     def __init__(self, path: str, end_id: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), end_id, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model, self.end = self.tokenizer.model, np.uint32(end_id).tobytes()
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.symbols = [chr(i) if i in plain else chr(next(others)) for i in range(256)]  # what byte-level models read for each byte
+        self.joins = np.array([i < 128 and not (chr(i).isalnum() or chr(i) in " \t\n\r\v\f") for i in range(256)])
+
+    def chunks(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if b"<|" in raw:  # special tokens have their case
+            return raw.split()
+        raw = raw.lower()
+        codes = np.frombuffer(b" " + raw + b" ", np.uint8)
+        at = np.flatnonzero((codes == 44) | (codes == 46))
+        beside = np.concatenate([codes[at - 1], codes[at + 1]])
+        if not self.joins[beside].any() and (not (beside > 127).any() or all(c.isalpha() for c in set(text) if c > "\x7f")):
+            raw = raw.replace(b",", b" , ").replace(b".", b" . ")
+        return raw.split()
+
+    def learn(self, new: list[bytes]) -> None:
+        general = []
+        for c in new:
+            if c.isalpha() and c.islower():
+                self.known[c] = np.array([t.id for t in self.model.tokenize(c.decode())], "<u4").tobytes()
+            elif (w := c.decode()).isalpha() and w.lower() == w and is_normalized("NFC", w):
+                self.known[c] = np.array([t.id for t in self.model.tokenize("".join([self.symbols[b] for b in c]))], "<u4").tobytes()
+            else:
+                general.append(c)
+        for at in range(0, len(general), 10_000):
+            part = general[at : at + 10_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
+                self.known[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One array of ids for each text, the end token last."""
-        chunks = [t.encode().split() for t in texts]
-        distinct = set(chain.from_iterable(chunks))
+        chunks = [self.chunks(t) for t in texts]
+        distinct = set().union(*chunks)
         if len(self.known) + len(distinct) > CHUNK_CACHE:
             self.known.clear()
-        new = list(distinct - self.known.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.known[c] = e.ids
+        self.learn(list(distinct - self.known.keys()))
         for own in chunks:
-            yield np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, own)), (self.end,)), np.uint32)
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, own)) + self.end, "<u4")
 
 
 def cut(n: int, capacity: int, waste: float = 1 / 32) -> list[tuple[int, int, int]]:
@@ -87,7 +121,6 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, waste:
                     to += 1
                 rows, starts, lengths, crcs, totals, classes, ids = [], [], [], [], [], [], []
                 for i, tokens in enumerate(encoder.encode(texts[at:to]), at):
-                    tokens = tokens.astype("<u4", copy=False)
                     for start, length, k in cut(len(tokens), capacity, waste):
                         piece = tokens[start : start + length]
                         rows.append(i)
