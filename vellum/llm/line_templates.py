@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import kept, read, small_side
 
-TOKEN = r"[^ \t\x0B\f\r]+"
 FIELD = "<*>"
 
 
 def masked_tokens(line: Column) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    """Tokens between blanks, those with a digit generalised; lines without digits are spared the replacement."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
+    return F.filter(F.split(masked, " "), lambda t: t != "")
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 4, least_docs: int = 5, constant: float = 0.6) -> DataFrame:
@@ -31,8 +32,9 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # What lines are found again by: rows with the same id and text have the same lines to drop.
     key = [F.xxhash64("doc_id", "text").alias("key"), F.length("text").alias("size")]
-    lines = rows.select(*key, F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    tokens = lines.select("key", "size", "copy", "at", masked_tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") >= least_tokens)
+    # Tokens are made inside the generator, so that each line is cut once, whatever is read of them later.
+    lines = F.transform(F.split("text", "\n"), masked_tokens)
+    tokens = rows.select(*key, F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("at", "tokens")).filter(F.size("tokens") >= least_tokens)
     tokens = tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
     leaves = tokens.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     leaves = small_side(kept(leaves, "leaves"), 16)
@@ -47,7 +49,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parsed = kept(parsed.filter(fixed >= constant * F.size("template")).withColumn("template", F.concat_ws(" ", "template")), "templates")
     recurring = parsed.select("leaf", "template", "copy").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
     drops = parsed.join(recurring.select("leaf", "template"), ["leaf", "template"], "left_semi")
-    drops = small_side(kept(drops.groupBy("key", "size").agg(F.collect_set("at").alias("drops")), "drops"), 256)
+    drops = small_side(kept(drops.groupBy("key", "size").agg(F.collect_set("at").alias("drops")), "drops"), 64)
     every = rows.withColumns({"key": key[0], "size": key[1]}).join(drops, ["key", "size"], "left")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("drops", i))
@@ -62,7 +64,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (SELECT doc_id, text, i - 1 AS pos, lines[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)),
-t AS (SELECT doc_id, text, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN regexp_extract_all(line, '[^ \t\x0B\f\r]+')] AS tokens FROM l),
+t AS (SELECT doc_id, text, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(line, ' ') IF x <> ''] AS tokens FROM l),
 k AS (SELECT *, concat_ws(chr(31), len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM t WHERE len(tokens) >= 4),
 leaves AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT text) >= 5),
 s AS (SELECT * FROM k SEMI JOIN leaves USING (leaf)),
