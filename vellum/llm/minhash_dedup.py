@@ -2,12 +2,12 @@
 
 Every document becomes its set of distinct word shingles, hashed to 64 bits. One hash of each shingle fills all
 bins of the signature; an empty bin copies the first filled one of its own fixed random order (Shrivastava, 2017).
-Bands of the signature are the buckets. Within a bucket only edges from its smallest id to the others are tried, so
+Bands of the signature are the buckets. Within a bucket only edges from one hub to the others are tried, so
 candidates grow with the members and not with their square. Each candidate is confirmed on the full sets.
 
-Buckets whose members are not all linked after that may hide links between two non-hubs. Those of at most
-`pair_limit` members try the pairs that cross components; larger ones are divided by a further band and start
-again as stars, until none is left. With 48 bands of 5 bins, a pair at similarity 0.75 shares no bucket with a
+Buckets whose members are not all linked after that may hide links between two non-hubs. Where at most `pair_limit`
+members are outside the bucket's largest component, these are compared with the members of the other components, by a
+byte of each bin first and on the full sets where about enough bins agree, so work grows with the members; other buckets are divided by a further band and start again as stars, until none is left. With 48 bands of 5 bins, a pair at similarity 0.75 shares no bucket with a
 probability of 2e-6. Equal sets are found by their hash and are one node.
 
 Defined results: no words, or null text: an empty set, linked with nothing. Fewer words than a shingle: the whole
@@ -90,20 +90,24 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) per row."""
+    """(doc_id, n_shingles, set_key, bands, sketch) per row; the sketch is a byte of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, orders = _WordHashes(), search_orders(bands * per_band)
         for batch in batches:
-            n, key, lists = [], [], []
+            n, key, lists, sketches = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), hashes, k)
                 n.append(len(s))
                 key.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                lists.append(band_keys(signature(s, orders), bands) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+                sig = signature(s, orders) if len(s) else None
+                lists.append(band_keys(sig, bands) if len(s) else None)
+                sketches.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"]
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -134,10 +138,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """Edges from the smallest id of each bucket to the others, where the set sizes allow a link."""
-    hubs = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
-    edges = members.join(hubs, "key").filter("id <> hub.id").filter(_sizes_allow(F.col("hub.n"), F.col("n"), percent))
-    return edges.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    """Edges from the hub of each bucket to the others, where the set sizes allow a link. The hub is the member with most company in all its buckets: the text that the others are copies of, where that is there."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("company", -F.col("id"), "n")).alias("hub"))
+    edges = members.join(hubs.select("key", (-F.col("hub.col2")).alias("hub"), F.col("hub.n").alias("m")), "key").filter("id <> hub").filter(_sizes_allow(F.col("m"), F.col("n"), percent))
+    return edges.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
 def _sizes_allow(n, m, percent: int):
@@ -145,40 +149,38 @@ def _sizes_allow(n, m, percent: int):
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Rows of buckets with several members."""
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key")
+    """Rows (id, key) of buckets with several members, and their number c."""
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = BANDS, per_band: int = BINS_PER_BAND, pair_limit: int = 32) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = BANDS, per_band: int = BINS_PER_BAND, pair_limit: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; the smallest id of each component is kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = kept(signatures(docs, shingle, bands, per_band), "signatures")
     live = signed.filter("doc_id is not null and n_shingles > 0")
     classes = kept(live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").select("set_key", "rep"), "equal-sets")
     classes = small_side(classes, 40)
-    nodes = live.join(classes, "set_key", "left").filter("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")
-    keys = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    members = kept(_shared(keys), "buckets")
+    nodes = live.join(classes, "set_key", "left").filter("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    shared = kept(_shared(nodes.select("id", F.explode("bands").alias("key"))), "buckets")
+    facts = kept(shared.groupBy("id").agg(F.sum("c").alias("company")).join(nodes, "id"), "members")
+    members = kept(shared.select("id", "key").join(facts.select("id", "n", "company"), "id"), "buckets")
     tried = kept(_stars(members, percent), "edges")
     wanted = small_side(kept(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates"), 16)
     sets = kept(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle), "sets")
     links = kept(_confirmed(tried, sets, percent), "links")
-    while True:
-        labels = components(links)
-        pairs, members = _unsettled(members, labels, nodes, pair_limit, percent)
+    labels = components(links)
+    while members is not None:
+        pairs, members = _unsettled(members, labels, facts, pair_limit, percent)
         edges = pairs if members is None else pairs.unionByName(_stars(members, percent)).distinct()
         fresh = kept(edges.join(tried, ["a", "b"], "left_anti"), "edges")
         if fresh.isEmpty():
-            if members is None:
-                break
             continue
-        tried = kept(tried.unionByName(fresh), "edges")
-        more = small_side(kept(fresh.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "candidates"), 16)
-        sets = kept(sets.unionByName(_sets(docs.join(more, "doc_id", "left_semi"), shingle)), "sets")
-        links = kept(links.unionByName(_confirmed(fresh, sets, percent)), "links")
-        if members is None:
-            labels = components(links)
-            break
+        tried = tried.unionByName(fresh)
+        more = fresh.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        sets = sets.unionByName(kept(_sets(docs.join(small_side(kept(more, "candidates"), 16), "doc_id", "left_semi"), shingle), "sets"))
+        links = kept(_confirmed(fresh, sets, percent), "links")
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     named = live.select("doc_id", "set_key").join(classes, "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("id"))
     named = named.join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
@@ -186,20 +188,52 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, pair_limit: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """From buckets that span components: the pairs to try of the small ones, and the members of the parts of the large ones (None: there are none)."""
+#: Rows of a bucket that are compared in one task, and how far, in standard deviations, the share of equal bins may lie below the similarity asked for.
+BLOCK, DEVIATIONS = 2000, 5
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, facts: DataFrame, pair_limit: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """From buckets that span components: the pairs to try where these are few, and the members of the parts of the others (None: there are none)."""
     placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "c")
-    placed = kept(placed.join(open_keys, "key"), "unsettled")
-    small = placed.filter(F.col("c") <= pair_limit)
-    other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    pairs = small.join(other, "key").filter("id < id2 and component <> component2").filter(_sizes_allow(F.col("n"), F.col("n2"), percent))
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    large = placed.filter(F.col("c") > pair_limit).select("key", "id", "n", "band")
+    by_component = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", -F.col("component"))).alias("largest")
+    buckets = by_component.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("parts"), largest).filter("parts > 1")
+    # Members outside the largest component, each of which is tried with all of another component.
+    few = (F.col("c") - F.col("largest.n") <= pair_limit).alias("few")
+    placed = kept(placed.join(buckets.select("key", "c", (-F.col("largest.col2")).alias("main"), few), "key"), "unsettled")
+    blocks = F.ceil(F.col("c") / BLOCK)
+    small = placed.filter("few").join(facts.select("id", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    outside = small.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    columns = ["key", "block", "id", "n", "component", "sketch"]
+    pairs = small.select(columns).groupBy("key", "block").cogroup(outside.select([F.col(c).alias(f"{c}_") for c in columns]).groupBy("key_", "block_")).applyInArrow(_alike(percent), "a long, b long").distinct()
+    large = placed.filter("not few").select("key", "id")
     if large.isEmpty():
         return pairs, None
-    split = large.join(nodes.select("id", "bands"), "id").select("id", "n", F.col("band").alias("last"), F.col("key").alias("path"), F.posexplode("bands").alias("band", "next")).filter("band > last")
-    return pairs, kept(_shared(split.select("id", "n", "band", F.xxhash64("path", "next").alias("key"))), "divided")
+    last = F.coalesce(F.nullif(F.array_position("bands", F.col("key")), F.lit(0)), F.col("last")) if "last" in members.columns else F.array_position("bands", F.col("key"))
+    split = placed.filter("not few").select("key", "id", *["last"] * ("last" in members.columns)).join(facts, "id")
+    split = split.withColumn("last", last.cast("int")).select("id", "n", "company", "last", F.col("key").alias("path"), F.posexplode("bands").alias("band", "next")).filter("band >= last")
+    return pairs, kept(_shared(split.select("id", "n", "company", (F.col("band") + 1).alias("last"), F.xxhash64("path", "next").alias("key"))).drop("c"), "divided")
+
+
+def _alike(percent: int):
+    """Pairs (a, b) of a block and the outsiders whose sketches agree in about as many bins as similar sets do."""
+
+    def run(block: pa.Table, outside: pa.Table) -> pa.Table:
+        ids, others = block["id"].to_numpy(), outside["id_"].to_numpy()
+        found: list[np.ndarray] = []
+        if len(ids) and len(others):
+            rows, wanted = (np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1) for sketches in (block["sketch"], outside["sketch_"]))
+            n, component = block["n"].to_numpy(), block["component"].to_numpy()
+            j, bins = percent / 100, rows.shape[1]
+            least = bins * j - DEVIATIONS * (bins * j * (1 - j)) ** 0.5
+            for i, own in enumerate(wanted):
+                m = outside["n_"][i].as_py()
+                good = ((rows == own).sum(1) >= least) & (component != outside["component_"][i].as_py()) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                found.append(np.stack([np.minimum(ids[good], others[i]), np.maximum(ids[good], others[i])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
