@@ -285,6 +285,22 @@ def test_classifiers_on_held_out_rows(spark, empty, module, label):
     assert module.score(empty.select("doc_id", "text"), labels).count() == 0
 
 
+@pytest.mark.parametrize("most", [90, 1000])
+def test_classifiers_keep_the_classes_shares(spark, most):
+    """Where the label sample is cut, scores stay near the share of the label among like documents."""
+    n = 1200
+    labels = spark.createDataFrame([(i, int(i % 6 > 0), int(i % 10 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+    same = spark.createDataFrame([(i, "the same words in every document") for i in range(n)], "doc_id long, text string")
+    assert abs(quality.score(same, labels, most=most).agg(F.avg("score")).first()[0] - 5 / 6) < 0.08
+    # 'grubling' stands in every toxic document and in a ninth of the others: half of those that hold it are toxic.
+    holds = lambda i: i % 10 == 0 or i % 90 in range(1, 90, 9)
+    rows = [(i, "a grubling here" if holds(i) else "plain words here") for i in range(n)]
+    share = sum(i % 10 == 0 for i in range(n)) / sum(map(holds, range(n)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score(docs, labels, most=most).filter("n_matches > 0").agg(F.avg("score"), F.count("*")).first()
+    assert got[1] == sum(map(holds, range(n))) and abs(got[0] - share) < 0.2  # 90 rows alone leave a deviation of 0.08
+
+
 def test_grammar_reads_scopes():
     tagger, machine = toxicity.Tagger({"grub": 2.0}), toxicity.grammar()
     kinds = lambda t: {toxicity.KINDS[k] for k in np.flatnonzero(toxicity.clause_features(t, tagger, machine)[: len(toxicity.KINDS)])}

@@ -1,4 +1,4 @@
-"""Labelled rows for the classifiers: a bounded, repeatable sample that leaves out the held-out fifth."""
+"""Labelled rows for the classifiers: a bounded, repeatable sample that leaves out the held-out fifth, with weights that keep the classes' shares."""
 
 from __future__ import annotations
 
@@ -12,8 +12,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most `most` labelled rows of each class, the same ones in every run: those with the smallest hash of the id."""
+    """(doc_id, text, y, weight) of at most `most` labelled rows of each class, the same ones in every run: those with the smallest hash of the id.
+
+    weight: how many learnable labels of its class a row stands for, so that a class's weights add up to its counted labels whether or not it was cut."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # at most 2 x most rows of 12 bytes
+    counted = known.groupBy("y").agg(F.count("*").alias("n"))  # two rows
+    weight = (F.col("n") / F.least(F.col("n"), F.lit(most))).alias("weight")
+    chosen = parts[0].unionByName(parts[1]).join(F.broadcast(counted), "y").select("doc_id", "y", weight)  # at most 2 x most rows of 20 bytes
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

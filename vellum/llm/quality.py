@@ -2,8 +2,8 @@
 
 A document is a bag of passages. Each passage becomes frequencies of pairs of byte classes and a few word statistics,
 then a hidden layer; a gated attention network weighs the passages, and the weighted sum is classified. Only whole
-documents have labels. Fitting uses at most `most` labelled rows of each class, whose passages go to the driver;
-scoring runs over whole texts in Arrow batches with the small fitted model.
+documents have labels. Fitting uses at most `most` labelled rows of each class, weighted by the class's counted share of
+all learnable labels; their passages go to the driver. Scoring runs over whole texts in Arrow batches with the small fitted model.
 
 Defined results: a null or empty text is one empty passage and gets that passage's score; without any labelled row of
 both classes every score is 0.5; rows that repeat an id are scored one by one; a null id is not held out; further
@@ -110,8 +110,9 @@ class Attention:
         return self.forward(x, first)[-1]
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, epochs: int = 30, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4) -> Attention:
-    """Adam on the mean log loss of the bags."""
+def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, epochs: int = 30, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4, weight: np.ndarray | None = None) -> Attention:
+    """Adam on the mean log loss of the bags, weighted if weights are given; these are scaled to a mean of 1."""
+    weight = np.ones(len(bags), np.float32) if weight is None else (weight / weight.mean()).astype(np.float32)
     rng = np.random.default_rng(7)
     d = bags[0].shape[1]
     init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
@@ -125,7 +126,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, epochs: int = 3
             own = [bags[i] for i in order[at : at + batch]]
             x, first = np.vstack(own), np.cumsum([0, *map(len, own[:-1])])
             h, t, g, p, bag, z, s = m.forward(x, first)
-            ds = ((s - y[order[at : at + batch]]) / len(own)).astype(np.float32)
+            ds = (weight[order[at : at + batch]] * (s - y[order[at : at + batch]]) / len(own)).astype(np.float32)
             dz = ds[:, None] * m.o[:-1]
             dh = p[:, None] * dz[bag]
             dp = (h * dz[bag]).sum(1)
@@ -155,14 +156,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int) -> Attention | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [passages(t.as_py(), table).astype(np.float16).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(bags, pa.binary())], names=["doc_id", "y", "weight", "bag"])
 
-    found = sample(docs, labels, "quality", most).mapInArrow(run, "doc_id long, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
+    found = sample(docs, labels, "quality", most).mapInArrow(run, "doc_id long, y int, weight double, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
     y = found["y"].to_numpy()
     if len(set(y)) < 2:
         return None
     width = CLASSES**2 + 5
-    return fit([np.frombuffer(b, np.float16).reshape(-1, width).astype(np.float32) for b in found["bag"].to_pylist()], y.astype(np.float32))
+    return fit([np.frombuffer(b, np.float16).reshape(-1, width).astype(np.float32) for b in found["bag"].to_pylist()], y.astype(np.float32), weight=found["weight"].to_numpy())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:

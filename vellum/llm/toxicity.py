@@ -8,7 +8,8 @@ its lexicon weight; documents are scored by the matches of their clauses, never
 
 The function words of the grammar are fixed lists. The insult lexicon is learned: word beginnings whose document
 counts in labelled toxic and other rows differ beyond chance. The weight of each kind of match is learned by logistic
-regression. Both use at most `most` labelled rows of each class.
+regression. Both use at most `most` labelled rows of each class; in the regression a row is weighted by its class's counted
+share of all learnable labels, so that scores keep the classes' shares. The lexicon compares rates within the classes.
 
 Defined results: a null or empty text has no clause and gets the score of a document without matches; without labelled
 rows of both classes the lexicon is empty and every score is 0.5 or less; rows that repeat an id are scored one by one;
@@ -159,13 +160,14 @@ def learn_insults(labelled: DataFrame, least: float = 25.0) -> dict[str, float]:
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last column is the offset."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, weighted if weights are given; these are scaled to a mean of 1. The last column is the offset."""
+    weight = np.ones(len(x)) if weight is None else weight / weight.mean()
     w, penalty = np.zeros(x.shape[1]), ridge * np.diag([*[1.0] * (x.shape[1] - 1), 1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty
-        move = np.linalg.solve(hessian, x.T @ (p - y) / len(x) + penalty @ w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x / len(x) + penalty
+        move = np.linalg.solve(hessian, x.T @ (weight * (p - y)) / len(x) + penalty @ w)
         w -= move * min(1.0, 5 / (np.abs(move).max() + 1e-9))
     return w
 
@@ -180,12 +182,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         tagger = Tagger(insults)
         for batch in batches:
             x = [clause_features(t.as_py(), tagger, machine) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=["y", "weight", "x"])
 
-    found = labelled.mapInArrow(features, "y int, x array<double>").toArrow() if insults else None
+    found = labelled.mapInArrow(features, "y int, weight double, x array<double>").toArrow() if insults else None
     weights = np.zeros(2 * len(KINDS) + 1)
     if found is not None and len(found):
-        weights = logistic(np.array(found["x"].to_pylist()), found["y"].to_numpy().astype(float))
+        weights = logistic(np.array(found["x"].to_pylist()), found["y"].to_numpy().astype(float), weight=found["weight"].to_numpy())
     else:
         weights[-1] = -0.01
 
