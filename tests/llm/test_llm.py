@@ -188,6 +188,24 @@ def test_line_templates(spark, docs, empty):
     assert line_templates.drop_templates(empty).count() == 0
 
 
+def test_short_lines_are_dropped_too(spark):
+    rows = [(i, f"{_prose(12)}\n\nAll rights reserved.\nPage {i}\n7\nonly {WORDS[i]} here" + "\nrare line" * (i < 4)) for i in range(8)]
+    got = {r.doc_id: r for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    assert all(got[i].text == t.replace("All rights reserved.\n", "") and got[i].n_dropped == 1 for i, t in rows)
+
+
+def test_short_lines_equal_sql(spark):
+    from compare import DATA, connection
+    from compare import rows as plain
+
+    from vellum.llm import registry
+
+    name = "op4_line_templates_with_short"
+    got = registry.queries()[name](spark, DATA).toPandas()
+    assert plain(got) == plain(connection().sql(registry.oracle_sql()[name]).df())
+    assert (got.n_dropped.sum()) > line_templates.query(spark, DATA).agg(F.sum("n_dropped")).first()[0]
+
+
 def test_repeats(docs, empty):
     rows = [(i, (t or "").encode()) for i, t, *_ in _corpus()]
     seen = defaultdict(int)

@@ -7,7 +7,8 @@ and enough different documents hold it, all its lines are dropped. Exact copies
 that copies of a document do not make its own lines recurring.
 
 Defined results: lines end at a line feed; null and empty texts are one line and come back as they are (null as null);
-lines of fewer than `least_tokens` tokens stay; rows that repeat an id are treated one by one; a null id stays null;
+lines of fewer than `least_tokens` tokens stay unless `short` is set, and are then dropped where all of their tokens are
+constant (blank lines and lines whose token has a digit stay); rows that repeat an id are treated one by one; a null id stays null;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -27,14 +28,14 @@ def masked_tokens(line: Column) -> Column:
     return F.filter(F.split(masked, " "), lambda t: t != "")
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 4, least_docs: int = 5, constant: float = 0.6) -> DataFrame:
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 4, least_docs: int = 5, constant: float = 0.6, short: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) per row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # What lines are found again by: rows with the same id and text have the same lines to drop.
     key = [F.xxhash64("doc_id", "text").alias("key"), F.length("text").alias("size")]
     # Tokens are made inside the generator, so that each line is cut once, whatever is read of them later.
     lines = F.transform(F.split("text", "\n"), masked_tokens)
-    tokens = rows.select(*key, F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("at", "tokens")).filter(F.size("tokens") >= least_tokens)
+    tokens = rows.select(*key, F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("at", "tokens")).filter(F.size("tokens") >= (1 if short else least_tokens))
     tokens = tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
     leaves = tokens.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     leaves = small_side(kept(leaves, "leaves"), 16)
@@ -46,7 +47,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     template = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", F.concat_ws("\u001f", i.cast("string"), t)) & (t != FIELD), t).otherwise(FIELD))
     parsed = lines.join(constants, "leaf").select("key", "size", "copy", "at", "leaf", template.alias("template"))
     fixed = F.size(F.filter("template", lambda t: t != FIELD))
-    parsed = kept(parsed.filter(fixed >= constant * F.size("template")).withColumn("template", F.concat_ws(" ", "template")), "templates")
+    enough = F.when(F.size("template") < least_tokens, F.size("template")).otherwise(constant * F.size("template"))
+    parsed = kept(parsed.filter(fixed >= enough).withColumn("template", F.concat_ws(" ", "template")), "templates")
     recurring = parsed.select("leaf", "template", "copy").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
     drops = parsed.join(recurring.select("leaf", "template"), ["leaf", "template"], "left_semi")
     drops = small_side(kept(drops.groupBy("key", "size").agg(F.collect_set("at").alias("drops")), "drops"), 64)
@@ -62,6 +64,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(read(spark, sf_dir, "documents"))
 
 
+def query_with_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines of one to three tokens in the tree."""
+    return drop_templates(read(spark, sf_dir, "documents"), short=True)
+
+
 SQL = r"""
 WITH l AS (SELECT doc_id, text, i - 1 AS pos, lines[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)),
 t AS (SELECT doc_id, text, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(line, ' ') IF x <> ''] AS tokens FROM l),
@@ -80,3 +87,5 @@ left_over AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS tex
 SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN n_dropped IS NULL THEN d.text ELSE coalesce(x.text, '') END AS text
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_over x USING (doc_id)
 """
+
+SQL_WITH_SHORT = SQL.replace("WHERE len(tokens) >= 4", "WHERE len(tokens) >= 1").replace(">= 0.6 * n)", ">= CASE WHEN n < 4 THEN n ELSE 0.6 * n END)")

@@ -20,9 +20,9 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in MODULES.items()} | {"op4_line_templates_with_short": line_templates.query_with_short, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {name: module.SQL for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    own = {name: module.SQL for name, module in MODULES.items()} | {"op4_line_templates_with_short": line_templates.SQL_WITH_SHORT, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in own.items() if sql}
