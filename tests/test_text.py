@@ -36,3 +36,13 @@ def test_scores(spark):
     assert [r[0] for r in spark.range(0, 80, 20).select(scores.band(F.col("id"))).collect()] == ["Low", "Moderate", "High", "Very high"]
     assert _one(spark, scores.truncated(F.col("t"), 3), t="abcd") == "abc…"
     assert _one(spark, scores.initials(F.col("t")), t="ada  lovelace king") == "AL"
+
+
+def test_near_duplicate_pairs(spark):
+    from vellum.operators import prose
+
+    gram = "one two three four five six seven eight"
+    long = " ".join(f"w{i}" for i in range(60))
+    sents = spark.createDataFrame([(1, 0, 0, gram.split()), (1, 1, 0, (gram + " " + long).split()), (1, 2, 0, "red green blue".split()), (1, 3, 0, "blue red black white".split()), (1, 4, 0, "black".split()), (2, 0, 0, "red green blue".split())], "doc_id long, sec int, sent int, words array<string>")
+    got = {(r.sec1, r.sec2): (round(r.jaccard, 4), r.by_gram) for r in prose.near_duplicate_pairs(sents).collect()}
+    assert got == {(0, 1): (round(8 / 68, 4), True), (2, 3): (0.4, False), (3, 4): (0.25, False)}

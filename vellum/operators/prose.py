@@ -85,15 +85,41 @@ def near_duplicate_sentences(sents: DataFrame, n: int = GRAM, least: float = 0.2
     """(doc_id, sec1, sent1, sec2, sent2, jaccard): sentences of different sections of a document that share a gram, by the overlap of their word sets.
 
     The shared gram is an equality join on its hash within the document; sentences without one are never paired."""
+    both = _overlaps(_gram_pairs(sents, n), sents)
+    return both.filter(F.col("jaccard") >= least).select("doc_id", "sec1", "sent1", "sec2", "sent2", "jaccard")
+
+
+def near_duplicate_pairs(sents: DataFrame, n: int = GRAM, least: float = 0.2) -> DataFrame:
+    """(doc_id, sec1, sent1, sec2, sent2, jaccard, by_gram): sentences of different sections of a document that share a gram or whose word sets overlap by at least `least`.
+
+    Sets that overlap so far share a word among the size - ceil(least * size) + 1 rarest of each, which is an equality join within the document."""
+    words = sents.select("doc_id", "sec", "sent", F.explode(F.array_distinct("words")).alias("word"))
+    ranked = words.join(words.groupBy("doc_id", "word").agg(F.count("*").alias("c")), ["doc_id", "word"])
+    sets = ranked.groupBy("doc_id", "sec", "sent").agg(F.sort_array(F.collect_list(F.struct("c", "word"))).alias("w")).withColumn("size", F.size("w"))
+    rare = sets.select("doc_id", "sec", "sent", "size", F.explode(F.slice("w", F.lit(1), F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1)).alias("r"))
+    a = rare.filter("r.c > 1").select("doc_id", F.col("sec").alias("sec1"), F.col("sent").alias("sent1"), F.col("size").alias("size1"), F.col("r.word").alias("word"))
+    b = a.withColumnsRenamed({"sec1": "sec2", "sent1": "sent2", "size1": "size2"})
+    close = a.join(b, ["doc_id", "word"]).filter("sec1 < sec2").filter(F.least("size1", "size2") >= F.greatest("size1", "size2") * least - 1e-9)
+    keys = ["doc_id", "sec1", "sent1", "sec2", "sent2"]
+    pairs = close.select(*keys).distinct().withColumn("by_gram", F.lit(False)).unionByName(_gram_pairs(sents, n).withColumn("by_gram", F.lit(True)))
+    both = _overlaps(pairs.groupBy(*keys).agg(F.bool_or("by_gram").alias("by_gram")), sents)
+    return both.filter(F.col("by_gram") | (F.col("jaccard") >= least)).select(*keys, "jaccard", "by_gram")
+
+
+def _gram_pairs(sents: DataFrame, n: int) -> DataFrame:
+    """(doc_id, sec1, sent1, sec2, sent2): sentences of different sections of a document that share a gram."""
     grams = gram_rows(sents, n).select("doc_id", "sec", "sent", "h1", "h2").distinct()
     shared = grams.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     a = grams.join(shared, ["doc_id", "h1", "h2"])
     b = a.select("doc_id", "h1", "h2", F.col("sec").alias("sec2"), F.col("sent").alias("sent2"))
-    pairs = a.withColumnsRenamed({"sec": "sec1", "sent": "sent1"}).join(b, ["doc_id", "h1", "h2"]).filter("sec1 < sec2").select("doc_id", "sec1", "sent1", "sec2", "sent2").distinct()
+    return a.withColumnsRenamed({"sec": "sec1", "sent": "sent1"}).join(b, ["doc_id", "h1", "h2"]).filter("sec1 < sec2").select("doc_id", "sec1", "sent1", "sec2", "sent2").distinct()
+
+
+def _overlaps(pairs: DataFrame, sents: DataFrame) -> DataFrame:
+    """pairs with the overlap of their word sets."""
     words = sents.select("doc_id", "sec", "sent", F.array_distinct("words").alias("w"))
     left = words.withColumnsRenamed({"sec": "sec1", "sent": "sent1", "w": "w1"})
     right = words.withColumnsRenamed({"sec": "sec2", "sent": "sent2", "w": "w2"})
     both = pairs.join(left, ["doc_id", "sec1", "sent1"]).join(right, ["doc_id", "sec2", "sent2"])
     same = F.size(F.array_intersect("w1", "w2"))
-    both = both.withColumn("jaccard", ratio(same, F.size("w1") + F.size("w2") - same))
-    return both.filter(F.col("jaccard") >= least).select("doc_id", "sec1", "sent1", "sec2", "sent2", "jaccard")
+    return both.withColumn("jaccard", ratio(same, F.size("w1") + F.size("w2") - same))

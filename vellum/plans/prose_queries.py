@@ -53,6 +53,10 @@ def near_duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.near_duplicate_sentences(_sents(spark, sf_dir))
 
 
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.near_duplicate_pairs(_sents(spark, sf_dir))
+
+
 def findings_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven columns; a document without findings keeps one row with its note."""
     scored = macro_redundancy(spark, sf_dir)
@@ -137,6 +141,16 @@ QUERIES = {
             SELECT doc_id, sec1, sent1, sec2, sent2, i / (t - i) AS jaccard FROM j WHERE i / (t - i) >= 0.2"""
         ),
     ),
+    "near_duplicate_pairs": (
+        near_duplicate_pairs,
+        _sql(
+            """, w AS (SELECT doc_id, sec, sent, unnest(list_distinct(words)) AS word FROM s), k AS (SELECT doc_id, sec, sent, len(list_distinct(words)) AS k FROM s),
+            g AS (SELECT DISTINCT a.doc_id, a.sec AS sec1, a.sent AS sent1, b.sec AS sec2, b.sent AS sent2, true AS by_gram FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND a.sec < b.sec),
+            i AS (SELECT a.doc_id, a.sec AS sec1, a.sent AS sent1, b.sec AS sec2, b.sent AS sent2, count(*) AS i FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.word = b.word AND a.sec < b.sec GROUP BY ALL),
+            j AS (SELECT i.*, i / (x.k + y.k - i) AS jaccard FROM i JOIN k x ON x.doc_id = i.doc_id AND x.sec = sec1 AND x.sent = sent1 JOIN k y ON y.doc_id = i.doc_id AND y.sec = sec2 AND y.sent = sent2)
+            SELECT doc_id, sec1, sent1, sec2, sent2, jaccard, coalesce(by_gram, false) AS by_gram FROM j LEFT JOIN g USING (doc_id, sec1, sent1, sec2, sent2) WHERE by_gram OR jaccard >= 0.2"""
+        ),
+    ),
     "findings_export": (
         findings_export,
         _sql(
