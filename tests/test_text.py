@@ -46,3 +46,25 @@ def test_near_duplicate_pairs(spark):
     sents = spark.createDataFrame([(1, 0, 0, gram.split()), (1, 1, 0, (gram + " " + long).split()), (1, 2, 0, "red green blue".split()), (1, 3, 0, "blue red black white".split()), (1, 4, 0, "black".split()), (2, 0, 0, "red green blue".split())], "doc_id long, sec int, sent int, words array<string>")
     got = {(r.sec1, r.sec2): (round(r.jaccard, 4), r.by_gram) for r in prose.near_duplicate_pairs(sents).collect()}
     assert got == {(0, 1): (round(8 / 68, 4), True), (2, 3): (0.4, False), (3, 4): (0.25, False)}
+
+
+def test_nulls_last_ranks_every_row(spark, tmp_path):
+    from vellum.plans import catalog
+
+    rows = [(k, None if k % 3 == 0 else float(k * 7919 % 501 - 50)) for k in range(1, 2501)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog.queries()["leaderboard_nulls_last"](spark, str(tmp_path)).collect()
+    shown = [(k, v if v is not None and v > 0 else None) for k, v in rows]
+    for direction, sign in (("desc", -1), ("asc", 1)):
+        expected = sorted(shown, key=lambda r: (r[1] is None, sign * (r[1] or 0), r[0]))
+        assert [(r.s_suppkey, r.balance) for r in sorted((r for r in got if r.direction == direction), key=lambda r: r["rank"])] == expected
+        assert sorted(r["rank"] for r in got if r.direction == direction) == list(range(1, 2501))
+
+
+def test_verdicts_read_every_run(spark, tmp_path):
+    from vellum.plans import catalog
+
+    kinds = ["click", "click", "click", "error"], ["error"] * 5, ["signup", "signup", "click"], ["click"], ["signup", "signup", "error", "error", "error"]
+    spark.createDataFrame([(10 * u + i, u, k) for u, own in enumerate(kinds) for i, k in enumerate(own)], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.final for r in catalog.queries()["unit_verdicts_all_runs"](spark, str(tmp_path)).collect()}
+    assert got == {0: "UNRESOLVED", 1: "FAIL", 2: "NOT_APPLICABLE", 3: "UNRESOLVED", 4: "FAIL"}

@@ -20,10 +20,21 @@ def leaderboard(rows: DataFrame, metric: str, key: str, n: int = 30, title: str
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(metric), key)))  # over n rows
 
 
-def nulls_last(rows: DataFrame, column: str, key: str, descending: bool, n: int) -> DataFrame:
-    """The first n rows by a column, nulls last in both directions."""
-    order = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
-    return rows.orderBy(order, key).limit(n).withColumn("rank", F.row_number().over(W.orderBy(order, key)))
+def nulls_last(rows: DataFrame, column: str, key: str, descending: bool, blocks: int = 64) -> DataFrame:
+    """All rows with their rank by a column, nulls last in both directions, the key breaking ties.
+
+    Rows are dealt into blocks between bounds taken from a sample by the key's hash, ranked within their block, and moved on by the rows of the blocks before."""
+    value = -F.col(column) if descending else F.col(column)
+    placed = rows.withColumn("_at", F.struct(F.col(column).isNull().alias("null"), F.when(F.col(column).isNotNull(), value).alias("value"), F.col(key).alias("key")))
+    every = max(1, rows.count() // (100 * blocks))
+    seen = placed.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.sort_array(F.collect_list("_at")).alias("a"))  # some 100 rows a block
+    step = F.greatest(F.lit(1), F.floor(F.size("a") / blocks)).cast("int")
+    bounds = seen.select(F.filter("a", lambda _, i: i % step == step - 1).alias("bounds"))
+    dealt = placed.crossJoin(F.broadcast(bounds)).withColumn("_block", F.size(F.filter("bounds", lambda b: b < F.col("_at")))).drop("bounds")
+    counts = dealt.groupBy("_block").agg(F.count("*").alias("n"))
+    before = counts.select("_block", F.coalesce(F.sum("n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each block
+    ranked = dealt.join(F.broadcast(before), "_block").withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy("_block").orderBy("_at")))
+    return ranked.drop("_at", "_block", "_before")
 
 
 def shaded(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -36,6 +36,14 @@ def verdict(runs: Column) -> Column:
     )
 
 
+def verdicts(rows: DataFrame, by: list[str], label: Column) -> DataFrame:
+    """(by, final): verdict() of all rows of each unit, from counts, so that no unit's runs are gathered."""
+    f, p, na = (F.count_if(F.coalesce(x, F.lit(False))) for x in (label == "FAIL", label == "PASS", label.isin("NA", "NOT_APPLICABLE")))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), f.alias("f"), p.alias("p"), na.alias("na"))
+    final = F.when(F.expr("n < 2 or (f > 0 and p > 0)"), "UNRESOLVED").when(F.expr("f * 2 > n"), "FAIL").when(F.expr("p * 2 > n"), "PASS").when(F.expr("na * 2 > n"), "NOT_APPLICABLE").otherwise("UNRESOLVED")
+    return counts.select(*by, final.alias("final"))
+
+
 def score_and_coverage(units: DataFrame, by: list[str], outcome: Column) -> DataFrame:
     """Counts of FAIL, PASS and UNRESOLVED, F/(F+P) and (F+P)/(F+P+U); anything else is not applicable and left out."""
     f, p, u = (F.count_if(outcome == x) for x in ("FAIL", "PASS", "UNRESOLVED"))

@@ -96,6 +96,12 @@ def unit_verdicts(spark, sf_dir):
     return runs.select("user_id", votes.verdict(F.col("runs")).alias("final"))
 
 
+def unit_verdicts_all_runs(spark, sf_dir):
+    """Final verdict of each user with every event as a run."""
+    label = F.when(F.col("event_type") == "error", "FAIL").when(F.col("event_type") == "signup", "NA").otherwise("PASS")
+    return votes.verdicts(_t(spark, sf_dir, "events"), ["user_id"], label)
+
+
 def score_coverage(spark, sf_dir):
     """Failing, passing and unresolved documents of each source."""
     joined = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
@@ -129,8 +135,8 @@ def leaderboard_topn(spark, sf_dir):
 
 def leaderboard_nulls_last(spark, sf_dir):
     rows = _t(spark, sf_dir, "supplier").withColumn("balance", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")))
-    down = ranking.nulls_last(rows, "balance", "s_suppkey", True, 1000).select("s_suppkey", "balance", F.lit("desc").alias("direction"), "rank")
-    return down.unionByName(ranking.nulls_last(rows, "balance", "s_suppkey", False, 1000).select("s_suppkey", "balance", F.lit("asc").alias("direction"), "rank"))
+    down = ranking.nulls_last(rows, "balance", "s_suppkey", True).select("s_suppkey", "balance", F.lit("desc").alias("direction"), "rank")
+    return down.unionByName(ranking.nulls_last(rows, "balance", "s_suppkey", False).select("s_suppkey", "balance", F.lit("asc").alias("direction"), "rank"))
 
 
 def top3_threshold(spark, sf_dir):
@@ -305,6 +311,11 @@ QUERIES = {
         c AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE l = 'F') AS f, count(*) FILTER (WHERE l = 'P') AS p, count(*) FILTER (WHERE l = 'N') AS na FROM r GROUP BY user_id)
         SELECT user_id, CASE WHEN n < 2 OR (f > 0 AND p > 0) THEN 'UNRESOLVED' WHEN f * 2 > n THEN 'FAIL' WHEN p * 2 > n THEN 'PASS' WHEN na * 2 > n THEN 'NOT_APPLICABLE' ELSE 'UNRESOLVED' END AS final FROM c""",
     ),
+    "unit_verdicts_all_runs": (
+        unit_verdicts_all_runs,
+        """WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'signup') AS na FROM events GROUP BY user_id), d AS (SELECT *, n - f - na AS p FROM c)
+        SELECT user_id, CASE WHEN n < 2 OR (f > 0 AND p > 0) THEN 'UNRESOLVED' WHEN f * 2 > n THEN 'FAIL' WHEN p * 2 > n THEN 'PASS' WHEN na * 2 > n THEN 'NOT_APPLICABLE' ELSE 'UNRESOLVED' END AS final FROM d""",
+    ),
     "score_coverage": (
         score_coverage,
         """WITH c AS (SELECT source, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS f, count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS p, count(*) FILTER (WHERE toxic = 1) AS u FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)
