@@ -1,48 +1,21 @@
-"""What the corpus operators share: tables that outlive executors, checked broadcasts, links to components."""
+"""What the corpus operators share: reading tables, folding case, and the stored tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from vellum.storage import BROADCAST_BYTES, kept, release, remove, scratch, shared_dir, small_side
 
-#: A side of a join is broadcast up to so many bytes, rows times width; beyond them it is shuffled.
-BROADCAST_BYTES = 16 << 20
+__all__ = ["BROADCAST_BYTES", "LOWER", "UPPER", "ascii_lower", "kept", "read", "release", "remove", "scratch", "shared_dir", "small_side"]
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where that is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, is removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its counted rows times row_bytes stay within the limit. Pass a kept() table: the count reads its footers."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the fast built-in path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

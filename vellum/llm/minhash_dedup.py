@@ -5,14 +5,19 @@ bins of the signature; an empty bin copies the first filled one of its own fixed
 Bands of the signature are the buckets. Within a bucket only edges from one hub to the others are tried, so
 candidates grow with the members and not with their square. Each candidate is confirmed on the full sets.
 
-Buckets whose members are not all linked after that may hide links between two non-hubs. Where at most `pair_limit`
-members are outside the bucket's largest component, these are compared with the members of the other components, by a
-byte of each bin first and on the full sets where about enough bins agree, so work grows with the members; other buckets are divided by a further band and start again as stars, until none is left. With 48 bands of 5 bins, a pair at similarity 0.75 shares no bucket with a
-probability of 2e-6. Equal sets are found by their hash and are one node.
+A bucket whose members are not all linked after that may hide links between two non-hubs, so its members outside its
+largest component are held against the rest of it, in blocks of bounded size. A first pass over the sketches (a byte of
+each bin) says which members have any partner that may be similar enough, in the first bucket that the two share; a
+second one compares the full sets of those. A block returns only links that join two components, fewer than it has
+members, however many pairs are alike; no pair is passed over unless its members are joined already. With 48 bands of
+5 bins, a pair at similarity 0.75 shares no bucket with a probability of 2e-6; the sketches are held to five standard
+deviations below the similarity asked for, which a pair at it misses with a probability of 3e-7. Equal sets are found by
+their hash and are one node.
 
 Defined results: no words, or null text: an empty set, linked with nothing. Fewer words than a shingle: the whole
-sequence is one shingle. Rows with a null id are returned with a null component and are kept. Rows that repeat an id
-are one node whatever their texts; each is returned. Further columns are ignored; an empty table gives an empty result.
+sequence is one shingle. Ids are cast to long, and those that cannot be are null. Rows with a null id are returned with
+a null component and are kept. Rows that repeat an id are one node whatever their texts; each is returned. Further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,19 +31,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import kept, read, small_side
+from vellum.llm.common import kept, read, release, small_side
 from vellum.llm.components import components
 
 BANDS, BINS_PER_BAND = 48, 5
-#: Distinct words whose hashes a task remembers at a time.
-WORD_CACHE = 300_000
+#: Rows, and shingles in all, of a bucket that are compared in one task.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+#: How far, in standard deviations, the share of equal bins may lie below the similarity asked for.
+DEVIATIONS = 5
+#: Bytes of distinct words whose hashes a task remembers at a time.
+WORD_CACHE = 16 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
 class _WordHashes(dict):
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
+        self.size += len(word) + 40
+        if self.size > WORD_CACHE:
             self.clear()
+            self.size = len(word) + 40
         self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return h
 
@@ -110,14 +123,17 @@ def signatures(docs: DataFrame, k: int, bands: int, per_band: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the documents with these ids."""
+    wanted = small_side(kept(ids.select(F.col("id").alias("doc_id")).distinct(), "candidates"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             sets = [shingle_set(text.as_py(), hashes, k).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,34 +169,30 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = BANDS, per_band: int = BINS_PER_BAND, pair_limit: int = 512) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; the smallest id of each component is kept."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = BANDS, per_band: int = BINS_PER_BAND, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; the smallest id of each component is kept. block: rows of a bucket that are compared in one task."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = kept(signatures(docs, shingle, bands, per_band), "signatures")
     live = signed.filter("doc_id is not null and n_shingles > 0")
     classes = kept(live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").select("set_key", "rep"), "equal-sets")
-    classes = small_side(classes, 40)
+    classes = small_side(classes)
     nodes = live.join(classes, "set_key", "left").filter("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
     shared = kept(_shared(nodes.select("id", F.explode("bands").alias("key"))), "buckets")
     facts = kept(shared.groupBy("id").agg(F.sum("c").alias("company")).join(nodes, "id"), "members")
     members = kept(shared.select("id", "key").join(facts.select("id", "n", "company"), "id"), "buckets")
+    release(shared)
     tried = kept(_stars(members, percent), "edges")
-    wanted = small_side(kept(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates"), 16)
-    sets = kept(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle), "sets")
+    ids = F.explode(F.array("a", "b")).alias("id")
+    sets = kept(_sets(docs, tried.select(ids), shingle), "sets")
     links = kept(_confirmed(tried, sets, percent), "links")
+    release(tried, sets)
     labels = components(links)
-    while members is not None:
-        pairs, members = _unsettled(members, labels, facts, pair_limit, percent)
-        edges = pairs if members is None else pairs.unionByName(_stars(members, percent)).distinct()
-        fresh = kept(edges.join(tried, ["a", "b"], "left_anti"), "edges")
-        if fresh.isEmpty():
-            continue
-        tried = tried.unionByName(fresh)
-        more = fresh.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-        sets = sets.unionByName(kept(_sets(docs.join(small_side(kept(more, "candidates"), 16), "doc_id", "left_semi"), shingle), "sets"))
-        links = kept(_confirmed(fresh, sets, percent), "links")
-        if not links.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+    unsettled = kept(_screened(_blocks(members, labels, facts, block), percent), "unsettled")
+    sets = kept(_sets(docs, unsettled.select("id"), shingle), "sets")
+    more = kept(_joining(unsettled, sets, percent).distinct(), "links")
+    release(members, facts, unsettled, sets)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = live.select("doc_id", "set_key").join(classes, "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("id"))
     named = named.join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
@@ -188,52 +200,72 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-#: Rows of a bucket that are compared in one task, and how far, in standard deviations, the share of equal bins may lie below the similarity asked for.
-BLOCK, DEVIATIONS = 2000, 5
-
-
-def _unsettled(members: DataFrame, labels: DataFrame, facts: DataFrame, pair_limit: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """From buckets that span components: the pairs to try where these are few, and the members of the parts of the others (None: there are none)."""
+def _blocks(members: DataFrame, labels: DataFrame, facts: DataFrame, block: int) -> DataFrame:
+    """The members of buckets that span components, dealt to pairs (i, j) of blocks of the bucket: all of them, and, marked `outer`, those outside the largest component."""
     placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by_component = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = F.max(F.struct("n", -F.col("component"))).alias("largest")
-    buckets = by_component.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("parts"), largest).filter("parts > 1")
-    # Members outside the largest component, each of which is tried with all of another component.
-    few = (F.col("c") - F.col("largest.n") <= pair_limit).alias("few")
-    placed = kept(placed.join(buckets.select("key", "c", (-F.col("largest.col2")).alias("main"), few), "key"), "unsettled")
-    blocks = F.ceil(F.col("c") / BLOCK)
-    small = placed.filter("few").join(facts.select("id", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    outside = small.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    columns = ["key", "block", "id", "n", "component", "sketch"]
-    pairs = small.select(columns).groupBy("key", "block").cogroup(outside.select([F.col(c).alias(f"{c}_") for c in columns]).groupBy("key_", "block_")).applyInArrow(_alike(percent), "a long, b long").distinct()
-    large = placed.filter("not few").select("key", "id")
-    if large.isEmpty():
-        return pairs, None
-    last = F.coalesce(F.nullif(F.array_position("bands", F.col("key")), F.lit(0)), F.col("last")) if "last" in members.columns else F.array_position("bands", F.col("key"))
-    split = placed.filter("not few").select("key", "id", *["last"] * ("last" in members.columns)).join(facts, "id")
-    split = split.withColumn("last", last.cast("int")).select("id", "n", "company", "last", F.col("key").alias("path"), F.posexplode("bands").alias("band", "next")).filter("band >= last")
-    return pairs, kept(_shared(split.select("id", "n", "company", (F.col("band") + 1).alias("last"), F.xxhash64("path", "next").alias("key"))).drop("c"), "divided")
-
-
-def _alike(percent: int):
-    """Pairs (a, b) of a block and the outsiders whose sketches agree in about as many bins as similar sets do."""
-
-    def run(block: pa.Table, outside: pa.Table) -> pa.Table:
-        ids, others = block["id"].to_numpy(), outside["id_"].to_numpy()
-        found: list[np.ndarray] = []
-        if len(ids) and len(others):
-            rows, wanted = (np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1) for sketches in (block["sketch"], outside["sketch_"]))
-            n, component = block["n"].to_numpy(), block["component"].to_numpy()
-            j, bins = percent / 100, rows.shape[1]
-            least = bins * j - DEVIATIONS * (bins * j * (1 - j)) ** 0.5
-            for i, own in enumerate(wanted):
-                m = outside["n_"][i].as_py()
-                good = ((rows == own).sum(1) >= least) & (component != outside["component_"][i].as_py()) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                found.append(np.stack([np.minimum(ids[good], others[i]), np.maximum(ids[good], others[i])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return run
+    by_component = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    buckets = by_component.groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("parts"), F.max(F.struct("c", -F.col("component"), "s")).alias("main")).filter("parts > 1")
+    parts = lambda c, s: F.ceil(F.greatest(c / block, s / BLOCK_SHINGLES))
+    buckets = buckets.select("key", (-F.col("main.col2")).alias("main"), parts(F.col("c"), F.col("s")).alias("inner"), parts(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("outer_parts"))
+    rows = placed.join(small_side(kept(buckets, "open-buckets")), "key").join(facts.select("id", "bands", "sketch"), "id")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    names = ["key", "i", "j", "id", "n", "component", "outer", "bands", "sketch"]
+    inside = rows.withColumns({"outer": F.lit(False), "i": F.pmod(F.xxhash64("id"), F.col("inner"))}).withColumn("j", upto("outer_parts"))
+    outside = rows.filter("component <> main").withColumns({"outer": F.lit(True), "j": F.pmod(F.xxhash64("id"), F.col("outer_parts"))}).withColumn("i", upto("inner"))
+    return inside.select(names).unionByName(outside.select(names))
+
+
+def _screened(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows of a block that have a partner across it whose sketch agrees in about as many bins as similar sets do, and with whom no earlier band is shared."""
+    names = ["key", "i", "j", "id", "n", "component", "outer"]
+
+    def run(group: pa.Table) -> pa.Table:
+        outer, n, component = (group[c].to_numpy() for c in ("outer", "n", "component"))
+        wanted, rows = np.flatnonzero(outer), np.flatnonzero(~outer)
+        active = np.zeros(len(outer), bool)
+        if len(wanted) and len(rows):
+            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(outer), -1)
+            keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(outer), -1)
+            inside, j = sketch[rows], percent / 100
+            least = inside.shape[1] * j - DEVIATIONS * (inside.shape[1] * j * (1 - j)) ** 0.5
+            for w in wanted:
+                good = (component[rows] != component[w]) & (100 * np.minimum(n[rows], n[w]) >= percent * np.maximum(n[rows], n[w]))
+                good = np.flatnonzero(good)
+                found = rows[good[(inside[good] == sketch[w]).sum(1) >= least]]
+                before = int(np.argmax(keys[w] == group["key"][0].as_py()))
+                found = found[~(keys[found, :before] == keys[w, :before]).any(1)]
+                if len(found):
+                    active[found] = active[w] = True
+        return group.select(names).filter(pa.array(active))
+
+    return blocks.groupBy("key", "i", "j").applyInArrow(run, "key long, i long, j long, id long, n long, component long, outer boolean")
+
+
+def _joining(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) on full sets between the outer rows of a block and the others, as many as join components that the block's links so far have not joined."""
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["outer"].to_numpy(), kind="stable")  # the inside first
+        group = group.take(pa.array(order))
+        ids, n, label = group["id"].to_numpy(), group["n"].to_numpy(), group["component"].to_numpy().copy()
+        inside = int((~group["outer"].to_numpy()).sum())
+        starts = np.cumsum([0, *n])
+        codes = np.unique(np.frombuffer(b"".join(group["shingles"].to_pylist()), np.uint64), return_inverse=True)[1]
+        here, marked, links = codes[: starts[inside]], np.zeros(codes.max(initial=0) + 1, bool), []
+        for w in range(inside, len(ids)):
+            if inside and (label[:inside] != label[w]).any():
+                own = codes[starts[w] : starts[w + 1]]
+                marked[own] = True
+                same = np.add.reduceat(marked[here], starts[:inside], dtype=np.int64)
+                marked[own] = False
+                for r in np.flatnonzero(100 * same >= percent * (n[:inside] + n[w] - same)):
+                    if label[r] != label[w]:
+                        links.append((min(ids[r], ids[w]), max(ids[r], ids[w])))
+                        label[label == label[r]] = label[w]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return unsettled.drop("n").join(sets.withColumn("n", (F.length("shingles") / 8).cast("long")), "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
