@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import kept, read
 
-#: Distinct white-space-free chunks whose ids a task remembers at a time, and bytes of text that it encodes at a time.
-CHUNK_CACHE, ENCODE_BYTES = 500_000, 1 << 20
+#: Bytes of white-space-free chunks and their ids that a task remembers at a time, and bytes of text that it encodes at a time.
+CHUNK_CACHE, ENCODE_BYTES = 48 << 20, 1 << 20
+#: Bytes that a remembered chunk takes besides its own.
+CHUNK_BYTES = 120
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -48,7 +50,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
         self.model, self.end = self.tokenizer.model, np.uint32(end_id).tobytes()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -63,7 +65,7 @@ class ChunkEncoder:
         codes = np.frombuffer(b" " + raw + b" ", np.uint8)
         at = np.flatnonzero((codes == 44) | (codes == 46))
         beside = np.concatenate([codes[at - 1], codes[at + 1]])
-        if not self.joins[beside].any() and (not (beside > 127).any() or all(c.isalpha() for c in set(text) if c > "\x7f")):
+        if not self.joins[beside].any() and (not (beside > 127).any() or all(c.isalpha() for c in set(text.lower()) if c > "\x7f")):
             raw = raw.replace(b",", b" , ").replace(b".", b" . ")
         return raw.split()
 
@@ -85,9 +87,14 @@ class ChunkEncoder:
         """One array of ids for each text, the end token last."""
         chunks = [self.chunks(t) for t in texts]
         distinct = set().union(*chunks)
-        if len(self.known) + len(distinct) > CHUNK_CACHE:
+        new = list(distinct - self.known.keys())
+        more = sum(map(len, new)) * 3 + CHUNK_BYTES * len(new)
+        if self.size + more > CHUNK_CACHE and self.known:
             self.known.clear()
-        self.learn(list(distinct - self.known.keys()))
+            new, self.size = list(distinct), 0
+            more = sum(map(len, new)) * 3 + CHUNK_BYTES * len(new)
+        self.size += more
+        self.learn(new)
         for own in chunks:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, own)) + self.end, "<u4")
 

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import read
 
 MARK = "▁"
-#: Distinct pre-tokens whose counts a task remembers at a time, and bytes of text whose pre-tokens are visited at a time.
-TERMINALS, VISIT_BYTES = 300_000, 4 << 20
+#: Bytes of distinct pre-tokens whose counts a task remembers at a time, and bytes of text whose pre-tokens are visited at a time.
+TERMINALS, VISIT_BYTES = 32 << 20, 4 << 20
+#: Bytes that a remembered pre-token takes besides its own.
+TERMINAL_BYTES = 100
 
 
 def vocabulary_file(name: str = "piece_bpe_32k.model") -> str:
@@ -52,10 +54,14 @@ class Trie:
         self.scores, self.longest = scores, max(map(len, scores), default=1)
         self.byte = -math.log(len(scores) + 2)
         self.counts: dict[bytes, int] = {}
+        self.size = 0
 
     def insert(self, tokens: set[bytes]) -> None:
-        if len(self.counts) + len(tokens) > TERMINALS:
+        more = sum(len(t) + TERMINAL_BYTES for t in tokens - self.counts.keys())
+        if self.size + more > TERMINALS and self.counts:
             self.counts.clear()
+            self.size, more = 0, sum(len(t) + TERMINAL_BYTES for t in tokens)
+        self.size += more
         get, longest, byte = self.scores.get, self.longest, self.byte
         path, before = [(0.0, 0)], ""
         for word, raw in sorted((MARK + t.decode(), t) for t in tokens - self.counts.keys()):
