@@ -23,20 +23,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The digest is null for rows that no other row can equal, unless `digest` asks for all of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumns({"n": F.octet_length(text), "p": F.xxhash64(ascii_lower(F.substring(text, 1, prefix)))})
-    groups = rows.groupBy("n", "p").agg(F.count("*").alias("c")).filter("c > 1").select("n", "p", F.lit(True).alias("shared"))
-    groups = small_side(kept(groups, "prefix-groups"), 32)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("n", F.octet_length(text))
+    # Lengths that several rows have; of these rows, the prefixes that several have; only the rest is read whole.
+    lengths = rows.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1").select("n", F.lit(True).alias("same_length"))
+    rows = rows.join(small_side(kept(lengths, "lengths")), "n", "left")
+    rows = rows.withColumn("p", F.when(F.col("same_length"), F.xxhash64(ascii_lower(F.substring(text, 1, prefix)))))
+    groups = rows.filter("same_length").groupBy("n", "p").agg(F.count("*").alias("c")).filter("c > 1").select("n", "p", F.lit(True).alias("shared"))
+    groups = small_side(kept(groups, "prefix-groups"))
     hashed = F.sha2(ascii_lower(text), 256)
     slim = rows.join(groups, ["n", "p"], "left").select(
         "doc_id", "n", F.coalesce("shared", F.lit(False)).alias("shared"), (hashed if digest else F.when(F.col("shared"), hashed)).alias("text_sha256")
     )
     slim = kept(slim, "full-hashes")
-    alone = slim.filter("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    several = slim.filter("shared")
-    groups = several.groupBy("n", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    several = several.join(groups, ["n", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(several)
+    # Groups are summed before they meet their rows again, few enough to be broadcast or else joined where a large group can be split.
+    groups = slim.filter("shared").groupBy("n", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = small_side(kept(groups, "groups"))
+    found = slim.join(groups, ["n", "text_sha256"], "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    kept_ = F.coalesce(alone | F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept_.alias("kept"), "text_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
