@@ -7,8 +7,8 @@ and enough different documents hold it, all its lines are dropped. Exact copies
 that copies of a document do not make its own lines recurring.
 
 Defined results: lines end at a line feed; null and empty texts are one line and come back as they are (null as null);
-lines of fewer than `least_tokens` tokens stay unless `short` is set, and are then dropped where all of their tokens are
-constant (blank lines and lines whose token has a digit stay); rows that repeat an id are treated one by one; a null id stays null;
+lines of fewer than `least_tokens` tokens are dropped where all of their tokens are constant (blank lines and short lines
+with a digit stay), or always stay with `short` off; rows that repeat an id are treated one by one; a null id stays null;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import kept, read, small_side
+from vellum.llm.common import kept, read, release, small_side
 
 FIELD = "<*>"
 
@@ -28,7 +28,7 @@ def masked_tokens(line: Column) -> Column:
     return F.filter(F.split(masked, " "), lambda t: t != "")
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 4, least_docs: int = 5, constant: float = 0.6, short: bool = False) -> DataFrame:
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 4, least_docs: int = 5, constant: float = 0.6, short: bool = True) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) per row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # What lines are found again by: rows with the same id and text have the same lines to drop.
@@ -36,22 +36,32 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Tokens are made inside the generator, so that each line is cut once, whatever is read of them later.
     lines = F.transform(F.split("text", "\n"), masked_tokens)
     tokens = rows.select(*key, F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("at", "tokens")).filter(F.size("tokens") >= (1 if short else least_tokens))
-    tokens = tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    tokens = tokens.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)), "variant": F.xxhash64("tokens")})
     leaves = tokens.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
-    leaves = small_side(kept(leaves, "leaves"), 16)
+    leaves = small_side(kept(leaves, "leaves"))
     lines = kept(tokens.join(leaves, "leaf", "left_semi"), "leaf-lines")
-    variants = lines.select("leaf", "copy", "tokens").distinct()
-    places = variants.select("leaf", "copy", F.posexplode("tokens").alias("place", "token")).distinct()
-    constants = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    constants = constants.groupBy("leaf").agg(F.collect_set(F.concat_ws("\u001f", F.col("place").cast("string"), "token")).alias("constants"))
-    template = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", F.concat_ws("\u001f", i.cast("string"), t)) & (t != FIELD), t).otherwise(FIELD))
-    parsed = lines.join(constants, "leaf").select("key", "size", "copy", "at", "leaf", template.alias("template"))
-    fixed = F.size(F.filter("template", lambda t: t != FIELD))
-    enough = F.when(F.size("template") < least_tokens, F.size("template")).otherwise(constant * F.size("template"))
-    parsed = kept(parsed.filter(fixed >= enough).withColumn("template", F.concat_ws(" ", "template")), "templates")
-    recurring = parsed.select("leaf", "template", "copy").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    drops = parsed.join(recurring.select("leaf", "template"), ["leaf", "template"], "left_semi")
-    drops = small_side(kept(drops.groupBy("key", "size").agg(F.collect_set("at").alias("drops")), "drops"), 64)
+    # A line's tokens are judged once for each variant of the leaf, a row for each token: no leaf is gathered in a row or task.
+    variants = kept(lines.groupBy("leaf", "variant", "copy").agg(F.first("tokens").alias("tokens")), "variants")
+    token = F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))
+    support = variants.select("leaf", F.posexplode(token).alias("place", "token")).filter("token is not null")
+    # A copy may hold several variants of a leaf that agree in a token; it counts once.
+    several = variants.groupBy("leaf", "copy").agg(F.count("*").alias("c")).filter("c > 1").select("leaf", "copy")
+    twice = variants.join(small_side(kept(several, "several")), ["leaf", "copy"], "left_semi").select("leaf", "copy", F.posexplode(token).alias("place", "token")).filter("token is not null")
+    twice = twice.groupBy("leaf", "copy", "place", "token").agg((1 - F.count("*")).alias("n")).filter("n < 0")
+    counted = support.withColumn("n", F.lit(1).cast("long")).unionByName(twice.select("leaf", "place", "token", "n"))
+    constants = counted.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    distinct = variants.groupBy("leaf", "variant").agg(F.first("tokens").alias("tokens"))
+    judged = distinct.select("leaf", "variant", F.size("tokens").alias("n"), F.posexplode(token).alias("place", "token")).join(small_side(kept(constants, "constants")), ["leaf", "place", "token"], "left")
+    fields = F.sort_array(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).alias("token"))))
+    parsed = judged.groupBy("leaf", "variant", "n").agg(F.count("fixed").alias("fixed"), F.xxhash64(fields).alias("template"))
+    enough = F.when(F.col("n") < least_tokens, F.col("n")).otherwise(constant * F.col("n"))
+    parsed = kept(parsed.filter(F.col("fixed") >= enough).select("leaf", "variant", "template"), "templates")
+    held = variants.select("leaf", "variant", "copy").join(small_side(parsed), ["leaf", "variant"]).select("leaf", "template", "copy").distinct()
+    recurring = kept(held.groupBy("leaf", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "template"), "recurring")
+    dropped = kept(parsed.join(small_side(recurring), ["leaf", "template"], "left_semi").select("leaf", "variant"), "dropped")
+    drops = lines.join(small_side(dropped), ["leaf", "variant"], "left_semi")
+    drops = small_side(kept(drops.groupBy("key", "size").agg(F.collect_set("at").alias("drops")), "drops"))
+    release(lines, variants)
     every = rows.withColumns({"key": key[0], "size": key[1]}).join(drops, ["key", "size"], "left")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("drops", i))
@@ -64,12 +74,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(read(spark, sf_dir, "documents"))
 
 
-def query_with_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines of one to three tokens in the tree."""
-    return drop_templates(read(spark, sf_dir, "documents"), short=True)
+def query_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines of one to three tokens left out of the tree."""
+    return drop_templates(read(spark, sf_dir, "documents"), short=False)
 
 
-SQL = r"""
+SQL_LONG_LINES = r"""
 WITH l AS (SELECT doc_id, text, i - 1 AS pos, lines[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)),
 t AS (SELECT doc_id, text, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(line, ' ') IF x <> ''] AS tokens FROM l),
 k AS (SELECT *, concat_ws(chr(31), len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM t WHERE len(tokens) >= 4),
@@ -88,4 +98,4 @@ SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(n_dropp
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_over x USING (doc_id)
 """
 
-SQL_WITH_SHORT = SQL.replace("WHERE len(tokens) >= 4", "WHERE len(tokens) >= 1").replace(">= 0.6 * n)", ">= CASE WHEN n < 4 THEN n ELSE 0.6 * n END)")
+SQL = SQL_LONG_LINES.replace("WHERE len(tokens) >= 4", "WHERE len(tokens) >= 1").replace(">= 0.6 * n)", ">= CASE WHEN n < 4 THEN n ELSE 0.6 * n END)")

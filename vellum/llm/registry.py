@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from vellum.llm import decontamination, exact_dedup, line_templates, minhash_dedup, packing, quality, resharding, suffix_dedup, toxicity, trie_counts
 
 MODULES = {
@@ -20,9 +19,9 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in MODULES.items()} | {"op4_line_templates_with_short": line_templates.query_with_short, "pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in MODULES.items()} | {"op4_line_templates_long_lines": line_templates.query_long_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {name: module.SQL for name, module in MODULES.items()} | {"op4_line_templates_with_short": line_templates.SQL_WITH_SHORT, "pipeline": corpus_pipeline.ORACLE_SQL}
+    own = {name: module.SQL for name, module in MODULES.items()} | {"op4_line_templates_long_lines": line_templates.SQL_LONG_LINES}
     return {name: sql for name, sql in own.items() if sql}
