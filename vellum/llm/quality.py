@@ -2,12 +2,12 @@
 
 A document is a bag of passages. Each passage becomes frequencies of pairs of byte classes and a few word statistics,
 then a hidden layer; a gated attention network weighs the passages, and the weighted sum is classified. Only whole
-documents have labels. Fitting uses at most `most` labelled rows of each class, weighted by the class's counted share of
-all learnable labels; their passages go to the driver. Scoring runs over whole texts in Arrow batches with the small fitted model.
+documents have labels. Fitting uses at most `most` labelled rows of each class and texts of at most 128 KiB (the bound on
+what goes to the driver: their passages), weighted by the class's counted share of all learnable labels. Scoring runs over whole texts in Arrow batches with the small fitted model.
 
 Defined results: a null or empty text is one empty passage and gets that passage's score; without any labelled row of
-both classes every score is 0.5; rows that repeat an id are scored one by one; a null id is not held out; further
-columns are ignored; an empty table gives an empty result.
+both classes every score is 0.5; ids whose labels contradict each other have none; rows that repeat an id are scored one
+by one, and the least of their texts is learned from; a null id is not held out; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int) -> Attention | None:
     return fit([np.frombuffer(b, np.float16).reshape(-1, width).astype(np.float32) for b in found["bag"].to_pylist()], y.astype(np.float32), weight=found["weight"].to_numpy())
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
-    """(doc_id, held_out, score) for every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000, row_col: str | None = None) -> DataFrame:
+    """(doc_id, held_out, score[, row]) for every row; row is a number (long) that tells rows apart, where ids may repeat or be null."""
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row)
     model, table = train(docs, labels, most), _byte_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +177,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 s = np.full(len(batch), 0.5) if model is None else model.score(*_bags(batch.column(1).to_pylist(), table))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), batch.column(2)], names=["doc_id", "score", "row"])
 
-    return docs.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+    return docs.mapInArrow(run, "doc_id long, score double, row long").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", *["row"] * bool(row_col))
 
 
 #: Rows that score lower are rejected.

@@ -1,19 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers for insults, threats, targets, negation and reported speech read the words of a clause. Each is a
-table (state, symbol) -> (state, symbol, weight); composing them gives one machine whose state says whether the
-clause has a target and whether a negation or a reporting verb still governs what follows. Every insult or threat
-that it reads is written out as one of eight kinds of match (plain or aimed, negated or not, reported or not), with
-its lexicon weight; documents are scored by the matches of their clauses, never by words alone.
+Small transducers for insults, threats, negation, reported speech and targets read the words of a clause. Each is a
+table (state, symbol) -> (state, symbol, weight); composing them gives one machine. The insult transducer follows an
+address ("you ...", "you are such a ...") and tells an insult said of its target from one that merely stands there; the
+threat transducer follows intent ("will ...") and tells a threat from a mention of violence. Negations and
+reporting verbs mark what they govern. The target transducer holds a match back until a target follows it or the clause
+ends, so a target counts on either side. Every match is written out as one of 32 kinds (address, insult, intent or violence; negated or
+not, reported or not, aimed or not), with its lexicon weight; documents are scored by the matches of their clauses, never
+by words alone.
 
 The function words of the grammar are fixed lists. The insult lexicon is learned: word beginnings whose document
 counts in labelled toxic and other rows differ beyond chance. The weight of each kind of match is learned by logistic
-regression. Both use at most `most` labelled rows of each class; in the regression a row is weighted by its class's counted
+regression. Both use at most `most` labelled rows of each class and texts of at most 128 KiB; in the regression a row is weighted by its class's counted
 share of all learnable labels, so that scores keep the classes' shares. The lexicon compares rates within the classes.
 
 Defined results: a null or empty text has no clause and gets the score of a document without matches; without labelled
-rows of both classes the lexicon is empty and every score is 0.5 or less; rows that repeat an id are scored one by one;
-a null id is not held out; further columns are ignored; an empty table gives an empty result.
+rows of both classes the lexicon is empty and every score is 0.5 or less; ids whose labels contradict each other have none;
+rows that repeat an id are scored one by one, and the least of their texts is learned from; a null id is not held out; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,18 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import read
+from vellum.llm.common import kept, read
 from vellum.llm.labelled import held_out, sample
 
 THREATS = "kill hurt destroy beat crush burn töten schlagen vernichten tuer frapper détruire matar golpear destruir"
 TARGETS = "you your yourself u du dich dir ihr euch dein tu toi te vous ton ta tú ti usted tus"
+INTENTS = "will shall going gonna should must werde wirst wird werden soll vais va vas vamos voy debe i'll we'll"
+COPULAS = "are is were be being you're ur bist seid ist es est êtes sont eres son sois sos"
 NEGATIONS = "not never no don't isn't aren't without nicht nie kein keine ne pas jamais sans nunca jamás sin"
 REPORTS = "said says wrote claims called quoted reported sagte schrieb nannte dit écrit déclaré dijo escribió llamó"
 
-#: Words that a negation governs.
-SCOPE = 3
-#: Distinct words whose symbols a task remembers at a time.
-WORD_CACHE = 300_000
+#: Words that a negation governs, and that an address or an intent reaches.
+SCOPE, REACH = 3, 4
+#: Bytes of distinct words whose symbols a task remembers at a time, each with some more for its tag.
+WORD_CACHE, TAG_BYTES = 32 << 20, 200
 PREFIX_MIN, PREFIX_MAX = 4, 10
 
 Table = dict[tuple, tuple]
@@ -71,42 +76,76 @@ def compose(a: Transducer, b: Transducer, alphabet: set[str]) -> Transducer:
     return Transducer(start, moves)
 
 
-#: other, insult, threat, target, negation, report, end of clause
-ALPHABET = {"o", "I", "T", "Y", "N", "R", "."}
-KINDS = [f"{k}{n}{r}{y}" for k in "IT" for n in ("", "n") for r in ("", "r") for y in ("", "y")]
+#: other, insult, threat, target, copula, intent, negation, report, end of clause
+ALPHABET = {"o", "I", "T", "Y", "B", "M", "N", "R", "."}
+#: A: insult said of the one addressed; I: insult; V: violence intended; T: violence mentioned.
+MATCHES = "AIVT"
+KINDS = [f"{k}{n}{r}{y}" for k in MATCHES for n in ("", "n") for r in ("", "r") for y in ("", "y")]
+
+
+def _following(opens: str, extends: str, plain: str, led: str, symbols: set[str]) -> Transducer:
+    """Writes `led` for a `plain` that comes within REACH words of `opens`, counted anew from each `extends` in between."""
+    moves: Table = {}
+    for k in range(REACH + 1):
+        for s in symbols:
+            after = 0 if s == "." else REACH if s == opens or (s == extends and k) else max(0, k - 1)
+            moves[(k,), s] = ((after,), led if s == plain and k else s, float(s == plain))
+    return Transducer((0,), moves)
+
+
+def _target(symbols: set[str]) -> Transducer:
+    """Marks matches of a clause with a target before or after them. A match waits until it is known, so it may be written at a later symbol, one at each."""
+    moves: Table = {}
+    matches = sorted(s for s in symbols if s[0] in MATCHES)
+    for seen, waiting in [(1, "")] + [(0, w) for w in ["", *matches]]:
+        for s in symbols:
+            if s in matches:
+                moves[(seen, waiting), s] = ((1, ""), s + "y", 0.0) if seen else ((0, s), waiting or "o", 0.0)
+            elif s == "Y":
+                moves[(seen, waiting), s] = ((1, ""), waiting + "y" if waiting else s, 0.0)
+            elif s == ".":
+                moves[(seen, waiting), s] = ((0, ""), waiting or s, 0.0)
+    return Transducer((0, ""), moves)
+
+
+def numbered(machine: Transducer) -> Transducer:
+    """The same machine with numbers for states."""
+    names: dict[tuple, int] = {machine.start: 0}
+    for (state, _), (to, _, _) in machine.moves.items():
+        names.setdefault(state, len(names))
+        names.setdefault(to, len(names))
+    return Transducer(0, {(names[a], s): (names[b], out, w) for (a, s), (b, out, w) in machine.moves.items()})
 
 
 def grammar() -> Transducer:
-    """The composed machine: reads symbols of words, writes o or the kind of match."""
+    """The composed machine: reads symbols of words, writes the kind of each match, or other symbols."""
+    found = ALPHABET | set(MATCHES)
     negation: Table = {}
     for left in range(SCOPE + 1):
-        for s in ALPHABET:
+        for s in found:
             left_after = 0 if s == "." else SCOPE if s == "N" else max(0, left - 1)
-            negation[(left,), s] = ((left_after,), s + "n" if s in "IT" and left else s, 0.0)
-    marked = {s + x + y for s in ALPHABET for x in ("", "n") for y in ("", "r")}
-
-    def flag(on: str, mark: str) -> Transducer:
-        """Marks matches after the symbol `on` until the clause ends."""
-        return Transducer((0,), {((f,), s): ((int(s == on or (f and s != ".")),), s + mark if f and s[0] in "IT" else s, 0.0) for f in (0, 1) for s in marked})
-
-    insult = Transducer((0,), {((0,), s): ((0,), s, 1.0 if s == "I" else 0.0) for s in ALPHABET})
-    threat = Transducer((0,), {((0,), s): ((0,), s, 1.0 if s == "T" else 0.0) for s in ALPHABET})
-    machine = compose(insult, threat, ALPHABET)
-    for part in (Transducer((0,), negation), flag("R", "r"), flag("Y", "y")):
+            negation[(left,), s] = ((left_after,), s + "n" if s in MATCHES and left else s, 0.0)
+    negated = found | {s + "n" for s in MATCHES}
+    reported = Transducer((0,), {((f,), s): ((int(s == "R" or (f and s != ".")),), s + "r" if f and s[0] in MATCHES else s, 0.0) for f in (0, 1) for s in negated})
+    marked = negated | {s + "r" for s in negated if s[0] in MATCHES}
+    machine = compose(_following("Y", "B", "I", "A", ALPHABET), _following("M", "M", "T", "V", ALPHABET | {"A"}), ALPHABET)
+    for part in (Transducer((0,), negation), reported, _target(marked)):
         machine = compose(machine, part, ALPHABET)
-    return machine
+    return numbered(machine)
 
 
 class Tagger(dict):
     """Raw word -> (symbol, weight, ends a clause); words are looked up by their longest learned beginning."""
 
     def __init__(self, insults: dict[str, float]) -> None:
-        self.insults = insults
-        self.fixed = {w: s for s, words in (("T", THREATS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
+        self.insults, self.size = insults, 0
+        self.fixed = {w: s for s, words in (("T", THREATS), ("B", COPULAS), ("Y", TARGETS), ("M", INTENTS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
 
     def __missing__(self, raw: str) -> tuple[str, float, bool]:
-        if len(self) >= WORD_CACHE:
+        self.size += 4 * len(raw) + TAG_BYTES
+        if self.size > WORD_CACHE:
             self.clear()
+            self.size = 4 * len(raw) + TAG_BYTES
         core = re.sub(r"^\W+|\W+$", "", raw.lower())
         symbol, weight = self.fixed.get(core, "o"), 0.0
         whole = core + "$"
@@ -124,18 +163,23 @@ def clause_features(text: str | None, tagger: Tagger, machine: Transducer) -> np
     out[-1] = 1
     tags = list(map(tagger.__getitem__, text.split())) if text else []
     if any(t[0] == "I" or t[0] == "T" for t in tags):
-        state = machine.start
-        for symbol, weight, ends in tags:
-            state, kind, base = machine.step(state, symbol)
-            if base:
-                out[KINDS.index(kind)] += 1
-                out[len(KINDS) + KINDS.index(kind)] += weight
-            if ends:
-                state, _, _ = machine.step(state, ".")
+        state, waiting = machine.start, []  # weights of the matches that are not yet written
+        for symbol, weight, ends in [*tags, ("o", 0.0, True)]:
+            if symbol in "IT":
+                waiting.append(weight)
+            for s in (symbol, ".") if ends else (symbol,):
+                state, kind, _ = machine.step(state, s)
+                at = _KIND.get(kind)
+                if at is not None:
+                    out[at] += 1
+                    out[len(KINDS) + at] += waiting.pop(0)
         out[:-1] = np.log1p(out[:-1])
     return out
 
 
+_KIND = {k: i for i, k in enumerate(KINDS)}
+
+
 def learn_insults(labelled: DataFrame, least: float = 25.0) -> dict[str, float]:
     """Word beginnings (a final $ marks the whole word) with a log-likelihood ratio of at least `least`, and their log odds."""
     totals = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -154,9 +198,12 @@ def learn_insults(labelled: DataFrame, least: float = 25.0) -> dict[str, float]:
     odds = F.log((a + 0.5) / (a_all + 1)) - F.log((b + 0.5) / (b_all + 1))
     found = counts.withColumns({"ratio": ratio, "odds": odds}).filter(F.col("ratio") >= least).filter("odds >= 1.5").orderBy(F.desc("ratio"), F.desc(F.length("p")), "p").collect()
     chosen: dict[str, float] = {}
+    longer: set[str] = set()  # all beginnings of those chosen
     for r in found:  # the strongest beginning of each family of words
-        if not any(r["p"].startswith(c) or c.startswith(r["p"]) for c in chosen):
+        own = [r["p"][:n] for n in range(1, len(r["p"]) + 1)]
+        if r["p"] not in longer and not any(c in chosen for c in own):
             chosen[r["p"]] = float(r["odds"])
+            longer.update(own)
     return chosen
 
 
@@ -175,7 +222,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50,
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3000) -> DataFrame:
     """(doc_id, held_out, score, n_matches) for every row; n_matches counts the insults and threats of all kinds."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = sample(docs, labels, "toxic", most)
+    labelled = kept(sample(docs, labels, "toxic", most), "labelled")
     insults, machine = learn_insults(labelled), grammar()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
