@@ -7,7 +7,8 @@ that repeats, and a phrase that itself occurs twice repeats throughout. Phrases
 equal, as at the ends of a repeat, are cut into parts that are compared in the same way, and only parts that share
 their core without being equal are resolved window by window. What is asked of the suffix order is which suffixes
 agree in their first 200 bytes; those are neighbours in it, and here they are grouped by a hash of that prefix within their
-trigger, so no order of the whole corpus is sorted. Texts are parsed in segments, so memory does not grow with a text.
+trigger: suffix arrays of dictionary and parse are not built, and no order of the whole corpus is sorted. Texts are parsed
+in segments, so memory does not grow with a text.
 
 Defined results: a null or empty text has no bytes; texts shorter than the width lose nothing; rows that repeat an id
 are documents of their own, and equal ones remove each other; a null id stays null; further columns are ignored; an
@@ -22,14 +23,15 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import kept, read, small_side
+from vellum.llm.common import kept, read, release, small_side
 
 WIDTH, GRAM, SEGMENT = 200, 40, 1 << 18
 #: Windows of a part of a phrase.
 PART = 16
-#: Bytes up to which a counted side of a join is broadcast here.
+#: Bytes up to which the shared triggers are broadcast; beyond them the phrases are shuffled.
 BROADCAST = 48 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -107,12 +109,12 @@ def dictionary_records(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _located(docs: DataFrame, asked: DataFrame, run, schema: str) -> DataFrame:
-    """Runs over (key, size, text, asked) rows, asked being the list of all rows of `asked` for that text."""
+    """Runs over (key, size, text, asked) rows, asked being the list of all rows of `asked` for that text, no more than it has phrases or parts.
+
+    Only texts that are asked for at all are shuffled, where their keys are few enough to be broadcast."""
     names = [c for c in asked.columns if c not in ("key", "size")]
     asked = kept(asked.groupBy("key", "size").agg(F.collect_list(F.struct(*names)).alias("asked")), "asked")
-    listed = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
-    asked = F.broadcast(asked) if listed * 8 * (len(names) + 2) <= BROADCAST else asked
-    return docs.join(asked, ["key", "size"]).select("key", "size", "text", "asked").mapInArrow(run, schema)
+    return docs.join(small_side(kept(asked.select("key", "size"), "asked-keys")), ["key", "size"], "left_semi").join(asked, ["key", "size"]).select("key", "size", "text", "asked").mapInArrow(run, schema)
 
 
 def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -177,35 +179,44 @@ def _several(df: DataFrame, by: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, size, first, last) byte ranges, last exclusive, that together cover every window that starts anywhere else too; docs has key, size and text."""
+    """(key, size, first, last) maximal byte ranges, last exclusive, that windows cover which start anywhere else too; docs has key, size and text."""
     span = lambda df: df.select("key", "size", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (width - 1)).alias("last"))
     records = kept(dictionary_records(docs, width, gram), "phrases")
-    triggers = small_side(kept(_several(records, "trigger"), "triggers"), 16, BROADCAST)
+    triggers = small_side(kept(_several(records, "trigger"), "triggers"), BROADCAST)
     shared = kept(records.join(triggers, "trigger", "left_semi"), "shared")
+    release(records)
     # Phrases that are equal throughout.
     classes = kept(shared.groupBy("trigger", "content").agg(F.count("*").alias("count"), F.min(F.struct("key", "size", "start", "windows", "left")).alias("one")), "classes")
-    several = small_side(kept(classes.filter("count > 1").select("trigger", "content"), "several"), 24, BROADCAST)
-    whole = span(shared.join(several, ["trigger", "content"], "left_semi"))
+    whole = span(shared.join(classes.filter("count > 1").select("trigger", "content"), ["trigger", "content"], "left_semi"))
     # Parts that are equal throughout, of phrases that share a trigger.
     parts = kept(_parts(docs, classes.join(_several(classes, "trigger"), "trigger", "left_semi").select("trigger", "count", "one.*"), width), "parts")
-    cores = kept(_several(parts, "core"), "cores")
-    parts = kept(parts.join(small_side(cores, 16, BROADCAST), "core", "left_semi"), "shared-parts")
-    variants = kept(parts.groupBy("core", "full").agg(F.sum("count").alias("count"), F.min(F.struct("key", "size", "start", "windows")).alias("one")), "variants")
+    variants = parts.groupBy("core", "full").agg(F.sum("count").alias("count"), F.min(F.struct("key", "size", "start", "windows")).alias("one"))
+    variants = kept(variants, "variants")
     equal = span(parts.filter("count = 1").join(variants.filter("count > 1").select("core", "full"), ["core", "full"], "left_semi"))
     # Single windows, of parts that share a core.
     windows = kept(_windows(docs, variants.join(_several(variants, "core"), "core", "left_semi").select("core", "count", "one.*"), width), "windows")
     repeats = windows.groupBy("core", "prefix").agg(F.sum("count").alias("n")).filter("n > 1").select("core", "prefix")
     single = windows.filter("count = 1").join(repeats, ["core", "prefix"], "left_semi").withColumn("windows", F.lit(1))
-    return whole.unionByName(equal).unionByName(span(single))
+    return merged(merged(whole).unionByName(merged(span(single))).unionByName(equal))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """The maximal ranges that the spans (key, size, first, last) of each text cover together."""
+    order = W.partitionBy("key", "size").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("key", "size", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept holds the bytes that stay, which need not be valid UTF-8."""
     docs = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    spans = repeated_spans(docs, width, gram).groupBy("key", "size").agg(F.array_distinct(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    spans = repeated_spans(docs, width, gram).groupBy("key", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = kept(spans, "spans")
-    listed = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = docs.join(F.broadcast(spans) if listed * 32 <= BROADCAST else spans, ["key", "size"], "left").select("doc_id", "text", "spans")
+    # Texts that lose nothing need not be shuffled, where the keys of the others are few enough to be broadcast.
+    keys = small_side(kept(spans.select("key", "size"), "span-keys"))
+    whole = docs.join(keys, ["key", "size"], "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    joined = docs.join(keys, ["key", "size"], "left_semi").join(spans, ["key", "size"]).select("doc_id", "text", "spans").unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
