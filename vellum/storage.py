@@ -87,8 +87,9 @@ def _width(column: Column, kind: T.DataType) -> Column | None:
     return None
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its rows take at most `limit` bytes. Pass a kept() table: counting it reads footers, and lengths are only summed where the slots alone would fit."""
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast if its rows take at most `limit` bytes, BROADCAST_BYTES by default. Pass a kept() table: counting it reads footers, and lengths are only summed where the slots alone would fit."""
+    limit = BROADCAST_BYTES if limit is None else limit
     slots = 8 * (len(df.columns) + 1)
     n = df.count()
     if n * slots > limit:
