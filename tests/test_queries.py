@@ -31,8 +31,8 @@ def test_rows_do_not_depend_on_partitions(spark):
     from vellum.operators import prose
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    one = prose.macro_redundancy(docs, prose.sentences(prose.sections(docs)))
+    one = prose.macro_redundancy(docs, prose.judged_sentences(prose.sentences(prose.sections(docs))))
     shuffled = docs.repartition(7, "text")
-    other = prose.macro_redundancy(shuffled, prose.sentences(prose.sections(shuffled)))
+    other = prose.macro_redundancy(shuffled, prose.judged_sentences(prose.sentences(prose.sections(shuffled))))
     assert rows(one.toPandas()) == rows(other.toPandas())
     assert one.filter("score < 0 or score > 1 or num > den").count() == 0

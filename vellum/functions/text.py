@@ -42,24 +42,29 @@ def _quoted(text: str) -> str:
 
 
 def _protected(text: Column) -> Column:
-    """Full stops of abbreviations, initials and decimals become DOT. One pass serves all abbreviations with a single stop."""
+    """Full stops of abbreviations, initials and decimals become DOT. Each pattern begins with the stop and looks back from it, so that few places are tried."""
     single = [_quoted(a[:-1]) for a in ABBREVIATIONS if a.count(".") == 1]
+    out = text
     for a in (a for a in ABBREVIATIONS if a.count(".") > 1):
-        text = F.regexp_replace(text, r"(?<![A-Za-z])" + _quoted(a), a.replace(".", DOT))
-    text = F.regexp_replace(text, r"(?<![A-Za-z])(" + "|".join(single) + r")\.", "$1" + DOT)
-    text = F.regexp_replace(text, r"(?U)\b([A-Z])\.(?=\s+[A-Z][a-z])", "$1" + DOT)
-    return F.regexp_replace(text, r"(\d)\.(\d)", "$1" + DOT + "$2")
+        out = F.regexp_replace(out, r"(?<![A-Za-z])" + _quoted(a), a.replace(".", DOT))
+    out = F.when(text.rlike(r"\.[A-Za-z]\."), out).otherwise(text)  # as every abbreviation with several stops has it
+    out = F.regexp_replace(out, r"(?<=(?:^|[^A-Za-z])(?:" + "|".join(single) + r"))\.", DOT)
+    out = F.regexp_replace(out, r"(?U)(?<=\b[A-Z])\.(?=\s+[A-Z][a-z])", DOT)
+    out = F.regexp_replace(out, r"(?<=\d)\.(?=\d)", DOT)
+    return F.when(text.contains("."), out).otherwise(text)
 
 
-def split_sentences(block: Column) -> Column:
-    """Sentences of a block of text, an array; paragraphs end at blank lines, closing quotes after a stop go with the break."""
+def _sentences(paragraph: Column) -> Column:
+    """Sentences of a paragraph; white space becomes single blanks first, where it isn't yet."""
+    flat = F.trim(F.when(paragraph.rlike(r"[\t-\r]|  "), F.regexp_replace(paragraph, r"\s+", " ")).otherwise(paragraph))
+    return F.transform(F.split(_protected(flat), SENTENCE_BREAK), lambda s: F.trim(F.replace(s, F.lit(DOT), F.lit("."))))
 
-    def of(paragraph: Column) -> Column:
-        flat = F.trim(F.regexp_replace(paragraph, r"\s+", " "))
-        return F.transform(F.split(_protected(flat), SENTENCE_BREAK), lambda s: F.trim(F.replace(s, F.lit(DOT), F.lit("."))))
 
-    paragraphs = F.split(F.coalesce(block, F.lit("")), r"\n\s*\n")
-    return F.filter(F.flatten(F.transform(paragraphs, of)), lambda s: s != "")
+def split_sentences(block: Column) -> Column:
+    """Sentences of a block of text, an array; paragraphs end at blank lines, closing quotes after a stop go with the break."""
+    block = F.coalesce(block, F.lit(""))
+    several = F.flatten(F.transform(F.split(block, r"\n\s*\n"), _sentences))
+    return F.filter(F.when(block.rlike(r"\n\s*\n"), several).otherwise(_sentences(block)), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:

@@ -31,49 +31,50 @@ def outline(parts: DataFrame) -> DataFrame:
 
 
 def gram_rows(sents: DataFrame, n: int = GRAM) -> DataFrame:
-    """(doc_id, sec, sent, at, h1, h2): each n-gram by two independent hashes."""
-    grams = sents.filter(F.size("words") >= n).select("doc_id", "sec", "sent", F.explode(ngrams(F.col("words"), n)).alias("g"))
-    return grams.select("doc_id", "sec", "sent", "g.at", F.xxhash64("g.gram").alias("h1"), F.hash("g.gram").alias("h2"))
+    """(doc_id, sec, sent, at, h1, h2, n_tokens): each n-gram by two independent hashes of its tokens' hashes."""
+    hashed = sents.filter(F.size("words") >= n).select("doc_id", "sec", "sent", F.transform("words", lambda x: F.xxhash64(x)).alias("w"))
+    grams = hashed.select("doc_id", "sec", "sent", F.size("w").alias("n_tokens"), F.explode(ngrams(F.col("w"), n)).alias("g"))
+    return grams.select("doc_id", "sec", "sent", "g.at", F.xxhash64("g.gram").alias("h1"), F.hash("g.gram").alias("h2"), "n_tokens")
 
 
-def repeated_grams(sents: DataFrame, n: int = GRAM) -> DataFrame:
-    """(doc_id, sec, sent, at, src_sec, src_sent): grams whose first occurrence in the document lies in another section.
+def gram_sources(sents: DataFrame, n: int = GRAM) -> DataFrame:
+    """(doc_id, sec, sent, n_tokens, src_sec, grams, met, src_sent, new) for each sentence of n tokens or more and each other section that grams of it occur in first.
 
-    Firsts are found by a map-side combined aggregate; only grams seen in two sections are joined back."""
-    rows = gram_rows(sents, n)
-    firsts = rows.groupBy("doc_id", "h1", "h2").agg(F.min(F.struct("sec", "sent", "at")).alias("first"), F.max("sec").alias("last_sec")).filter("last_sec > first.sec")
-    joined = rows.join(firsts, ["doc_id", "h1", "h2"]).filter("sec <> first.sec")
-    return joined.select("doc_id", "sec", "sent", "at", F.col("first.sec").alias("src_sec"), F.col("first.sent").alias("src_sent"))
+    src_sec is null in the row of the grams that are new or come from the same section. met: the first place of such a gram; new: how many
+    tokens these grams cover that no repeated gram before them in the sentence does. Rows of a document meet in one shuffle by its id, which all later steps by document and sentence use."""
+    rows = gram_rows(sents, n).repartition("doc_id")
+    first = F.first_value(F.struct("sec", "sent")).over(W.partitionBy("doc_id", "h1", "h2").orderBy("sec", "sent", "at"))
+    rows = rows.withColumn("first", first).withColumn("src_sec", F.when(F.col("first.sec") != F.col("sec"), F.col("first.sec")))
+    hit_at = F.when(F.col("src_sec").isNotNull(), F.col("at"))
+    before = F.last(hit_at, ignorenulls=True).over(W.partitionBy("doc_id", "sec", "sent").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    new = F.when(hit_at.isNotNull(), F.least(F.lit(n), F.coalesce(hit_at - before, F.lit(n)))).otherwise(0)
+    rows = rows.withColumn("new", new)
+    return rows.groupBy("doc_id", "sec", "sent", "n_tokens", "src_sec").agg(F.count("*").alias("grams"), F.min("at").alias("met"), F.min_by("first.sent", "at").alias("src_sent"), F.sum("new").alias("new"))
 
 
-def flagged_sentences(sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
-    """(doc_id, sec, sent, text, n_tokens, covered, coverage, src_sec, src_sent, src_text): sentences mostly made of earlier sections' grams.
+def judged_sentences(sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
+    """(doc_id, sec, sent, n_tokens, covered, coverage, flagged, src_sec, src_sent): every sentence of n tokens or more; flagged if mostly made of earlier sections' grams.
 
     The source is the section with most shared grams, the one met first on a tie, and its earliest sentence among them."""
-    key = ["doc_id", "sec", "sent"]
-    hits = repeated_grams(sents, n)
-    step = F.col("at") - F.lag("at").over(W.partitionBy(*key).orderBy("at"))
-    covered = hits.withColumn("new", F.least(F.lit(n), F.coalesce(step, F.lit(n)))).groupBy(*key).agg(F.sum("new").alias("covered"))
-    by_source = hits.groupBy(*key, "src_sec").agg(F.count("*").alias("grams"), F.min("at").alias("met"), F.min_by("src_sent", "at").alias("src_sent"))
-    source = by_source.groupBy(*key).agg(F.max_by(F.struct("src_sec", "src_sent"), F.struct("grams", -F.col("met"))).alias("source")).select(*key, "source.*")
-    sized = sents.select(*key, "text", F.size("words").alias("n_tokens"))
-    flagged = sized.join(covered, key).withColumn("coverage", ratio(F.col("covered"), F.col("n_tokens"))).filter(F.col("coverage") >= least).join(source, key)
+    source = F.max_by(F.struct("src_sec", "src_sent"), F.when(F.col("src_sec").isNotNull(), F.struct("grams", -F.col("met")))).alias("source")
+    rows = gram_sources(sents, n).groupBy("doc_id", "sec", "sent", "n_tokens").agg(F.sum("new").alias("covered"), source)
+    coverage = ratio(F.col("covered"), F.col("n_tokens"))
+    return rows.select("doc_id", "sec", "sent", "n_tokens", "covered", coverage.alias("coverage"), (coverage >= least).alias("flagged"), "source.*")
+
+
+def flagged_sentences(sents: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id, sec, sent, text, n_tokens, covered, coverage, src_sec, src_sent, src_text): the flagged of the judged sentences with their text and their source's."""
+    flagged = judged.filter("flagged").drop("flagged")
+    text = flagged.join(sents.select("doc_id", "sec", "sent", "text"), ["doc_id", "sec", "sent"])
     origin = sents.select("doc_id", F.col("sec").alias("src_sec"), F.col("sent").alias("src_sent"), F.col("text").alias("src_text"))
-    return flagged.join(origin, ["doc_id", "src_sec", "src_sent"])
-
-
-def macro_redundancy(docs: DataFrame, sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
-    """(doc_id, num, den, score, status) for every document; den counts the sentences of n tokens or more, score is null without any."""
-    key = ["doc_id", "sec", "sent"]
-    hits = repeated_grams(sents, n)
-    step = F.col("at") - F.lag("at").over(W.partitionBy(*key).orderBy("at"))
-    covered = hits.withColumn("new", F.least(F.lit(n), F.coalesce(step, F.lit(n)))).groupBy(*key).agg(F.sum("new").alias("covered"))
-    sized = sents.select(*key, F.size("words").alias("n_tokens")).filter(F.col("n_tokens") >= n)
-    units = sized.groupBy("doc_id").agg(F.count("*").alias("den"))
-    flagged = covered.join(sized, key).filter(ratio(F.col("covered"), F.col("n_tokens")) >= least).groupBy("doc_id").agg(F.count("*").alias("num"))
-    every = docs.select("doc_id").join(units, "doc_id", "left").join(flagged, "doc_id", "left")
-    num = F.when(F.col("den").isNotNull(), F.coalesce("num", F.lit(0)))
-    return every.select("doc_id", num.alias("num"), "den", ratio(num, F.col("den")).alias("score"), F.when(F.col("den").isNull(), "na").otherwise("done").alias("status"))
+    return text.join(origin, ["doc_id", "src_sec", "src_sent"])
+
+
+def macro_redundancy(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id, num, den, score, status) for every document; den counts the judged sentences, score is null without any."""
+    units = judged.groupBy("doc_id").agg(F.count_if("flagged").alias("num"), F.count("*").alias("den"))
+    every = docs.select("doc_id").join(units, "doc_id", "left")
+    return every.select("doc_id", "num", "den", ratio(F.col("num"), F.col("den")).alias("score"), F.when(F.col("den").isNull(), "na").otherwise("done").alias("status"))
 
 
 def redundancy_edges(flagged: DataFrame) -> DataFrame:

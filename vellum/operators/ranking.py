@@ -43,10 +43,22 @@ def shaded(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return ranked.filter("r <= 3").groupBy(*by).agg(F.min(value).alias("threshold"))
 
 
-def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The middle value, of an even number the upper one of the two in the middle; ranks, not a list in one row."""
-    ranked = rows.filter(F.col(value).isNotNull()).withColumns({"r": F.row_number().over(W.partitionBy(*by).orderBy(value)), "c": F.count("*").over(W.partitionBy(*by))})
-    return ranked.filter("r = floor(c / 2) + 1").select(*by, F.col(value).alias("median"))
+def upper_median(rows: DataFrame, by: list[str], value: str, steps: int = 4) -> DataFrame:
+    """The middle value, of an even number the upper one of the two in the middle.
+
+    Values are counted in blocks between approximate percentiles of their group; only the rows of the block that holds the middle are ranked, so a
+    large group is sorted in a small part. The percentiles only set the bounds; the result is exact."""
+    rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    at = [k / 2**steps for k in range(1, 2**steps)]
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("_v", at, 1000).alias("_bounds"))  # a row for each group
+    dealt = rows.join(bounds, by).withColumn("_block", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    counts = dealt.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*by).orderBy("_block")
+    placed = counts.withColumns({"_upto": F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)), "_c": F.sum("_n").over(W.partitionBy(*by))})
+    middle = F.floor(F.col("_c") / 2) + 1
+    wanted = placed.filter((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_n") < middle)).select(*by, "_block", (middle - F.col("_upto") + F.col("_n")).alias("_r"))
+    ranked = dealt.join(wanted, [*by, "_block"]).withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy("_v")))
+    return ranked.filter("_rank = _r").select(*by, F.col("_v").alias("median"))
 
 
 def facets(rows: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import prose
+from vellum.storage import kept, spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,15 +15,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.sentences(prose.sections(_docs(spark, sf_dir)))
+    return prose.sentences(prose.sections(spread(_docs(spark, sf_dir))))
+
+
+def _stored_sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that are read more than once, cut once."""
+    return kept(_sents(spark, sf_dir), "sentences")
 
 
 def macro_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.macro_redundancy(_docs(spark, sf_dir), _sents(spark, sf_dir))
+    return prose.macro_redundancy(_docs(spark, sf_dir), prose.judged_sentences(_sents(spark, sf_dir)))
 
 
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.outline(prose.sections(_docs(spark, sf_dir)))
+    return prose.outline(prose.sections(spread(_docs(spark, sf_dir))))
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    words = spread(_docs(spark, sf_dir)).select(F.explode(T.tokens(F.col("text"))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -42,25 +48,28 @@ def ngram_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.flagged_sentences(_sents(spark, sf_dir))
+    sents = _stored_sents(spark, sf_dir)
+    return prose.flagged_sentences(sents, prose.judged_sentences(sents))
 
 
 def redundancy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.redundancy_edges(prose.flagged_sentences(_sents(spark, sf_dir)))
+    return prose.redundancy_edges(prose.judged_sentences(_sents(spark, sf_dir)).filter("flagged"))
 
 
 def near_duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.near_duplicate_sentences(_sents(spark, sf_dir))
+    return prose.near_duplicate_sentences(_stored_sents(spark, sf_dir))
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.near_duplicate_pairs(_sents(spark, sf_dir))
+    return prose.near_duplicate_pairs(_stored_sents(spark, sf_dir))
 
 
 def findings_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven columns; a document without findings keeps one row with its note."""
-    scored = macro_redundancy(spark, sf_dir)
-    found = prose.flagged_sentences(_sents(spark, sf_dir)).select("doc_id", F.col("sec").alias("section"), F.col("text").alias("finding"), F.concat(F.lit("from section "), F.col("src_sec").cast("string")).alias("detail"))
+    sents = _stored_sents(spark, sf_dir)
+    judged = kept(prose.judged_sentences(sents), "judged")
+    scored = prose.macro_redundancy(_docs(spark, sf_dir), judged)
+    found = prose.flagged_sentences(sents, judged).select("doc_id", F.col("sec").alias("section"), F.col("text").alias("finding"), F.concat(F.lit("from section "), F.col("src_sec").cast("string")).alias("detail"))
     note = F.when(F.col("status") == "na", "No sentence of eight or more tokens was recovered.").otherwise("")
     return scored.join(found, "doc_id", "left").select(
         "doc_id", F.lit("macro_redundancy").alias("measure"), F.lit("structure").alias("plane"), F.round("score", 4).alias("measure_score"), "section", F.coalesce("finding", note).alias("finding"), F.coalesce("detail", F.lit("")).alias("detail")
@@ -74,7 +83,7 @@ def cue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = prose.outline(prose.sections(_docs(spark, sf_dir)))
+    parts = prose.outline(prose.sections(spread(_docs(spark, sf_dir))))
     return parts.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences"), F.max("n_words").alias("largest"))
 
 

@@ -72,6 +72,12 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             remove(spark, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its source has fewer parts than that, as a small file does; a large source stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _width(column: Column, kind: T.DataType) -> Column | None:
     """Bytes of a value beyond its eight-byte slot, None where there are none."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
