@@ -37,11 +37,8 @@ def gram_rows(sents: DataFrame, n: int = GRAM) -> DataFrame:
     return grams.select("doc_id", "sec", "sent", "g.at", F.xxhash64("g.gram").alias("h1"), F.hash("g.gram").alias("h2"), "n_tokens")
 
 
-def gram_sources(sents: DataFrame, n: int = GRAM) -> DataFrame:
-    """(doc_id, sec, sent, n_tokens, src_sec, grams, met, src_sent, new) for each sentence of n tokens or more and each other section that grams of it occur in first.
-
-    src_sec is null in the row of the grams that are new or come from the same section. met: the first place of such a gram; new: how many
-    tokens these grams cover that no repeated gram before them in the sentence does. Rows of a document meet in one shuffle by its id, which all later steps by document and sentence use."""
+def repeated_grams(sents: DataFrame, n: int = GRAM) -> DataFrame:
+    """gram_rows with the section and sentence `first` that each gram occurs in first, that section as src_sec if it is another one, and `new`, the tokens that a repeated gram covers and none before it in its sentence."""
     rows = gram_rows(sents, n).repartition("doc_id")
     first = F.first_value(F.struct("sec", "sent")).over(W.partitionBy("doc_id", "h1", "h2").orderBy("sec", "sent", "at"))
     rows = rows.withColumn("first", first).withColumn("src_sec", F.when(F.col("first.sec") != F.col("sec"), F.col("first.sec")))
@@ -49,9 +46,30 @@ def gram_sources(sents: DataFrame, n: int = GRAM) -> DataFrame:
     before = F.last(hit_at, ignorenulls=True).over(W.partitionBy("doc_id", "sec", "sent").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
     new = F.when(hit_at.isNotNull(), F.least(F.lit(n), F.coalesce(hit_at - before, F.lit(n)))).otherwise(0)
     rows = rows.withColumn("new", new)
+    return rows
+
+
+def gram_sources(sents: DataFrame, n: int = GRAM) -> DataFrame:
+    """(doc_id, sec, sent, n_tokens, src_sec, grams, met, src_sent, new) for each sentence of n tokens or more and each other section that grams of it occur in first.
+
+    src_sec is null in the row of the grams that are new or come from the same section. met: the first place of such a gram; new: how many
+    tokens these grams cover that no repeated gram before them in the sentence does. Rows of a document meet in one shuffle by its id, which all later steps by document and sentence use."""
+    rows = repeated_grams(sents, n)
     return rows.groupBy("doc_id", "sec", "sent", "n_tokens", "src_sec").agg(F.count("*").alias("grams"), F.min("at").alias("met"), F.min_by("first.sent", "at").alias("src_sent"), F.sum("new").alias("new"))
 
 
+def covered_runs(sents: DataFrame, judged: DataFrame, n: int = GRAM) -> DataFrame:
+    """(doc_id, sec, sent, first, last): the maximal runs of tokens of flagged sentences that repeated grams cover."""
+    hits = repeated_grams(sents, n).filter("src_sec is not null").select("doc_id", "sec", "sent", "at")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(_IN_SENTENCE), F.lit(0))
+    runs = hits.withColumn("new", F.when(gap > n, 1).otherwise(0)).withColumn("run", F.sum("new").over(_IN_SENTENCE))
+    spans = runs.groupBy("doc_id", "sec", "sent", "run").agg(F.min("at").alias("first"), (F.max("at") + n - 1).alias("last")).drop("run")
+    return spans.join(judged.filter("flagged").select("doc_id", "sec", "sent"), ["doc_id", "sec", "sent"], "left_semi")
+
+
+_IN_SENTENCE = W.partitionBy("doc_id", "sec", "sent").orderBy("at")
+
+
 def judged_sentences(sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
     """(doc_id, sec, sent, n_tokens, covered, coverage, flagged, src_sec, src_sent): every sentence of n tokens or more; flagged if mostly made of earlier sections' grams.
 

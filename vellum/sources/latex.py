@@ -11,9 +11,42 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import split_sentences, tokens
 
-# Sections that hold statements and back matter.
-STATEMENTS = r"(?i)\b(ethic|acknowledg|funding|author contribution|data availability|code availability|competing interest|conflict of interest|broader impact|reproducibility)"
-BACK_MATTER = r"\\appendix\b|\\begin\{appendi|\\bibliography\s*\{|\\begin\{thebibliography\}|\\printbibliography"
+# Titles of statements, back matter, roles of sections, exhibits, acknowledged gaps, numeric cells and printed references.
+STATEMENTS = (
+    r"(?i)(ethic|reproducib|ai use|use of ai|llm use|use of (large )?language model|broader impact|"
+    r"societal impact|author contribution|acknowledg|funding|impact statement|disclosure|checklist|code of conduct)"
+)
+BACK_MATTER = (
+    r"(?i)\\appendix\b|\\begin\{appendices\}|\\bibliography\s*\{|\\printbibliography|\\begin\{thebibliography\}|"
+    r"\\section\*?\s*\{\s*Acknowledg|\\begin\{ack\}|\\section\*?\s*\{\s*(?:Supplementary|Appendix)"
+)
+RELATED = r"(?i)(related|prior|previous)\s+(work|research|literature|studies)|background|literature review|related\s+approaches"
+EXHIBIT_ENVIRONMENTS = (
+    r"^(?:verbatim|Verbatim|lstlisting|minted|alltt|quote|quotation|lstinputlisting)$|"
+    r"(?i:prompt|example|dialog|transcript|conversation|output|sample|specimen|query|response|chat|casestudy|case)"
+)
+BOXES = r"(?i)(tcolorbox|mdframed|framed|fbox|box)"
+IO_MARKERS = r"(?i)\b(Prompt|Input|Output|Question|Answer|User|Assistant|Response|System|Query|Instruction|Model output|Generated)\s*:"
+EXHIBIT_CAPTIONS = (
+    r"(?i)\b(examples?|exemplars?|case stud(?:y|ies)|failure (?:cases?|modes?|examples?|analysis)|qualitative|"
+    r"sample (?:outputs?|generations?|responses?)|generated (?:outputs?|samples?|texts?)|worked example|"
+    r"walk-?through|illustrative|specimens?|prompt templates?|prompts? used|(?:system|user|full|exact|example) prompts?|"
+    r"transcripts?|(?:model|llm|generated|sample) outputs?|(?:model|generated|example|sample) responses?|"
+    r"excerpts?|generations|visuali[sz]ations? of|qualitative results?)\b"
+)
+ACKNOWLEDGED_GAP = (
+    r"(?i)\b(no|not any)\s+(individual|concrete|specific)\s+(cases?|instances?|examples?|failure cases?)\s+"
+    r"(were|was|are|is|have been|has been)\s+(retained|inspected|shown|displayed|examined|reported)|"
+    r"\brests?\s+(solely\s+|only\s+)?on\s+aggregate|\b(solely|only)\s+on\s+aggregate\s+(scores|results|metrics)|"
+    r"\bdoes not (display|show|include|present) (any )?(concrete |individual )+(examples?|instances?|cases?)"
+)
+NUMERIC_CELL = r"^[\(\[]?\s*[+\-−±~≈<>]?\s*\d[\d,]*(?:\.\d+)?\s*(?:%|×|x|k|K|M|B|s|ms|h)?\s*(?:[±]\s*\d[\d.]*)?\s*[\)\]]?\s*[*†‡]*$"
+PRINTED = {
+    "section": r"(?:\bSections?|\bSecs?\.|§)\s*~?\s*(\d+)(?:\.\d+)*",
+    "figure": r"\b(?:Figures?|Figs?\.)\s*~?\s*(\d+)",
+    "table": r"\bTables?\s*~?\s*(\d+)",
+    "appendix": r"\bAppendi(?:x|ces)\s*~?\s*([A-Z])\b",
+}
 ENVIRONMENTS = {"figure": "figure", "table": "table", "equation": "equation", "align": "equation", "algorithm": "algorithm", "theorem": "theorem", "lemma": "theorem"}
 
 
@@ -52,7 +85,7 @@ def numbers(found: DataFrame) -> DataFrame:
 def roles(found: DataFrame) -> DataFrame:
     """(doc_id, sec, role): the introduction is the first section called so, else the first; related work by its title."""
     intro = found.filter("kind = 'body'").groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.lower("title").contains("intro"), F.col("sec"))), F.min("sec")).alias("sec"))
-    related = found.filter(F.col("title").rlike(r"(?i)related work|background|prior work|literature")).join(intro, ["doc_id", "sec"], "left_anti")
+    related = found.filter("kind = 'body'").filter(F.col("title").rlike(RELATED)).join(intro, ["doc_id", "sec"], "left_anti")
     return intro.withColumn("role", F.lit("intro")).unionByName(related.select("doc_id", "sec", F.lit("related").alias("role")))
 
 
@@ -88,35 +121,85 @@ def objects(found: DataFrame) -> DataFrame:
     return heads.unionByName(env.select("doc_id", F.col("alias").alias("id"), "kind", "home", "alias", "caption"))
 
 
+def object_numbers(found: DataFrame, things: DataFrame) -> DataFrame:
+    """(doc_id, kind, number, id): printed numbers of sections, and of figures and tables, which are counted through the paper in the order of sections and places."""
+    heads = numbers(found).filter("number is not null").select("doc_id", F.lit("section").alias("kind"), "number", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("id"))
+    place = F.instr(F.col("raw"), F.concat(F.lit("\\label{"), F.col("alias"), F.lit("}")))
+    floats = things.filter(F.col("kind").isin("figure", "table")).join(found.select("doc_id", F.col("sec").alias("home"), "raw"), ["doc_id", "home"]).withColumn("at", place)
+    return heads.unionByName(running_numbers(floats, "at").select("doc_id", "kind", F.col("number").cast("string").alias("number"), "id"))
+
+
+def running_numbers(floats: DataFrame, at: str) -> DataFrame:
+    """floats (doc_id, home, kind, ...) with their number within the paper and kind, in the order of sections and places."""
+    return floats.withColumn("number", F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("home", at)))
+
+
+def printed_references(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc_id, src, target, pos) of texts (doc_id, src, raw): numbers that are printed after Section, Figure or Table and stand for an object of kinds (doc_id, kind, number, id), and appendix letters."""
+    found = texts.select("doc_id", "src", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("raw", F.lit(p), F.lit(1)).alias("numbers"), F.regexp_extract_all("raw", F.lit(p), F.lit(0)).alias("whole")) for k, p in PRINTED.items()))).alias("f"), "raw")
+    each = found.select("doc_id", "src", "f.kind", F.explode(F.arrays_zip("f.numbers", "f.whole")).alias("n"), "raw")
+    each = each.select("doc_id", "src", "kind", F.col("n.numbers").alias("number"), F.expr("locate(n.whole, raw)").alias("pos"))
+    appendix = each.filter("kind = 'appendix'").select("doc_id", "src", F.concat(F.lit("appendix:"), F.col("number")).alias("target"), "pos")
+    return each.join(kinds, ["doc_id", "kind", "number"]).select("doc_id", "src", F.col("id").alias("target"), "pos").unionByName(appendix)
+
+
+def title_mentions(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc_id, src, target, pos): other sections named by their title, of six characters or more, and the word section; an equality join by document, then a test of each title."""
+    titles = heads.withColumn("title", F.trim("title")).filter(F.length("title") >= 6)
+    pattern = F.concat(F.lit("(?i)\\b(?:the\\s+)?[“\"']?\\Q"), F.col("title"), F.lit("\\E[”\"']?\\s+section\\b"))
+    pairs = texts.join(titles, "doc_id").filter(F.col("src") != F.col("sec")).withColumn("n", F.regexp_count("raw", pattern)).filter("n > 0")
+    return pairs.select("doc_id", "src", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("target"), F.explode(F.array_repeat(F.regexp_instr("raw", pattern), F.col("n").cast("int"))).alias("pos"))
+
+
 def pointers(papers: DataFrame, found: DataFrame, things: DataFrame) -> DataFrame:
-    """(doc_id, src, target, via, pos): references by label, then by label in the appendix; unresolved ones stay under their label."""
-    refs = found.select("doc_id", F.col("sec").alias("src"), F.posexplode(F.regexp_extract_all("raw", F.lit(r"\\(?:eq|auto|c|C|page|name)?ref\*?\{([^}]*)\}"), F.lit(1))).alias("pos", "labels"))
-    refs = refs.select("doc_id", "src", "pos", F.explode(F.transform(F.split("labels", ","), F.trim)).alias("alias"))
+    """(doc_id, src, target, via, pos): references by label, then by label in the appendix, by printed number and by title; what none of these resolves is left out. pos numbers the pointers of a section in their order."""
+    refs = found.select("doc_id", F.col("sec").alias("src"), F.posexplode(F.regexp_extract_all("raw", F.lit(r"\\(?:eq|auto|c|C|page|name)?ref\*?\{([^}]*)\}"), F.lit(1))).alias("nth", "labels"), "raw")
+    refs = refs.select("doc_id", "src", "nth", F.expr("locate(concat('ref{', labels), raw)").alias("at"), F.posexplode(F.transform(F.split("labels", ","), F.trim)).alias("part", "alias"))
     known = things.filter("alias <> ''").select("doc_id", "alias", "id").distinct()
     back = papers.select("doc_id", F.explode(F.regexp_extract_all(F.get(F.split(without_comments(F.col("tex")), r"\\appendix\b", 2), F.lit(1)), F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias")).distinct().withColumn("back", F.lit(True))
     both = refs.join(known, ["doc_id", "alias"], "left").join(back, ["doc_id", "alias"], "left")
-    target = F.coalesce("id", F.when(F.col("back"), F.concat(F.lit("appendix:"), F.col("alias"))), F.col("alias"))
-    return both.select("doc_id", "src", target.alias("target"), F.lit("ref").alias("via"), "pos")
+    target = F.coalesce("id", F.when(F.col("back"), F.concat(F.lit("appendix:"), F.col("alias"))))
+    order = ["at", "nth", "part"]
+    labelled = both.select("doc_id", "src", target.alias("target"), F.lit("ref").alias("via"), *order).filter("target is not null")
+    texts = found.select("doc_id", F.col("sec").alias("src"), "raw")
+    rest = [F.col("pos").cast("int").alias("at"), F.lit(0).alias("nth"), F.lit(0).alias("part")]
+    printed = printed_references(texts, object_numbers(found, things)).select("doc_id", "src", "target", F.lit("number").alias("via"), *rest)
+    named = title_mentions(texts, found.filter("kind = 'body'").select("doc_id", "sec", "title")).select("doc_id", "src", "target", F.lit("name").alias("via"), *rest)
+    every = labelled.unionByName(printed).unionByName(named)
+    return every.withColumn("pos", F.row_number().over(W.partitionBy("doc_id", "src").orderBy(*order, "target")) - 1).drop(*order)
+
+
+def numeric(cell: Column) -> Column:
+    """True for a cell that holds a number, whatever its formula marks, brackets, unit or spread."""
+    bare = F.regexp_replace(F.regexp_replace(cell, r"\\(?:textbf|textit|mathbf|underline|emph)\b|[{}$]|\[math\]", ""), r"\\pm", "±")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\\([%&#_])", "$1"), r"\s+", " ")).rlike(NUMERIC_CELL)
 
 
 def tables(found: DataFrame) -> DataFrame:
-    """(doc_id, home, data_rows, numeric_cells) of each tabular; of several rows the first is the header."""
+    """(doc_id, home, data_rows, numeric_cells) of each tabular: rows with a number, and numbers; of several rows the first is the header."""
     cells = found.select("doc_id", F.col("sec").alias("home"), F.posexplode(F.regexp_extract_all("raw", F.lit(r"(?s)\\begin\{tabular[x*]?\}(?:\{[^}]*\})*(.*?)\\end\{tabular"), F.lit(1))).alias("t", "b"))
-    rows = F.filter(F.split("b", r"\\\\"), lambda r: F.trim(F.regexp_replace(r, r"\\(?:hline|toprule|midrule|bottomrule)|\\[ck]?mid?rule\{[^}]*\}", "")) != "")
+    rules = r"\\(?:toprule|midrule|bottomrule|hline|hdashline|addlinespace|endhead|endfirsthead|endfoot|endlastfoot)\b(?:\[[^\]]*\])?|\\(?:cmidrule|cline)\s*(?:\([^)]*\))?\s*\{[^}]*\}|\\(?:rowcolor|cellcolor)\s*(?:\[[^\]]*\])?\s*\{[^}]*\}"
+    rows = F.split(F.regexp_replace("b", rules, " "), r"\\\\(?:\s*\[[^\]]*\])?|\\tabularnewline")
     data = F.when(F.size("r") > 1, F.slice("r", 2, F.size("r"))).otherwise(F.col("r"))
-    numeric = lambda r: F.size(F.filter(F.split(r, r"(?<!\\)&"), lambda c: F.regexp_replace(c, r"\\textbf|\\hline|[{}$\s]", "").rlike(r"^[<>~±+\-]?\d[\d.,]*(?:[%×x]|\\%|\\pm[\d.]+|±[\d.]+)?$")))
-    return cells.withColumn("r", rows).withColumn("d", data).select("doc_id", "home", F.size("d").alias("data_rows"), F.aggregate("d", F.lit(0), lambda n, r: n + numeric(r)).alias("numeric_cells"))
+    counts = F.transform("d", lambda r: F.size(F.filter(F.split(r, r"(?<!\\)&"), numeric)))
+    return cells.withColumn("r", rows).withColumn("d", data).withColumn("n", counts).select("doc_id", "home", F.size(F.filter("n", lambda n: n > 0)).alias("data_rows"), F.aggregate("n", F.lit(0), lambda a, n: a + n).alias("numeric_cells"))
 
 
 def exhibits(found: DataFrame) -> DataFrame:
-    """(doc_id, kind): captions that announce an example, listings, and quotations of twenty words or more outside related work."""
-    caption = r"(?i)\b(examples?|case stud(y|ies)|qualitative|sample (output|input|response)s?|failure cases?|transcript|prompt)\b"
-    captions = objects(found).filter(F.col("kind").isin("figure", "table") & F.col("caption").rlike(caption)).select("doc_id", F.lit("caption").alias("kind"))
-    boxes = found.filter(F.col("raw").rlike(r"\\begin\{(lstlisting|verbatim|quote|quotation|tcolorbox)\}")).select("doc_id", F.lit("environment").alias("kind"))
-    quotes = found.join(roles(found).filter("role = 'related'"), ["doc_id", "sec"], "left_anti").select("doc_id", F.explode(F.regexp_extract_all("raw", F.lit(r"(?s)``(.{60,1200}?)''"), F.lit(1))).alias("q"))
+    """(doc_id, kind): captions that announce an example, listings and boxes (those that are named for an exhibit or hold a marker of input or output), and quotations of twenty words or more outside related work."""
+    captions = objects(found).filter(F.col("kind").isin("figure", "table") & F.col("caption").rlike(EXHIBIT_CAPTIONS)).select("doc_id", F.lit("caption").alias("kind"))
+    env = found.select("doc_id", "raw", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\\begin\{([A-Za-z]+)\*?\}"), F.lit(1)))).alias("env"))
+    boxes = env.filter(F.col("env").rlike(EXHIBIT_ENVIRONMENTS) | (F.col("env").rlike(BOXES) & F.col("raw").rlike(IO_MARKERS))).select("doc_id", F.lit("environment").alias("kind"))
+    outside = found.join(roles(found).filter("role = 'related'"), ["doc_id", "sec"], "left_anti")
+    quotes = outside.select("doc_id", F.explode(F.regexp_extract_all(prose(F.col("raw")), F.lit(r"(?s)[“\"]([^”\"]{60,1200})[”\"]"), F.lit(1))).alias("q"))
     return captions.unionByName(boxes).unionByName(quotes.filter(F.size(F.split(F.trim("q"), r"\s+")) >= 20).select("doc_id", F.lit("quotation").alias("kind")))
 
 
+def acknowledged(sents: DataFrame) -> DataFrame:
+    """(doc_id, acknowledged): whether the sentences (doc_id, text) of a paper say that no single case is shown."""
+    return sents.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("text").rlike(ACKNOWLEDGED_GAP), F.lit(False))).alias("acknowledged"))
+
+
 def work_names(bib: DataFrame) -> DataFrame:
     """(doc_id, cite_key, name) of bibliographies (doc_id, bib): a title's head of one to three words with an inner capital, and the first author's name with et al."""
     entries = bib.select("doc_id", F.explode(F.split("bib", r"(?m)^(?=@)")).alias("e")).filter(F.col("e").rlike(r"^@\w+\s*\{"))
