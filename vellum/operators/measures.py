@@ -31,11 +31,12 @@ METHOD_GATE = r"(?i)\b(overview|pipeline|framework|architecture|workflow|schemat
 METHOD_WEAK = r"(?i)\b(our (method|approach|system|model|framework)|proposed|illustration of|method|approach)\b"
 # Names of works, and capitalised words that are none.
 WORK_NAME = r"(?:[A-Z][A-Za-z0-9]*[A-Z0-9][A-Za-z0-9]*|[A-Z]{2,}[a-z0-9]*)(?:[-‑][A-Za-z0-9]+)*"
-NO_NAMES = (
-    "AI LLM LLMs NLP ML RL API GPU GPUs SOTA CNN RNN USA US UK EU PDF URL SQL HTML JSON CPU TPU IID OOD QA IR CV NN "
-    "DNN MLP LM LMs VLM VLMs MLLM MLLMs RAG KV FPR TPR AUC AUROC F1 IEEE ACM ICLR NeurIPS ICML ACL EMNLP CVPR ECCV ICCV "
-    "AAAI IJCAI NAACL COLING KDD WWW SIGIR arXiv"
-).split()
+NO_NAMES = [
+    "AI", "LLM", "LLMs", "NLP", "ML", "RL", "API", "GPU", "GPUs", "SOTA", "CNN", "RNN", "USA", "US", "UK", "EU",
+    "PDF", "URL", "SQL", "HTML", "JSON", "CPU", "TPU", "IID", "OOD", "QA", "IR", "CV", "NN", "DNN", "MLP", "LM",
+    "LMs", "VLM", "VLMs", "MLLM", "MLLMs", "RAG", "KV", "FPR", "TPR", "AUC", "AUROC", "F1", "IEEE", "ACM", "ICLR", "NeurIPS",
+    "ICML", "ACL", "EMNLP", "CVPR", "ECCV", "ICCV", "AAAI", "IJCAI", "NAACL", "COLING", "KDD", "WWW", "SIGIR", "arXiv",
+]
 
 
 def _scored(df: DataFrame, num: Column, den: Column) -> DataFrame:

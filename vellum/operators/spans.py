@@ -25,9 +25,9 @@ def islands(rows: DataFrame, by: list[str], at: str, gap: int) -> DataFrame:
 
 
 def innermost(points: DataFrame, spans: DataFrame, by: list[str], point: str) -> DataFrame:
-    """Each point (by, point) with the shortest span (by, span, first, last) around it; points outside all spans are left out."""
+    """Each point (by, point) with the shortest span (by, span, first, last) around it, the first on a tie, and of equal ones the least by name; points outside all spans are left out."""
     inside = points.join(spans, by).filter(F.col(point).between(F.col("first"), F.col("last")))
-    return inside.groupBy(*by, point).agg(F.min_by("span", F.struct(F.col("last") - F.col("first"), "first")).alias("span"))
+    return inside.groupBy(*by, point).agg(F.min_by("span", F.struct(F.col("last") - F.col("first"), "first", "span")).alias("span"))
 
 
 def preceding(rows: DataFrame, others: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

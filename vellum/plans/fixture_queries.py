@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
 from vellum.operators import measures, spans, votes
 
 SECTIONS = ("doc_id long, sec int", [(1, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (4, 1)])
@@ -146,9 +147,9 @@ def nearest_anchor(spark, sf_dir):
 
 def gallery(spark, sf_dir):
     """The newest analysis of each paper, papers being equal by title, or else by address, or else by key."""
-    title = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
+    title = T.identity(F.col("title"))
     arxiv = F.regexp_extract("url", r"arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})", 1)
-    ident = F.when(F.length(F.substring(title, 1, 80)) >= 12, F.concat(F.lit("t:"), F.substring(title, 1, 80))).when(arxiv != "", F.concat(F.lit("arxiv:"), arxiv)).otherwise(F.concat(F.lit("k:"), F.col("key")))
+    ident = F.when(F.length(title) >= 12, F.concat(F.lit("t:"), title)).when(arxiv != "", F.concat(F.lit("arxiv:"), arxiv)).otherwise(F.concat(F.lit("k:"), F.col("key")))
     return votes.newest(_df(spark, GALLERY).withColumn("ident", ident), ["ident"], "created", "key").select("key", "ident", "index")
 
 
@@ -177,10 +178,25 @@ QUERIES = {
             docs=DOCS, labels=LABELS, supports=SUPPORTS,
         ),
     ),
-    # Read off the literal sentences by hand: isolated are (1,1,0), (1,1,3), (1,2,1), (1,2,2) of eight, and the only one of document 3.
     "citation_isolation_fixture": (
         citation_isolation,
-        _with("SELECT doc_id, num, den, num / den AS score, CASE WHEN den IS NULL THEN 'na' ELSE 'done' END AS status, coalesce(den < 8, false) AS weak FROM docs LEFT JOIN expected USING (doc_id)", docs=DOCS, expected=("doc_id long, num double, den long", [(1, 4.0, 8), (3, 1.0, 1)])),
+        _with(
+            f""", scope AS (SELECT doc_id, sec, sent, text, [k FOR k IN string_split(keys, ',') IF k <> ''] AS g FROM sents SEMI JOIN roles USING (doc_id, sec)),
+            parts AS (SELECT doc_id, g, i, right(p[i], 60) AS before FROM (SELECT doc_id, g, string_split(text, '[cite]') AS p FROM scope WHERE len(g) > 0), unnest(range(1, len(g) + 1)) AS t(i)),
+            ahead AS (SELECT doc_id, regexp_extract(before, '(?:^|[\\s(“"])({measures.WORK_NAME})(?:\\s+(?:et al\\.?|model|method|framework|reviewer|detector))?\\s*(?:\\([^)]*\\))?\\s*$', 1) AS name, g[i] AS k FROM parts),
+            clauses AS (SELECT doc_id, text, g, unnest(string_split_regex(text, '[,;]|\\band\\b')) AS c FROM scope WHERE len(g) > 0),
+            starts AS (SELECT doc_id, regexp_extract(c, '^\\s*(?:the\\s+)?({measures.WORK_NAME})\\b', 1) AS name, g[len(string_split(left(text, strpos(text, c) + length(c) - 1), '[cite]')) - 1] AS k FROM clauses WHERE len(string_split(c, '[cite]')) = 2),
+            every AS (SELECT doc_id, name, cite_key AS k FROM names WHERE length(name) >= 3 UNION ALL SELECT * FROM ahead UNION ALL SELECT * FROM starts WHERE k IS NOT NULL),
+            lexicon AS (SELECT doc_id, name, list_distinct(list(k)) AS ks FROM every WHERE name <> '' AND name NOT IN ({', '.join(f"'{n}'" for n in measures.NO_NAMES)}) GROUP BY doc_id, name),
+            cited AS (SELECT *, coalesce(lag(len(g) > 0) OVER (PARTITION BY doc_id, sec ORDER BY sent), false) AS prev, replace(text, '[cite]', ' ') AS rest FROM scope),
+            judged AS (SELECT doc_id, len(list_distinct(g)) >= 2
+                OR EXISTS (SELECT 1 FROM lexicon l WHERE l.doc_id = c.doc_id AND regexp_matches(rest, '(^|[^A-Za-z0-9])' || regexp_escape(name) || '($|[^A-Za-z0-9])') AND len([k FOR k IN ks IF NOT list_contains(g, k)]) > 0)
+                OR (NOT regexp_matches(text, '{T.FIRST_PERSON}') AND ((prev AND regexp_matches(trim(text), '{T.SENTENCE_INITIAL_CUES}')) OR (regexp_matches(text, '{T.RELATION_CUES}') AND regexp_matches(text, '{T.DEICTIC_WORKS}')))) AS woven
+                FROM cited c WHERE len(g) > 0),
+            c AS (SELECT doc_id, count(*) FILTER (WHERE NOT woven) AS n, count(*) AS d FROM judged GROUP BY doc_id)
+            SELECT x.*, coalesce(den < 8, false) AS weak FROM ({_RATIO}) AS x""",
+            docs=DOCS, sents=SENTENCES, roles=ROLES, names=NAMES,
+        ),
     ),
     "figure_exposition_fixture": (
         figure_exposition,
@@ -191,7 +207,14 @@ QUERIES = {
             docs=DOCS, elements=ELEMENTS,
         ),
     ),
-    "method_figure_fixture": (method_figure, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT), CAST(2 AS BIGINT)), (2, 1, 1)) AS v(doc_id, \"index\", gate)"),
+    "method_figure_fixture": (
+        method_figure,
+        _with(
+            f""", g AS (SELECT doc_id, "index", 2 * CAST(regexp_matches(caption, '{measures.METHOD_GATE}') AS BIGINT) + CAST(regexp_matches(caption, '{measures.METHOD_WEAK}') AS BIGINT) AS gate FROM figures WHERE has_image)
+            SELECT doc_id, CAST("index" AS BIGINT) AS "index", gate FROM g WHERE gate >= 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY gate < 2, "index") = 1""",
+            figures=FIGURES,
+        ),
+    ),
     "evidence_gap_fixture": (
         evidence_gap,
         _with(

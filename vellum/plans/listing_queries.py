@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import citations
 from vellum.functions.text import tokens
-from vellum.operators import listings, prose, ranking
+from vellum.operators import listings, prose, ranking, spans
 from vellum.plans import prose_queries, table_queries
 from vellum.plans.fixture_queries import _df, _with
 from vellum.plans.prose_queries import TOKENS, _docs, _sents, _sql, _stored_sents
@@ -124,6 +124,12 @@ def located_share(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "source").join(seen, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("seen")).alias("located"))
 
 
+def line_boxes(spark, sf_dir):
+    """The box around the lines of each order and flag, quantity and discount being places."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), (F.col("l_quantity") + F.col("l_linenumber")).alias("x1"), F.col("l_tax").alias("y1"))
+    return spans.union_rectangles(lines, ["l_orderkey", "l_returnflag"])
+
+
 def plain_tokens(spark, sf_dir):
     """Words between white space, in plain letters and digits, and their number."""
     words = _docs(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("word"))
@@ -240,6 +246,7 @@ QUERIES = {
     ),
     "progress": (progress, "SELECT user_id, event_id, round(max(least(value, 100)) OVER (PARTITION BY user_id ORDER BY event_id), 1) AS progress FROM events"),
     "located_share": (located_share, "SELECT source, count(*) AS total, count(l.doc_id) AS located FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source"),
+    "line_boxes": (line_boxes, "SELECT l_orderkey, l_returnflag, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity + l_linenumber) AS x1, max(l_tax) AS y1 FROM lineitem GROUP BY l_orderkey, l_returnflag"),
     "plain_tokens": (
         plain_tokens,
         f"""SELECT token, count(*) AS n FROM (SELECT regexp_replace(lower({'replace(' * 7}word{_LIGATURES}), '[^a-z0-9]', '', 'g') AS token

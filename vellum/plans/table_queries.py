@@ -58,8 +58,7 @@ def innermost_span(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem")
     ranges = lines.select("l_orderkey", F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("span"), (F.col("l_quantity") - F.col("l_linenumber")).alias("first"), (F.col("l_quantity") + 2 * F.col("l_linenumber")).alias("last"))
     points = lines.select("l_orderkey", F.col("l_quantity").alias("at")).distinct()
-    inside = points.join(ranges, "l_orderkey").filter("at between first and last")
-    return inside.groupBy("l_orderkey", "at").agg(F.min_by("span", F.struct(F.col("last") - F.col("first"), "first", "span")).alias("span"))
+    return spans.innermost(points, ranges, ["l_orderkey"], "at")
 
 
 def previous_turn_context(spark, sf_dir):

@@ -17,13 +17,13 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_of(*tables: DataFrame) -> DataFrame:
-    """Rows by key from several tables, an earlier table winning."""
+    """Rows by key from several tables, an earlier table winning; of equal keys in one table, the least row written as JSON."""
     every = None
     for rank, df in enumerate(tables):
         ranked = df.withColumn("_rank", F.lit(rank))
         every = ranked if every is None else every.unionByName(ranked, allowMissingColumns=True)
-    best = every.groupBy("key").agg(F.min("_rank").alias("_rank"))
-    return every.join(best, ["key", "_rank"]).drop("_rank").dropDuplicates(["key"])
+    order = W.partitionBy("key").orderBy("_rank", F.to_json(F.struct("*")))
+    return every.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_rank", "_nth")
 
 
 def measure_results(reports: DataFrame) -> DataFrame:

@@ -71,10 +71,13 @@ def merge_votes(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def vote_stream(votes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the merged votes below path, one version per batch, so a batch that is run again writes the same version."""
+    """Keeps the merged votes below path, one version per batch, so a batch that is run again writes the same version.
+
+    A version is one row for each token and item, and each batch writes them all; the one before the last is removed."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         old = batch.sparkSession.read.schema("token string, item string, v int, ts long").parquet(f"{path}/{epoch - 1}") if epoch else None
         merge_votes(old, batch).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        remove(batch.sparkSession, f"{path}/{epoch - 2}")
 
     return votes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
