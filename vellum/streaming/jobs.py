@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from vellum.storage import remove
+
 WINDOW, LIMIT = 3600, 20
 
 
