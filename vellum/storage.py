@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 #: A side of a join is broadcast up to so many bytes of rows, counted beforehand; beyond them it is shuffled.
 BROADCAST_BYTES = 16 << 20
 
+#: Rows of an Arrow batch while a table is written: texts and sets of shingles may be long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _scopes: list[list[str]] = []
 
 
@@ -40,7 +44,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     It is removed with the scope it was made in, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     fs, target = _path(spark, path)
     fs.deleteOnExit(target)
     if _scopes:
