@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ from vellum.llm.components import components
 BANDS, BINS_PER_BAND = 48, 5
 #: Rows, and shingles in all, of a bucket that are compared in one task.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+#: Rows whose sets a task makes or compares at a time.
+SLICE = 256
 #: How far, in standard deviations, the share of equal bins may lie below the similarity asked for.
 DEVIATIONS = 5
 #: Bytes of distinct words whose hashes a task remembers at a time.
@@ -129,7 +130,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
             sets = [shingle_set(text.as_py(), hashes, k).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
@@ -139,18 +140,18 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those edges (a, b) whose full sets are similar enough."""
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        found = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            found.append(100 * same >= percent * (len(x) + len(y) - same))
-        return pd.Series(found, dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                found.append(100 * same >= percent * (len(x) + len(y) - same))
+            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return edges.join(left, "a").join(right, "b").filter(similar("sa", "sb")).select("a", "b")
+    return edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:

@@ -30,6 +30,8 @@ from vellum.llm.common import kept, read
 
 #: Bytes of white-space-free chunks and their ids that a task remembers at a time, and bytes of text that it encodes at a time.
 CHUNK_CACHE, ENCODE_BYTES = 48 << 20, 1 << 20
+#: Rows whose texts a task holds as Python strings at a time.
+SLICE = 256
 #: Bytes that a remembered chunk takes besides its own.
 CHUNK_BYTES = 120
 
@@ -118,7 +120,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, waste:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path, end_id)
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
             texts = ["" if t is None else t for t in batch.column(2).to_pylist()]
             at = 0
             while at < len(texts):

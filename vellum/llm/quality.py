@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int) -> Attention | None:
     table = _byte_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, len(whole), 64)):
             bags = [passages(t.as_py(), table).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(bags, pa.binary())], names=["doc_id", "y", "weight", "bag"])
 
