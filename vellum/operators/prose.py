@@ -61,15 +61,13 @@ def gram_sources(sents: DataFrame, n: int = GRAM) -> DataFrame:
 def covered_runs(sents: DataFrame, judged: DataFrame, n: int = GRAM) -> DataFrame:
     """(doc_id, sec, sent, first, last): the maximal runs of tokens of flagged sentences that repeated grams cover."""
     hits = repeated_grams(sents, n).filter("src_sec is not null").select("doc_id", "sec", "sent", "at")
-    gap = F.coalesce(F.col("at") - F.lag("at").over(_IN_SENTENCE), F.lit(0))
-    runs = hits.withColumn("new", F.when(gap > n, 1).otherwise(0)).withColumn("run", F.sum("new").over(_IN_SENTENCE))
+    order = W.partitionBy("doc_id", "sec", "sent").orderBy("at")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(order), F.lit(0))
+    runs = hits.withColumn("new", F.when(gap > n, 1).otherwise(0)).withColumn("run", F.sum("new").over(order))
     spans = runs.groupBy("doc_id", "sec", "sent", "run").agg(F.min("at").alias("first"), (F.max("at") + n - 1).alias("last")).drop("run")
     return spans.join(judged.filter("flagged").select("doc_id", "sec", "sent"), ["doc_id", "sec", "sent"], "left_semi")
 
 
-_IN_SENTENCE = W.partitionBy("doc_id", "sec", "sent").orderBy("at")
-
-
 def judged_sentences(sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
     """(doc_id, sec, sent, n_tokens, covered, coverage, flagged, src_sec, src_sent): every sentence of n tokens or more; flagged if mostly made of earlier sections' grams.
 
