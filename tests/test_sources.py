@@ -74,7 +74,8 @@ def test_files(spark, tmp_path):
     got = {(r.archive.rsplit("/", 1)[1], r.path) for r in members.collect()}
     assert {("a.zip", "src/main.tex"), ("b.tar", "a/b.tex"), ("c.tar.gz", "a/b.tex"), ("g.zip", None)} <= got and not any(p and "evil" in p for _, p in got)
     assert [r.path for r in files.main_tex(members).collect()] == ["src/main.tex"]
-    kinds = spark.createDataFrame([("https://arxiv.org/abs/2401.12345",), ("https://openreview.net/forum?id=Ab-1",), ("http://x.y/z.PDF?a",), ("http://x.y",)], ["u"]).select(files.address_kind(F.col("u")))
+    assert {(r.archive.rsplit("/", 1)[1], r.kind, r.path) for r in files.paper_source(members).collect()} >= {("a.zip", "tex", "src/main.tex"), ("d.pdf", "pdf", "d.pdf"), ("f.bin", "unknown", None)}
+    kinds = spark.createDataFrame([("https://arxiv.org/abs/2401.12345v2",), ("https://openreview.net/forum?id=Ab-1",), ("http://x.y/z.PDF?a",), ("http://x.y",)], ["u"]).select(files.address_kind(F.col("u")))
     assert [r[0] for r in kinds.collect()] == ["arxiv:2401.12345", "openreview:Ab-1", "pdf", "page"]
 
 
@@ -111,3 +112,19 @@ def test_log_round_trip(spark, tmp_path):
     assert "_token" not in spark.read.json(f"{tmp_path}/log").columns
     reports.write_csv(rows.drop("_token"), f"{tmp_path}/csv")
     assert reports.read_sheet(spark, f"{tmp_path}/csv", "vote").count() == 1
+
+
+def test_main_source_and_paper(spark):
+    tex = "\\documentclass{a}\\begin{document}caf\u00e9"
+    rows = [("x", "a.tex", tex.encode("latin-1")), ("x", "Main.TEX", tex.encode()), ("y", "hidden.tex", b"% \\documentclass{a}\n% \\begin{document}"), ("y", "s.pdf", b"%PDF"), ("y", "l.pdf", b"%PDF-1.5"), ("z", "n.tex", tex.encode("latin-1")), ("w", None, None)]
+    members = spark.createDataFrame([(a, p, None if c is None else bytearray(c)) for a, p, c in rows], "archive string, path string, content binary")
+    assert {(r.archive, r.path, r.text) for r in files.main_tex(members).collect()} == {("x", "Main.TEX", tex), ("z", "n.tex", tex)}
+    assert {tuple(r) for r in files.paper_source(members).collect()} == {("x", "tex", "Main.TEX"), ("y", "pdf", "l.pdf"), ("z", "tex", "n.tex"), ("w", "unknown", None)}
+    titles = spark.createDataFrame([(1, "Deep nets in 2024"), (2, "")], "doc_id long, title string")
+    pdfs = spark.createDataFrame([(1, "b", 4, "deep nets"), (1, "a", 9, "DEEP NETS"), (1, "c", 3, "deep nets"), (1, "d", 5, "deep"), (2, "e", 8, "x")], "doc_id long, path string, pages int, text string")
+    assert [tuple(r) for r in files.paper_pdf(titles, pdfs).collect()] == [(1, "a")]
+
+
+def test_views_without_helper_columns(spark, tmp_path):
+    reports.write_views({"v": spark.createDataFrame([(1, 2)], "a int, _b int")}, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/v").columns == ["a"]

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources.latex import without_comments
+
 #: Bytes that an archive may hold when expanded.
 EXPANDED = 200 << 20
 
@@ -28,7 +30,7 @@ def kind_of(content: Column, path: Column) -> Column:
     head = F.decode(F.substring(content, 1, 20_000), "ISO-8859-1")
     return (
         F.when(starts(b"%PDF"), "pdf").when(starts(b"PK"), "zip").when(starts(b"\x1f\x8b"), "gzip").when(F.substring(content, 258, 5) == F.lit(bytearray(b"ustar")), "tar")
-        .when(F.lower(path).endswith(".tex") | head.contains("\\documentclass"), "tex").otherwise("unknown")
+        .when(path.endswith(".tex") | head.contains("\\documentclass"), "tex").otherwise("unknown")
     )
 
 
@@ -80,12 +82,19 @@ def unpack(files: DataFrame, limit: int = EXPANDED) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "archive string, path string, content binary, error string")
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8, or Latin-1 where they are not valid UTF-8."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
+
+
 def main_tex(members: DataFrame) -> DataFrame:
-    """(archive, path, text) of each archive's main LaTeX file: most inputs, sections and length, usual names first."""
-    text = F.decode("content", "UTF-8")
-    tex = members.filter(F.lower("path").endswith(".tex")).withColumn("text", text).filter(F.col("text").contains("\\documentclass") & F.col("text").contains("\\begin{document}"))
+    """(archive, path, text) of each archive's main LaTeX file, without comments: most inputs, sections and length, usual names first."""
+    tex = members.filter(F.lower("path").endswith(".tex")).withColumn("text", without_comments(decoded(F.col("content"))))
+    tex = tex.filter(F.col("text").contains("\\documentclass") & F.col("text").contains("\\begin{document}"))
     count = lambda rx: F.size(F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
-    score = count(r"\\input\b") + count(r"\\section\b") + F.length("text") / 5000 + F.when(F.regexp_extract("path", "[^/]*$", 0).isin("main.tex", "paper.tex", "ms.tex"), 5).otherwise(0)
+    usual = F.lower(F.regexp_extract("path", "[^/]*$", 0)).isin("main.tex", "paper.tex", "ms.tex")
+    score = count(r"\\input") + count(r"\\section") + F.length("text") / 5000 + F.when(usual, 5).otherwise(0)
     return tex.groupBy("archive").agg(F.max_by(F.struct("path", "text"), F.struct(score, "path")).alias("m")).select("archive", "m.*")
 
 
@@ -95,16 +104,26 @@ def largest_pdf(members: DataFrame) -> DataFrame:
     return pdf.groupBy("archive").agg(F.max_by("path", F.struct(F.length("content"), "path")).alias("path"))
 
 
+def paper_source(members: DataFrame) -> DataFrame:
+    """(archive, kind, path) of what stands for each archive's paper: its main LaTeX file (tex), else its largest PDF (pdf), else unknown and null."""
+    tex = main_tex(members).select("archive", F.lit("tex").alias("kind"), "path")
+    pdf = largest_pdf(members).select("archive", F.lit("pdf").alias("kind"), "path")
+    none = members.select("archive", F.lit("unknown").alias("kind"), F.lit(None).cast("string").alias("path")).distinct()
+    rank = F.when(F.col("kind") == "tex", 0).when(F.col("kind") == "pdf", 1).otherwise(2)
+    found = tex.unionByName(pdf).unionByName(none).groupBy("archive").agg(F.min_by(F.struct("kind", "path"), rank).alias("m"))
+    return found.select("archive", "m.*")
+
+
 def paper_pdf(titles: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:
     """(doc_id, path): among PDFs (doc_id, path, pages, text) of four pages or more, the one with most of the title's words, if enough; the first path on a tie."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
     both = candidates.filter("pages >= 4").join(titles.withColumn("tw", words(F.col("title"))), "doc_id")
     both = both.withColumn("share", F.size(F.array_intersect("tw", words(F.col("text")))) / F.greatest(F.size("tw"), F.lit(1))).filter(F.col("share") >= least)
     return both.groupBy("doc_id").agg(F.min_by("path", F.struct(-F.col("share"), "path")).alias("path"))
 
 
 def address_kind(url: Column) -> Column:
-    """What an address points at: arxiv:<id>, openreview:<id>, pdf or page."""
-    arxiv = F.regexp_extract(url, r"arxiv\.org/(?:abs|pdf|html|e-print)/(\d{4}\.\d{4,5}(?:v\d+)?|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})", 1)
-    review = F.regexp_extract(url, r"openreview\.net/(?:forum|pdf)\?id=([\w\-]+)", 1)
+    """What an address points at: arxiv:<id without version>, openreview:<id>, pdf or page."""
+    arxiv = F.regexp_extract(url, r"(?i)(?:arxiv\.org/(?:abs|pdf|html|e-print)/|^arxiv:\s*)([a-z\-]+(?:\.[a-z]{2})?/\d{7}|\d{4}\.\d{4,5})", 1)
+    review = F.regexp_extract(url, r"(?i)openreview\.net/(?:forum|pdf|attachment)\?id=([\w\-]+)", 1)
     return F.when(arxiv != "", F.concat(F.lit("arxiv:"), arxiv)).when(review != "", F.concat(F.lit("openreview:"), review)).when(F.lower(url).rlike(r"\.pdf($|[?#])"), "pdf").otherwise("page")

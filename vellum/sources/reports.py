@@ -106,9 +106,9 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_views(views: dict[str, DataFrame], path: str) -> None:
-    """Every view as JSON in a folder of its own, replaced as a whole when the write commits."""
+    """Every view as JSON in a folder of its own, without helper columns, replaced as a whole when the write commits."""
     for name, df in views.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.select([c for c in df.columns if not c.startswith("_")]).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
