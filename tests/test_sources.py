@@ -128,3 +128,9 @@ def test_main_source_and_paper(spark):
 def test_views_without_helper_columns(spark, tmp_path):
     reports.write_views({"v": spark.createDataFrame([(1, 2)], "a int, _b int")}, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/v").columns == ["a"]
+
+
+def test_comments(spark):
+    texts = ["a\\begin{comment}x\ny\\end{comment}b", "a % x\n  % gone\n50\\% b\\\\% c", "a\\iffalse x\n% \\fi\ny\\fi b", "a\n% end"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(latex.without_comments(F.col("t")).alias("t"))
+    assert [r.t for r in frame.collect()] == ["ab", "a \n50\\% b\\\\", "a b", "a\n"]

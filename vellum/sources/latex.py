@@ -51,10 +51,11 @@ ENVIRONMENTS = {"figure": "figure", "table": "table", "equation": "equation", "a
 
 
 def without_comments(tex: Column) -> Column:
-    """Without \\iffalse blocks and comments; lines that are only a comment vanish, escaped percent signs stay."""
-    tex = F.regexp_replace(tex, r"(?s)\\iffalse\b.*?\\fi\b", "")
-    tex = F.regexp_replace(tex, r"(?m)^[ \t]*%[^\n]*\n", "")
-    return F.regexp_replace(tex, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1")
+    """Without comment environments, comments and \\iffalse blocks, in this order; lines that are only a comment vanish, escaped percent signs stay."""
+    tex = F.regexp_replace(tex, r"(?s)\\begin\{comment\}.*?\\end\{comment\}", "")
+    tex = F.regexp_replace(tex, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", "")
+    tex = F.regexp_replace(tex, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1")
+    return F.regexp_replace(tex, r"(?s)\\iffalse\b.*?\\fi\b", "")
 
 
 def body(tex: Column) -> Column:
