@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, exact_dedup, line_templates, minhash_dedup, packing, quality, resharding, suffix_dedup, toxicity, trie_counts
+from vellum.llm import decontamination, exact_dedup, license_scan, line_templates, minhash_dedup, packing, quality, resharding, source_divergence, spelling_variants, suffix_dedup, toxicity, trie_counts
 
 MODULES = {
     "op1_minhash_near_dedup": minhash_dedup,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_quality": quality,
     "op9_toxicity": toxicity,
     "op10_exact_dedup": exact_dedup,
+    "op11_spelling_variants": spelling_variants,
+    "op12_source_divergence": source_divergence,
+    "op13_license_scan": license_scan,
 }
 
 
