@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.matches import token_spans
 from vellum.functions.scores import ratio
 from vellum.functions.text import ngrams, split_sentences, tokens
 
@@ -68,6 +69,14 @@ def covered_runs(sents: DataFrame, judged: DataFrame, n: int = GRAM) -> DataFram
     return spans.join(judged.filter("flagged").select("doc_id", "sec", "sent"), ["doc_id", "sec", "sent"], "left_semi")
 
 
+def highlighted(runs: DataFrame, sents: DataFrame) -> DataFrame:
+    """(doc_id, sec, sent, at, end, excerpt): runs of tokens (doc_id, sec, sent, first, last) as ranges of characters of their sentences."""
+    text = sents.select("doc_id", "sec", "sent", "text")
+    placed = runs.join(text, ["doc_id", "sec", "sent"]).withColumn("spans", token_spans(F.col("text")))
+    at, end = F.get("spans", F.col("first"))["at"], F.get("spans", F.col("last"))["end"]
+    return placed.select("doc_id", "sec", "sent", at.alias("at"), end.alias("end"), F.substring("text", at + 1, end - at).alias("excerpt"))
+
+
 def judged_sentences(sents: DataFrame, n: int = GRAM, least: float = LEAST_COVERED) -> DataFrame:
     """(doc_id, sec, sent, n_tokens, covered, coverage, flagged, src_sec, src_sent): every sentence of n tokens or more; flagged if mostly made of earlier sections' grams.
 

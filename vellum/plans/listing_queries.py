@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import citations
-from vellum.functions.text import tokens
+from vellum.functions.matches import match_spans, token_spans
+from vellum.functions.text import TOKEN, tokens
 from vellum.operators import listings, prose, ranking, spans
 from vellum.plans import prose_queries, table_queries
 from vellum.plans.fixture_queries import _df, _with
@@ -53,12 +54,34 @@ FLOATS = ("doc_id long, home int, kind string, at int, id string", [(1, 2, "figu
 KEYS = ("id long, key string", [(1, " ABCD efgh 2345 "), (2, "abcd-efgh-2345"), (3, "short"), (4, "a_longer-key"), (5, "Bad Key !"), (6, "ABCDEFGH")])
 
 
+LINK = '<a href="([^"]*)"'
+
+
 def covered_runs(spark, sf_dir):
     """Runs of repeated tokens in the flagged sentences."""
     sents = _stored_sents(spark, sf_dir)
     return prose.covered_runs(sents, prose.judged_sentences(sents))
 
 
+def highlight_ranges(spark, sf_dir):
+    """The same runs as ranges of characters."""
+    sents = _stored_sents(spark, sf_dir)
+    return prose.highlighted(prose.covered_runs(sents, prose.judged_sentences(sents)), sents)
+
+
+def token_places(spark, sf_dir):
+    """Every token of every sentence with its characters."""
+    sents = _sents(spark, sf_dir).select("doc_id", "sec", "sent", F.posexplode(token_spans(F.col("text"))).alias("nth", "s"))
+    return sents.select("doc_id", "sec", "sent", "nth", "s.at", "s.end", "s.token")
+
+
+def link_mentions(spark, sf_dir):
+    """Links of each page in the order in which they stand, with their characters; an address that comes again is a further mention of it."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.explode(match_spans(F.col("html"), LINK)).alias("s"))
+    links = pages.select("page_id", "s.at", "s.end", F.regexp_extract("s.match", LINK, 1).alias("href"))
+    return links.withColumn("mention", F.row_number().over(W.partitionBy("page_id", "href").orderBy("at")))
+
+
 def sentence_numbers(spark, sf_dir):
     return listings.numbered_sentences(_sents(spark, sf_dir)).select("doc_id", "sec", "sent", "number")
 
@@ -201,6 +224,19 @@ def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+def _between(text: str, pattern: str) -> str:
+    return f"string_split_regex({text}, '{_q(pattern)}')"
+
+
+def _matches(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, '{_q(pattern)}')"
+
+
+def _place(between: str, matches: str, i: str) -> str:
+    """Where the i-th match begins: the lengths of what stands before it."""
+    return f"CAST(list_sum([length(x) FOR x IN {between}[1:{i}]]) + coalesce(list_sum([length(x) FOR x IN {matches}[1:{i} - 1]]), 0) AS BIGINT)"
+
+
 _LIGATURES = "".join(f", '{a}', '{b}')" for a, b in [("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "ft"), ("ﬆ", "st")])
 _PRINTED = " UNION ALL ".join(f"SELECT doc_id, src, '{k}' AS kind, unnest(regexp_extract_all(raw, '{_q(p)}', 1)) AS number FROM texts" for k, p in latex.PRINTED.items())
 _LISTED = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, unnest(regexp_extract_all(g, '\\d+(?:\\.\\d+)*')) AS number FROM (SELECT id, unnest(regexp_extract_all(text, '{_q(p)}', 1)) AS g FROM passages)" for k, p in citations.LISTED.items())
@@ -214,6 +250,31 @@ QUERIES = {
             SELECT doc_id, sec, sent, min(at_) AS "first", max(at_) + 7 AS "last" FROM k SEMI JOIN flag USING (doc_id, sec, sent) GROUP BY doc_id, sec, sent, run"""
         ),
     ),
+    "highlight_ranges": (
+        highlight_ranges,
+        _sql(
+            f""", r AS (SELECT *, at_ - lag(at_) OVER (PARTITION BY doc_id, sec, sent ORDER BY at_) > 8 AS fresh FROM hits),
+            k AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id, sec, sent ORDER BY at_) AS run FROM r),
+            w AS (SELECT doc_id, sec, sent, min(at_) + 1 AS a, max(at_) + 8 AS b FROM k SEMI JOIN flag USING (doc_id, sec, sent) GROUP BY doc_id, sec, sent, run),
+            x AS (SELECT w.*, text, {_between('text', TOKEN)} AS p, {_matches('text', TOKEN)} AS m FROM w JOIN s USING (doc_id, sec, sent)),
+            y AS (SELECT *, {_place('p', 'm', 'a')} AS "at", {_place('p', 'm', 'b')} + length(m[b]) AS "end" FROM x)
+            SELECT doc_id, sec, sent, "at", "end", substring(text, "at" + 1, "end" - "at") AS excerpt FROM y"""
+        ),
+    ),
+    "token_places": (
+        token_places,
+        _sql(
+            f""", x AS (SELECT doc_id, sec, sent, {_between('text', TOKEN)} AS p, {_matches('text', TOKEN)} AS m FROM s),
+            y AS (SELECT doc_id, sec, sent, i - 1 AS nth, {_place('p', 'm', 'i')} AS "at", m[i] AS token FROM x, unnest(range(1, len(m) + 1)) AS t(i))
+            SELECT doc_id, sec, sent, nth, "at", "at" + length(token) AS "end", lower(token) AS token FROM y"""
+        ),
+    ),
+    "link_mentions": (
+        link_mentions,
+        f"""WITH x AS (SELECT page_id, {_between('html', LINK)} AS p, {_matches('html', LINK)} AS m, regexp_extract_all(html, '{LINK}', 1) AS h FROM pages),
+        y AS (SELECT page_id, {_place('p', 'm', 'i')} AS "at", {_place('p', 'm', 'i')} + length(m[i]) AS "end", h[i] AS href FROM x, unnest(range(1, len(m) + 1)) AS t(i))
+        SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY "at") AS mention FROM y""",
+    ),
     "sentence_numbers": (sentence_numbers, _sql("SELECT doc_id, sec, sent, row_number() OVER (PARTITION BY doc_id ORDER BY sec, sent) AS number FROM s")),
     "map_positions": (
         map_positions,

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.matches import match_spans
 from vellum.functions.text import split_sentences, tokens
 
-# Titles of statements, back matter, roles of sections, exhibits, acknowledged gaps, numeric cells and printed references.
+# Titles of statements, back matter, roles of sections, exhibits, acknowledged gaps, numeric cells, rules of tables, references by label and printed ones.
 STATEMENTS = (
     r"(?i)(ethic|reproducib|ai use|use of ai|llm use|use of (large )?language model|broader impact|"
     r"societal impact|author contribution|acknowledg|funding|impact statement|disclosure|checklist|code of conduct)"
@@ -22,8 +23,8 @@ BACK_MATTER = (
 )
 RELATED = r"(?i)(related|prior|previous)\s+(work|research|literature|studies)|background|literature review|related\s+approaches"
 EXHIBIT_ENVIRONMENTS = (
-    r"^(?:verbatim|Verbatim|lstlisting|minted|alltt|quote|quotation|lstinputlisting)$|"
-    r"(?i:prompt|example|dialog|transcript|conversation|output|sample|specimen|query|response|chat|casestudy|case)"
+    r"(?i)^(?:verbatim|lstlisting|minted|alltt|quote|quotation|lstinputlisting)$|"
+    r"(?:prompt|example|dialog|transcript|conversation|output|sample|specimen|query|response|chat|casestudy|case)"
 )
 BOXES = r"(?i)(tcolorbox|mdframed|framed|fbox|box)"
 IO_MARKERS = r"(?i)\b(Prompt|Input|Output|Question|Answer|User|Assistant|Response|System|Query|Instruction|Model output|Generated)\s*:"
@@ -41,6 +42,13 @@ ACKNOWLEDGED_GAP = (
     r"\bdoes not (display|show|include|present) (any )?(concrete |individual )+(examples?|instances?|cases?)"
 )
 NUMERIC_CELL = r"^[\(\[]?\s*[+\-−±~≈<>]?\s*\d[\d,]*(?:\.\d+)?\s*(?:%|×|x|k|K|M|B|s|ms|h)?\s*(?:[±]\s*\d[\d.]*)?\s*[\)\]]?\s*[*†‡]*$"
+TABLE_RULES = [
+    r"\\(?:toprule|midrule|bottomrule|hline|hdashline|addlinespace|endhead|endfirsthead|endfoot|endlastfoot)\b(?:\[[^\]]*\])?",
+    r"\\(?:cmidrule|cline)\s*(?:\([^)]*\))?\s*\{[^}]*\}",
+    r"\\(?:rowcolor|cellcolor)\s*(?:\[[^\]]*\])?\s*\{[^}]*\}",
+    r"\\specialrule\s*\{[^}]*\}\s*\{[^}]*\}\s*\{[^}]*\}",
+]
+REFERENCE = r"\\(?:eq|auto|c|C|page|name)?ref\*?\s*\{([^}]*)\}|\\hyperref\s*\[([^\]]*)\]"
 PRINTED = {
     "section": r"(?:\bSections?|\bSecs?\.|§)\s*~?\s*(\d+)(?:\.\d+)*",
     "figure": r"\b(?:Figures?|Figs?\.)\s*~?\s*(\d+)",
@@ -136,38 +144,53 @@ def running_numbers(floats: DataFrame, at: str) -> DataFrame:
 
 
 def printed_references(texts: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(doc_id, src, target, pos) of texts (doc_id, src, raw): numbers that are printed after Section, Figure or Table and stand for an object of kinds (doc_id, kind, number, id), and appendix letters."""
-    found = texts.select("doc_id", "src", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("raw", F.lit(p), F.lit(1)).alias("numbers"), F.regexp_extract_all("raw", F.lit(p), F.lit(0)).alias("whole")) for k, p in PRINTED.items()))).alias("f"), "raw")
-    each = found.select("doc_id", "src", "f.kind", F.explode(F.arrays_zip("f.numbers", "f.whole")).alias("n"), "raw")
-    each = each.select("doc_id", "src", "kind", F.col("n.numbers").alias("number"), F.expr("locate(n.whole, raw)").alias("pos"))
-    appendix = each.filter("kind = 'appendix'").select("doc_id", "src", F.concat(F.lit("appendix:"), F.col("number")).alias("target"), "pos")
-    return each.join(kinds, ["doc_id", "kind", "number"]).select("doc_id", "src", F.col("id").alias("target"), "pos").unionByName(appendix)
+    """(doc_id, src, target, at, said) of texts (doc_id, src, raw): numbers that are printed after Section, Figure or Table and stand for an object of kinds (doc_id, kind, number, id), and appendix letters; `at` is the character where `said` begins."""
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(match_spans(F.col("raw"), pattern), lambda s: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(s["match"], pattern, 1).alias("number"), s["at"].alias("at"), s["match"].alias("said")))
+
+    spans = F.flatten(F.array(*(of(k, p) for k, p in PRINTED.items())))
+    each = texts.select("doc_id", "src", F.explode(spans).alias("s")).select("doc_id", "src", "s.*")
+    appendix = each.filter("kind = 'appendix'").select("doc_id", "src", F.concat(F.lit("appendix:"), F.col("number")).alias("target"), "at", "said")
+    return each.join(kinds, ["doc_id", "kind", "number"]).select("doc_id", "src", F.col("id").alias("target"), "at", "said").unionByName(appendix)
 
 
 def title_mentions(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """(doc_id, src, target, pos): other sections named by their title, of six characters or more, and the word section; an equality join by document, then a test of each title."""
+    """(doc_id, src, target, at, said): other sections named by their title, of six characters or more, and the word section; an equality join by document, then a test of each title."""
     titles = heads.withColumn("title", F.trim("title")).filter(F.length("title") >= 6)
     pattern = F.concat(F.lit("(?i)\\b(?:the\\s+)?[“\"']?\\Q"), F.col("title"), F.lit("\\E[”\"']?\\s+section\\b"))
-    pairs = texts.join(titles, "doc_id").filter(F.col("src") != F.col("sec")).withColumn("n", F.regexp_count("raw", pattern)).filter("n > 0")
-    return pairs.select("doc_id", "src", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("target"), F.explode(F.array_repeat(F.regexp_instr("raw", pattern), F.col("n").cast("int"))).alias("pos"))
+    pairs = texts.join(titles, "doc_id").filter(F.col("src") != F.col("sec")).filter(F.rlike("raw", pattern))
+    return pairs.select("doc_id", "src", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("target"), F.explode(match_spans(F.col("raw"), pattern)).alias("s")).select("doc_id", "src", "target", "s.at", F.col("s.match").alias("said"))
+
+
+def labelled_references(texts: DataFrame, known: DataFrame, back: DataFrame) -> DataFrame:
+    """(doc_id, src, target, at, said) of texts (doc_id, src, raw): references by label to an object of known (doc_id, alias, id), else to a label of the appendix, back (doc_id, alias); several labels of one reference stand at one place."""
+    refs = texts.select("doc_id", "src", F.explode(match_spans(F.col("raw"), REFERENCE)).alias("s"))
+    labels = F.concat(F.regexp_extract("s.match", REFERENCE, 1), F.regexp_extract("s.match", REFERENCE, 2))
+    each = refs.select("doc_id", "src", "s.at", F.explode(F.transform(F.split(labels, ","), F.trim)).alias("alias")).filter("alias <> ''")
+    both = each.join(known, ["doc_id", "alias"], "left").join(back.withColumn("back", F.lit(True)), ["doc_id", "alias"], "left")
+    target = F.coalesce("id", F.when(F.col("back"), F.concat(F.lit("appendix:"), F.col("alias"))))
+    return both.select("doc_id", "src", target.alias("target"), "at", F.col("alias").alias("said")).filter("target is not null")
+
+
+def appendix_labels(papers: DataFrame) -> DataFrame:
+    """(doc_id, alias): labels that stand behind the beginning of the appendix."""
+    behind = F.get(F.split(without_comments(F.col("tex")), r"\\appendix\b", 2), F.lit(1))
+    return papers.select("doc_id", F.explode(F.regexp_extract_all(behind, F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias")).distinct()
 
 
 def pointers(papers: DataFrame, found: DataFrame, things: DataFrame) -> DataFrame:
-    """(doc_id, src, target, via, pos): references by label, then by label in the appendix, by printed number and by title; what none of these resolves is left out. pos numbers the pointers of a section in their order."""
-    refs = found.select("doc_id", F.col("sec").alias("src"), F.posexplode(F.regexp_extract_all("raw", F.lit(r"\\(?:eq|auto|c|C|page|name)?ref\*?\{([^}]*)\}"), F.lit(1))).alias("nth", "labels"), "raw")
-    refs = refs.select("doc_id", "src", "nth", F.expr("locate(concat('ref{', labels), raw)").alias("at"), F.posexplode(F.transform(F.split("labels", ","), F.trim)).alias("part", "alias"))
+    """(doc_id, src, target, via, at, pos): references by label, by printed number and by title; what resolves nowhere is left out.
+
+    `at` is the character of the section's source where a reference begins, and pos numbers the pointers of a section in this order; at one place, sections come last and others by their name."""
     known = things.filter("alias <> ''").select("doc_id", "alias", "id").distinct()
-    back = papers.select("doc_id", F.explode(F.regexp_extract_all(F.get(F.split(without_comments(F.col("tex")), r"\\appendix\b", 2), F.lit(1)), F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias")).distinct().withColumn("back", F.lit(True))
-    both = refs.join(known, ["doc_id", "alias"], "left").join(back, ["doc_id", "alias"], "left")
-    target = F.coalesce("id", F.when(F.col("back"), F.concat(F.lit("appendix:"), F.col("alias"))))
-    order = ["at", "nth", "part"]
-    labelled = both.select("doc_id", "src", target.alias("target"), F.lit("ref").alias("via"), *order).filter("target is not null")
     texts = found.select("doc_id", F.col("sec").alias("src"), "raw")
-    rest = [F.col("pos").cast("int").alias("at"), F.lit(0).alias("nth"), F.lit(0).alias("part")]
-    printed = printed_references(texts, object_numbers(found, things)).select("doc_id", "src", "target", F.lit("number").alias("via"), *rest)
-    named = title_mentions(texts, found.filter("kind = 'body'").select("doc_id", "sec", "title")).select("doc_id", "src", "target", F.lit("name").alias("via"), *rest)
+    labelled = labelled_references(texts, known, appendix_labels(papers)).withColumn("via", F.lit("ref"))
+    printed = printed_references(texts, object_numbers(found, things)).withColumn("via", F.lit("number"))
+    named = title_mentions(texts, found.filter("kind = 'body'").select("doc_id", "sec", "title")).withColumn("via", F.lit("name"))
     every = labelled.unionByName(printed).unionByName(named)
-    return every.withColumn("pos", F.row_number().over(W.partitionBy("doc_id", "src").orderBy(*order, "target")) - 1).drop(*order)
+    order = W.partitionBy("doc_id", "src").orderBy("at", F.col("target").startswith("sec:"), "target", "via", "said")
+    return every.withColumn("pos", F.row_number().over(order) - 1).select("doc_id", "src", "target", "via", "at", "pos")
 
 
 def numeric(cell: Column) -> Column:
@@ -179,8 +202,7 @@ def numeric(cell: Column) -> Column:
 def tables(found: DataFrame) -> DataFrame:
     """(doc_id, home, data_rows, numeric_cells) of each tabular: rows with a number, and numbers; of several rows the first is the header."""
     cells = found.select("doc_id", F.col("sec").alias("home"), F.posexplode(F.regexp_extract_all("raw", F.lit(r"(?s)\\begin\{tabular[x*]?\}(?:\{[^}]*\})*(.*?)\\end\{tabular"), F.lit(1))).alias("t", "b"))
-    rules = r"\\(?:toprule|midrule|bottomrule|hline|hdashline|addlinespace|endhead|endfirsthead|endfoot|endlastfoot)\b(?:\[[^\]]*\])?|\\(?:cmidrule|cline)\s*(?:\([^)]*\))?\s*\{[^}]*\}|\\(?:rowcolor|cellcolor)\s*(?:\[[^\]]*\])?\s*\{[^}]*\}"
-    rows = F.split(F.regexp_replace("b", rules, " "), r"\\\\(?:\s*\[[^\]]*\])?|\\tabularnewline")
+    rows = F.split(F.regexp_replace("b", "|".join(TABLE_RULES), " "), r"\\\\(?:\s*\[[^\]]*\])?|\\tabularnewline")
     data = F.when(F.size("r") > 1, F.slice("r", 2, F.size("r"))).otherwise(F.col("r"))
     counts = F.transform("d", lambda r: F.size(F.filter(F.split(r, r"(?<!\\)&"), numeric)))
     return cells.withColumn("r", rows).withColumn("d", data).withColumn("n", counts).select("doc_id", "home", F.size(F.filter("n", lambda n: n > 0)).alias("data_rows"), F.aggregate("n", F.lit(0), lambda a, n: a + n).alias("numeric_cells"))
