@@ -47,6 +47,14 @@ def test_latex_tables(spark):
     assert {(r.doc_id, r.score) for r in gap.collect()} == {(1, 1.0), (2, None)}
 
 
+def test_digits_at_the_ends_of_keys(spark):
+    """A key's place in its group takes nothing from it."""
+    papers = spark.createDataFrame([(1, "\\begin{document}\\section{A}\\label{s0}Text \\cite{0a0, 1b1,k2}. See \\ref{s0,s1}. \\section{B}\\label{s1}")], "doc_id long, tex string")
+    found = latex.sections(papers)
+    assert [s.cites for s in latex.sentences(found).orderBy("sent").collect()] == [[["0a0", "1b1", "k2"]], []]
+    assert [r.target for r in latex.pointers(papers, found, latex.objects(found)).orderBy("pos").collect()] == ["sec:1", "sec:2"]
+
+
 def test_bibliography(spark):
     bib = "@article{a,\n title={GraphNet: a study},\n author={Doe, Jane and Roe, R.},\n}\n@book{b,\n title={Plain words},\n}\n"
     got = latex.work_names(spark.createDataFrame([(1, bib)], "doc_id long, bib string"))

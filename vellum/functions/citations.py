@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A bracket of numbers, a year, a named work, the two styles, and printed references with lists of numbers.
+# A bracket of numbers, a year, a named work, the two styles, works in brackets and in running text, lettered appendices, and printed references with lists of numbers.
 NUMBERS = r"\[(\d{1,3}(?:\s*[-–,]\s*\d{1,3})*)\]"
 YEAR = r"(?:19|20)\d{2}[a-z]?"
 AUTHOR_YEAR = r"(?:et al\.?,?\s*\(?(?:19|20)\d{2}|\((?:[A-Z][A-Za-z\-]+[^()]{0,40}?,\s*(?:19|20)\d{2}))"
 NAMED_WORK = r"([A-Z][A-Za-z\-'’À-ž]+)(?:\s+et al\.?|\s*(?:,|and|&)\s*[A-Z][A-Za-z\-'’À-ž]+)*[,\s]*\(?(" + YEAR + r")"
+WORK_GROUP = r"\(((?:[^()]|\([^()]*\))*?" + YEAR + r"[^()]*)\)"
+TEXTUAL_WORK = r"\b([A-Z][A-Za-z\-'’]+)((?:\s+et al\.?)|(?:\s+(?:and|&)\s+[A-Z][A-Za-z\-'’]+))?\s*\((" + YEAR + r")\)"
+LETTERED = r"\b(?:Appendi(?:x|ces)|App\.)\s*([A-Z](?:\.\d+)*)\b"
 LISTED = {
     "section": r"\b(?:Sections?|Secs?\.|§)\s*(\d+(?:\.\d+)*(?:\s*(?:,|and|&|–|-)\s*\d+(?:\.\d+)*)*)",
     "figure": r"\b(?:Figures?|Figs?\.)\s*(\d+(?:\s*(?:,|and|&|–|-)\s*\d+)*)",
@@ -39,17 +42,19 @@ def numeric_keys(text: Column) -> Column:
 
 
 def named_keys(text: Column) -> Column:
-    """Surname and year, in lower case, of the works in round brackets, in order."""
-    groups = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*?" + YEAR + r"[^()]*)\)"), F.lit(1)), lambda g: F.split(g, ";")))
-    keys = F.transform(groups, lambda p: F.lower(F.concat(F.regexp_extract(p, NAMED_WORK, 1), F.regexp_extract(p, NAMED_WORK, 2))))
-    return F.filter(keys, lambda k: k != "")
+    """Surname and year, in lower case, of the works in round brackets, which may hold brackets themselves, in order; then of those named in running text before a year in brackets."""
+    groups = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORK_GROUP), F.lit(1)), lambda g: F.split(g, ";")))
+    grouped = F.transform(groups, lambda p: F.concat(F.regexp_extract(p, NAMED_WORK, 1), F.regexp_extract(p, NAMED_WORK, 2)))
+    textual = F.transform(F.regexp_extract_all(text, F.lit(TEXTUAL_WORK), F.lit(0)), lambda m: F.concat(F.regexp_extract(m, TEXTUAL_WORK, 1), F.regexp_extract(m, TEXTUAL_WORK, 3)))
+    return F.filter(F.transform(F.concat(grouped, textual), F.lower), lambda k: k != "")
 
 
 def listed_references(text: Column) -> Column:
-    """(kind, number) structs of printed references; a range stands for its two ends."""
+    """(kind, number) structs of printed references, those of appendices with letters; a range stands for its two ends."""
 
     def of(kind: str, pattern: str) -> Column:
         numbers = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda g: F.regexp_extract_all(g, F.lit(r"\d+(?:\.\d+)*"), F.lit(0))))
         return F.transform(numbers, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
 
-    return F.concat(*(of(k, p) for k, p in LISTED.items()))
+    lettered = F.transform(F.regexp_extract_all(text, F.lit(LETTERED), F.lit(1)), lambda n: F.struct(F.lit("appendix").alias("kind"), n.alias("number")))
+    return F.concat(*(of(k, p) for k, p in LISTED.items()), lettered)

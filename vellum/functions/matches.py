@@ -6,23 +6,31 @@ a text with many matches costs n log n and not n squared."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellum.functions.text import TOKEN
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is evaluated once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def running_sums(numbers: Column) -> Column:
     """Sums of an array of integers up to each place; null for null, empty for empty."""
-    wide = F.transform(numbers, lambda x: x.cast("long"))
-    rounds = F.when(F.size(numbers) > 1, F.ceil(F.log2(F.size(numbers).cast("double"))).cast("int")).otherwise(0)
-    steps = F.slice(F.sequence(F.lit(0), F.greatest(rounds, F.lit(1)) - 1), F.lit(1), rounds)
 
     def add(sums: Column, step: Column) -> Column:
         back = F.call_function("shiftleft", F.lit(1), step)
         return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0).cast("long")))
 
-    return F.aggregate(steps, wide, add)
+    def summed(wide: Column) -> Column:
+        rounds = F.when(F.size(wide) > 1, F.ceil(F.log2(F.size(wide).cast("double"))).cast("int")).otherwise(0)
+        return F.aggregate(F.slice(F.sequence(F.lit(0), F.greatest(rounds, F.lit(1)) - 1), F.lit(1), rounds), wide, add)
+
+    return bound(F.transform(numbers, lambda x: x.cast("long")), summed)
 
 
 def match_spans(text: Column, pattern: str | Column) -> Column:
@@ -30,10 +38,13 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
 
     The pattern has to match at least one character. A null text gives null, a text without matches an empty array."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
-    ends = running_sums(F.zip_with(between, found, lambda b, m: b + F.length(m)))
-    return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("at"), e.cast("int").alias("end"), m.alias("match")))
+
+    def placed(found: Column) -> Column:
+        between = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+        ends = running_sums(F.zip_with(between, found, lambda b, m: b + F.length(m)))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("at"), e.cast("int").alias("end"), m.alias("match")))
+
+    return bound(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
 
 def token_spans(text: Column) -> Column:

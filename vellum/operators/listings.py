@@ -13,6 +13,8 @@ RECENT, SHOWN, LATEST = 30, 12, 500
 LEAST_QUOTE, LEAST_PROMPT = 10, 20
 MAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 LEAST_WEIGHT = 4
+# Fields in the body of an issue.
+BODY_FIELDS = {"plane": r"\*\*Plane:\*\* (\w+)", "what": r"\*\*What it is:\*\* (.+)", "author": r"Proposed by (.+?)\."}
 
 
 def status(labels: Column) -> Column:
@@ -21,9 +23,11 @@ def status(labels: Column) -> Column:
 
 
 def proposals(issues: DataFrame, local: DataFrame) -> DataFrame:
-    """(id, name, status, created, listed) of issues (id, title, labels, created) and of local proposals (id, name, issue_url, created) without an issue; listed: the status's place in the list."""
-    known = issues.select("id", F.regexp_replace("title", r"^Proposal:\s*", "").alias("name"), status(F.col("labels")).alias("status"), "created")
-    own = local.filter("issue_url is null or issue_url = ''").select("id", "name", F.lit("under-review").alias("status"), "created")
+    """(id, name, status, created, plane, what, author, listed) of issues (id, title, labels, created, body) and of local proposals (id, name, issue_url, created) without an issue; plane, what and author are fields of an issue's body; listed: the status's place in the list."""
+    field = lambda name: F.regexp_extract("body", BODY_FIELDS[name], 1)
+    fields = [F.nullif(F.lower(field("plane")), F.lit("")).alias("plane"), F.coalesce(F.trim(field("what")), F.lit("")).alias("what"), F.coalesce(F.nullif(field("author"), F.lit("")), F.lit("Anonymous")).alias("author")]
+    known = issues.select("id", F.regexp_replace("title", r"^Proposal:\s*", "").alias("name"), status(F.col("labels")).alias("status"), "created", *fields)
+    own = local.filter("issue_url is null or issue_url = ''").select("id", "name", F.lit("under-review").alias("status"), "created", F.lit(None).cast("string").alias("plane"), F.lit("").alias("what"), F.lit("Anonymous").alias("author"))
     place = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
     return known.unionByName(own).withColumn("listed", place)
 
@@ -35,9 +39,9 @@ def recent(rows: DataFrame, key: str, at: str) -> DataFrame:
     return last.withColumn("rank", rank).withColumn("shown", F.col("rank") <= SHOWN)
 
 
-def latest(rows: DataFrame, at: str, n: int = LATEST) -> DataFrame:
-    """The n newest rows, which is what the list shows."""
-    return rows.orderBy(F.desc(at)).limit(n)
+def latest(rows: DataFrame, at: str, *ties: str, n: int = LATEST) -> DataFrame:
+    """The n newest rows, which is what the list shows; `ties` decide among equally new ones, larger first."""
+    return rows.orderBy(*(F.desc(c) for c in (at, *ties))).limit(n)
 
 
 def numbered_sentences(sents: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def argument_texts(edges: DataFrame, sents: DataFrame) -> DataFrame:
 
 def by_section(rows: DataFrame, outline: DataFrame) -> DataFrame:
     """(doc_id, sec, n): rows (doc_id, title) counted by the section of the outline (doc_id, sec, title) with that title, in any case and without number, else the first one whose title holds it or is held by it; sec is null for others."""
-    plain = lambda c: F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^§[\d.]+\s*", "")), r"^$", "")
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^§[\d.]+\s*", ""))
     asked = rows.withColumn("wanted", plain("title")).groupBy("doc_id", "wanted").agg(F.count("*").alias("n"))
     known = outline.select("doc_id", "sec", plain("title").alias("known"))
     # Titles are few, and rows are counted by title before they meet the outline.

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.plans import fixture_queries, listing_queries, prose_queries, table_queries
+from vellum.plans import listing_queries, paper_queries, prose_queries, table_queries
 
-TABLES = [prose_queries.QUERIES, table_queries.QUERIES, fixture_queries.QUERIES, listing_queries.QUERIES]
+TABLES = [prose_queries.QUERIES, table_queries.QUERIES, paper_queries.QUERIES, listing_queries.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

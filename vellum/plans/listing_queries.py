@@ -1,58 +1,17 @@
-"""Lists, roll-ups, printed references and citations: on driver tables of the same shape, and on literal rows (names ending in _fixture)."""
+"""Lists, roll-ups, printed references and citations: on driver tables of the same shape."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions import citations
 from vellum.functions.matches import match_spans, token_spans
 from vellum.functions.text import TOKEN, tokens
 from vellum.operators import listings, prose, ranking, spans
 from vellum.plans import prose_queries, table_queries
-from vellum.plans.fixture_queries import _df, _with
+from vellum.plans.paper_queries import between, matched, place
 from vellum.plans.prose_queries import TOKENS, _docs, _sents, _sql, _stored_sents
 from vellum.plans.table_queries import _t
-from vellum.sources import latex
-
-TEXTS = (
-    "doc_id long, src int, raw string",
-    [
-        (1, 1, "As Section 2 and Figure 1 show, Table 2 differs from Appendix B; see Sec. 2.1 and Figures 3."), (1, 2, "The Results and Discussion section repeats Figure 1, and the 'method of work' Section has more."),
-        (1, 3, "Nothing here. Table 9 is missing, but Fig. 2 is not."), (2, 1, "See Section 1, the Setup section, and the setup section once more."), (2, 2, ""),
-    ],
-)
-NUMBERED = ("doc_id long, kind string, number string, id string", [(1, "section", "1", "s1"), (1, "section", "2", "s2"), (1, "figure", "1", "f1"), (1, "figure", "2", "f2"), (1, "table", "2", "t2"), (2, "section", "1", "s1")])
-HEADS = ("doc_id long, sec int, title string", [(1, 1, "Intro"), (1, 2, "Method of work"), (1, 3, "Results and Discussion"), (2, 1, "Setup (short)"), (2, 2, "Setup "), (2, 3, "the Setup")])
-PASSAGES = (
-    "id long, text string",
-    [
-        (1, "Shown before [3-5, 9] and [2], but [40-90] is too long and [7–7] none."), (2, "As said (Smith et al., 2020; Jones and Lee 2019b) and again (Brown, 2001)."), (3, "No citation (see below) and [x]."), (4, ""),
-        (5, "Tables 1, 2 and 3 with Figure 4, Equations (5) and (6), Algorithm 7, Sections 2.1-2.3."), (6, "One [1] against (Doe et al., 1999)."), (7, "Two [1] and [2] against (Doe et al., 1999)."),
-    ],
-)
-CLAIMS = (
-    "id long, text string",
-    [
-        (1, "No individual cases were inspected."), (2, "The result rests solely on aggregate numbers."), (3, "It does not show any concrete examples."), (4, "We show many cases."), (5, "not any specific failure cases have been reported"), (6, "A qualitative case study"),
-        (7, "Sample outputs of the model"), (8, "System prompts used"), (9, "Accuracy by size"), (10, "Walkthrough"), (11, "Visualisations of attention"), (12, "only on aggregate scores"),
-    ],
-)
-CELLS = ("id long, cell string", [(1, "12.5"), (2, "± 3"), (3, "1,234"), (4, "45 %"), (5, "(0.5)"), (6, "abc"), (7, ""), (8, "3 ± 0.2"), (9, "7x*"), (10, "a 5"), (11, "~10 ms"), (12, "2019-2020")])
-TITLES = ("id long, title string", [(1, "Ethics Statement"), (2, "Reproducibility"), (3, "Related Work"), (4, "Prior  literature"), (5, "Background"), (6, "Method"), (7, "LLM use"), (8, "Previous studies on ethics"), (9, "Checklist"), (10, "Relations")])
-ISSUES = ("id string, title string, labels string, created string", [("gh-1", "Proposal: First", "proposal,testing", "2024-01-03"), ("gh-2", "Second", "testing,accepted", "2024-01-01"), ("gh-3", "Proposal:Third", "proposal", "2024-01-02"), ("gh-4", "Fourth", "not-adopted,testing", "2024-01-05")])
-LOCAL = ("id string, name string, issue_url string, created string", [("l1", "Local", None, "2024-01-04"), ("l2", "Known", "https://example.org/1", "2024-01-09"), ("l3", "Blank", "", "2024-01-06")])
-PIECES = (
-    "fb string, ann int, piece int, text string, x0 double, y0 double, x1 double, y1 double",
-    [("a", 1, 1, "second", 5.0, 6.0, 9.0, 9.5), ("a", 1, 0, "first", 1.0, 7.0, 4.0, 8.0), ("a", 2, 0, "", 0.0, 0.0, 1.0, 1.0), ("a", 2, 1, None, 2.0, 2.0, 3.0, 3.0), ("b", 1, 0, "only", 1.0, 1.0, 2.0, 2.0)],
-)
-FOUND = ("doc_id long, title string", [(1, "§2 Method of Work"), (1, "method of work"), (1, "Results"), (1, "Elsewhere"), (1, None), (2, "Setup"), (2, "The setup, at last")])
-REASONS = ("id long, why string", [(1, "no cue (none of the list)"), (2, "no cue (other)"), (3, "one work"), (4, "own work (we)"), (5, None)])
-EDGES = ("doc_id long, claim int, support int", [(1, 1, 3), (1, 2, 1), (1, 3, 9), (2, 1, 2)])
-LINES = ("doc_id long, sec int, sent int, text string", [(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 3, 0, "c"), (2, 1, 0, "x"), (2, 2, 0, "y")])
-FLOATS = ("doc_id long, home int, kind string, at int, id string", [(1, 2, "figure", 50, "f2"), (1, 1, "figure", 70, "f1"), (1, 2, "figure", 10, "f3"), (1, 1, "table", 5, "t1"), (2, 1, "figure", 1, "g1")])
-KEYS = ("id long, key string", [(1, " ABCD efgh 2345 "), (2, "abcd-efgh-2345"), (3, "short"), (4, "a_longer-key"), (5, "Bad Key !"), (6, "ABCDEFGH")])
-
 
 LINK = '<a href="([^"]*)"'
 
@@ -110,7 +69,7 @@ def latest_500(spark, sf_dir):
 def contributors_order(spark, sf_dir):
     """Contributors by falling number and name."""
     rows = table_queries.contributors_merge(spark, sf_dir)
-    return rows.select("name", "n", F.row_number().over(W.orderBy(F.desc("n"), F.lower("name"), "name")).alias("rank"))  # over a few names
+    return ranking.ranked(rows.select("name", "n"), [F.desc("n"), F.lower("name"), "name"])
 
 
 def prompts_by_ups(spark, sf_dir):
@@ -159,87 +118,7 @@ def plain_tokens(spark, sf_dir):
     return words.select(listings.plain_token(F.col("word")).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
 
-def printed_references(spark, sf_dir):
-    return latex.printed_references(_df(spark, TEXTS), _df(spark, NUMBERED)).groupBy("doc_id", "src", "target").agg(F.count("*").alias("n"))
-
-
-def title_mentions(spark, sf_dir):
-    return latex.title_mentions(_df(spark, TEXTS), _df(spark, HEADS)).groupBy("doc_id", "src", "target").agg(F.count("*").alias("n"))
-
-
-def citation_keys(spark, sf_dir):
-    text = F.col("text")
-    joined = lambda keys: F.concat_ws(",", F.transform(keys, lambda k: k.cast("string")))
-    return _df(spark, PASSAGES).select("id", citations.style(text).alias("style"), joined(citations.numeric_keys(text)).alias("numbers"), joined(citations.named_keys(text)).alias("names"))
-
-
-def listed_references(spark, sf_dir):
-    return _df(spark, PASSAGES).select("id", F.explode(citations.listed_references(F.col("text"))).alias("r")).select("id", "r.kind", "r.number")
-
-
-def wording(spark, sf_dir):
-    text = F.col("text")
-    return _df(spark, CLAIMS).select("id", text.rlike(latex.ACKNOWLEDGED_GAP).alias("gap"), text.rlike(latex.EXHIBIT_CAPTIONS).alias("exhibit"))
-
-
-def numeric_cells(spark, sf_dir):
-    return _df(spark, CELLS).select("id", latex.numeric(F.col("cell")).alias("numeric"))
-
-
-def section_kinds(spark, sf_dir):
-    return _df(spark, TITLES).select("id", F.col("title").rlike(latex.STATEMENTS).alias("statement"), F.col("title").rlike(latex.RELATED).alias("related"))
-
-
-def proposals(spark, sf_dir):
-    issues = _df(spark, ISSUES).withColumn("labels", F.split("labels", ","))
-    rows = listings.proposals(issues, _df(spark, LOCAL))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy("listed", F.desc("created")))).drop("listed")  # a list of a few rows
-
-
-def feedback(spark, sf_dir):
-    return listings.feedback(_df(spark, PIECES))
-
-
-def findings_by_section(spark, sf_dir):
-    return listings.by_section(_df(spark, FOUND), _df(spark, HEADS))
-
-
-def reason_histogram(spark, sf_dir):
-    return _df(spark, REASONS).groupBy(F.get(F.split("why", r" \("), F.lit(0)).alias("reason")).agg(F.count("*").alias("n"))
-
-
-def argument_texts(spark, sf_dir):
-    return listings.argument_texts(_df(spark, EDGES), _df(spark, LINES))
-
-
-def float_numbers(spark, sf_dir):
-    return latex.running_numbers(_df(spark, FLOATS), "at").select("doc_id", "id", "kind", "number")
-
-
-def report_keys(spark, sf_dir):
-    return _df(spark, KEYS).select("id", listings.report_key(F.col("key")).alias("key"))
-
-
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-def _between(text: str, pattern: str) -> str:
-    return f"string_split_regex({text}, '{_q(pattern)}')"
-
-
-def _matches(text: str, pattern: str) -> str:
-    return f"regexp_extract_all({text}, '{_q(pattern)}')"
-
-
-def _place(between: str, matches: str, i: str) -> str:
-    """Where the i-th match begins: the lengths of what stands before it."""
-    return f"CAST(list_sum([length(x) FOR x IN {between}[1:{i}]]) + coalesce(list_sum([length(x) FOR x IN {matches}[1:{i} - 1]]), 0) AS BIGINT)"
-
-
 _LIGATURES = "".join(f", '{a}', '{b}')" for a, b in [("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "ft"), ("ﬆ", "st")])
-_PRINTED = " UNION ALL ".join(f"SELECT doc_id, src, '{k}' AS kind, unnest(regexp_extract_all(raw, '{_q(p)}', 1)) AS number FROM texts" for k, p in latex.PRINTED.items())
-_LISTED = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, unnest(regexp_extract_all(g, '\\d+(?:\\.\\d+)*')) AS number FROM (SELECT id, unnest(regexp_extract_all(text, '{_q(p)}', 1)) AS g FROM passages)" for k, p in citations.LISTED.items())
 
 QUERIES = {
     "covered_runs": (
@@ -256,23 +135,23 @@ QUERIES = {
             f""", r AS (SELECT *, at_ - lag(at_) OVER (PARTITION BY doc_id, sec, sent ORDER BY at_) > 8 AS fresh FROM hits),
             k AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id, sec, sent ORDER BY at_) AS run FROM r),
             w AS (SELECT doc_id, sec, sent, min(at_) + 1 AS a, max(at_) + 8 AS b FROM k SEMI JOIN flag USING (doc_id, sec, sent) GROUP BY doc_id, sec, sent, run),
-            x AS (SELECT w.*, text, {_between('text', TOKEN)} AS p, {_matches('text', TOKEN)} AS m FROM w JOIN s USING (doc_id, sec, sent)),
-            y AS (SELECT *, {_place('p', 'm', 'a')} AS "at", {_place('p', 'm', 'b')} + length(m[b]) AS "end" FROM x)
+            x AS (SELECT w.*, text, {between('text', TOKEN)} AS p, {matched('text', TOKEN)} AS m FROM w JOIN s USING (doc_id, sec, sent)),
+            y AS (SELECT *, {place('p', 'm', 'a')} AS "at", {place('p', 'm', 'b')} + length(m[b]) AS "end" FROM x)
             SELECT doc_id, sec, sent, "at", "end", substring(text, "at" + 1, "end" - "at") AS excerpt FROM y"""
         ),
     ),
     "token_places": (
         token_places,
         _sql(
-            f""", x AS (SELECT doc_id, sec, sent, {_between('text', TOKEN)} AS p, {_matches('text', TOKEN)} AS m FROM s),
-            y AS (SELECT doc_id, sec, sent, i - 1 AS nth, {_place('p', 'm', 'i')} AS "at", m[i] AS token FROM x, unnest(range(1, len(m) + 1)) AS t(i))
+            f""", x AS (SELECT doc_id, sec, sent, {between('text', TOKEN)} AS p, {matched('text', TOKEN)} AS m FROM s),
+            y AS (SELECT doc_id, sec, sent, i - 1 AS nth, {place('p', 'm', 'i')} AS "at", m[i] AS token FROM x, unnest(range(1, len(m) + 1)) AS t(i))
             SELECT doc_id, sec, sent, nth, "at", "at" + length(token) AS "end", lower(token) AS token FROM y"""
         ),
     ),
     "link_mentions": (
         link_mentions,
-        f"""WITH x AS (SELECT page_id, {_between('html', LINK)} AS p, {_matches('html', LINK)} AS m, regexp_extract_all(html, '{LINK}', 1) AS h FROM pages),
-        y AS (SELECT page_id, {_place('p', 'm', 'i')} AS "at", {_place('p', 'm', 'i')} + length(m[i]) AS "end", h[i] AS href FROM x, unnest(range(1, len(m) + 1)) AS t(i))
+        f"""WITH x AS (SELECT page_id, {between('html', LINK)} AS p, {matched('html', LINK)} AS m, regexp_extract_all(html, '{LINK}', 1) AS h FROM pages),
+        y AS (SELECT page_id, {place('p', 'm', 'i')} AS "at", {place('p', 'm', 'i')} + length(m[i]) AS "end", h[i] AS href FROM x, unnest(range(1, len(m) + 1)) AS t(i))
         SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY "at") AS mention FROM y""",
     ),
     "sentence_numbers": (sentence_numbers, _sql("SELECT doc_id, sec, sent, row_number() OVER (PARTITION BY doc_id ORDER BY sec, sent) AS number FROM s")),
@@ -313,79 +192,4 @@ QUERIES = {
         f"""SELECT token, count(*) AS n FROM (SELECT regexp_replace(lower({'replace(' * 7}word{_LIGATURES}), '[^a-z0-9]', '', 'g') AS token
         FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS word FROM documents)) WHERE token <> '' GROUP BY token""",
     ),
-    "printed_references_fixture": (
-        printed_references,
-        _with(
-            f""", f AS ({_PRINTED}) SELECT doc_id, CAST(src AS BIGINT) AS src, target, count(*) AS n FROM
-            (SELECT f.doc_id, src, id AS target FROM f JOIN numbered USING (doc_id, kind, number) UNION ALL SELECT doc_id, src, 'appendix:' || number FROM f WHERE kind = 'appendix') GROUP BY ALL""",
-            texts=TEXTS, numbered=NUMBERED,
-        ),
-    ),
-    "title_mentions_fixture": (
-        title_mentions,
-        _with(
-            """, p AS (SELECT t.doc_id, src, sec, len(regexp_extract_all(raw, '(?i)\\b(?:the\\s+)?[“"'']?' || regexp_escape(trim(title)) || '[”"'']?\\s+section\\b')) AS n FROM texts t JOIN heads h ON h.doc_id = t.doc_id AND src <> sec AND length(trim(title)) >= 6)
-            SELECT doc_id, CAST(src AS BIGINT) AS src, 'sec:' || sec AS target, n FROM p WHERE n > 0""",
-            texts=TEXTS, heads=HEADS,
-        ),
-    ),
-    "citation_keys_fixture": (
-        citation_keys,
-        _with(
-            f""", parts AS (SELECT id, g, i, trim(x[i]) AS part FROM (SELECT id, g, string_split(b[g], ',') AS x FROM (SELECT id, regexp_extract_all(text, '{citations.NUMBERS}', 1) AS b FROM passages), unnest(range(1, len(b) + 1)) AS t(g)), unnest(range(1, len(x) + 1)) AS u(i)),
-            ends AS (SELECT id, g, i, regexp_matches(part, '[-–]') AS wide, CAST(regexp_extract(part, '^(\\d+)', 1) AS INT) AS a, CAST(regexp_extract(part, '(\\d+)$', 1) AS INT) AS b FROM parts),
-            nums AS (SELECT id, g, i, unnest(CASE WHEN NOT wide THEN [a] WHEN b > a AND b - a < 30 THEN range(a, b + 1) ELSE [] END) AS k FROM ends),
-            n AS (SELECT id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY g, i, k) AS numbers FROM nums GROUP BY id),
-            named AS (SELECT id, g, i, lower(regexp_extract(x[i], '{_q(citations.NAMED_WORK)}', 1) || regexp_extract(x[i], '{_q(citations.NAMED_WORK)}', 2)) AS k FROM (SELECT id, g, string_split(b[g], ';') AS x FROM
-                (SELECT id, regexp_extract_all(text, '\\(([^()]*?{citations.YEAR}[^()]*)\\)', 1) AS b FROM passages), unnest(range(1, len(b) + 1)) AS t(g)), unnest(range(1, len(x) + 1)) AS u(i)),
-            m AS (SELECT id, string_agg(k, ',' ORDER BY g, i) AS names FROM named WHERE k <> '' GROUP BY id)
-            SELECT id, CASE WHEN len(regexp_extract_all(text, '{citations.NUMBERS}')) > len(regexp_extract_all(text, '{_q(citations.AUTHOR_YEAR)}')) THEN 'numeric' ELSE 'author-year' END AS style, coalesce(numbers, '') AS numbers, coalesce(names, '') AS names
-            FROM passages LEFT JOIN n USING (id) LEFT JOIN m USING (id)""",
-            passages=PASSAGES,
-        ),
-    ),
-    "listed_references_fixture": (listed_references, _with(f", r AS ({_LISTED}) SELECT * FROM r", passages=PASSAGES)),
-    "wording_fixture": (wording, _with(f"SELECT id, regexp_matches(text, '{latex.ACKNOWLEDGED_GAP}') AS gap, regexp_matches(text, '{latex.EXHIBIT_CAPTIONS}') AS exhibit FROM claims", claims=CLAIMS)),
-    "numeric_cells_fixture": (numeric_cells, _with(f"SELECT id, regexp_matches(cell, '{latex.NUMERIC_CELL}') AS numeric FROM cells", cells=CELLS)),
-    "section_kinds_fixture": (section_kinds, _with(f"SELECT id, regexp_matches(title, '{latex.STATEMENTS}') AS statement, regexp_matches(title, '{latex.RELATED}') AS related FROM titles", titles=TITLES)),
-    "proposals_fixture": (
-        proposals,
-        _with(
-            """, p AS (SELECT id, regexp_replace(title, '^Proposal:\\s*', '') AS name, CASE WHEN list_contains(l, 'accepted') THEN 'accepted' WHEN list_contains(l, 'not-adopted') THEN 'not-adopted' WHEN list_contains(l, 'testing') THEN 'testing' ELSE 'under-review' END AS status, created
-            FROM (SELECT *, string_split(labels, ',') AS l FROM issues) UNION ALL SELECT id, name, 'under-review', created FROM local_ WHERE coalesce(issue_url, '') = '')
-            SELECT *, row_number() OVER (ORDER BY list_position(['accepted', 'testing', 'under-review', 'not-adopted'], status), created DESC) AS rank FROM p""",
-            issues=ISSUES, local_=LOCAL,
-        ),
-    ),
-    "feedback_fixture": (
-        feedback,
-        _with("SELECT fb, CAST(ann AS BIGINT) AS ann, coalesce(string_agg(text, ' / ' ORDER BY piece) FILTER (WHERE text <> ''), count(*) || ' region(s) marked on the paper') AS quote, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM pieces GROUP BY fb, ann", pieces=PIECES),
-    ),
-    "findings_by_section_fixture": (
-        findings_by_section,
-        _with(
-            """, f AS (SELECT row_number() OVER () AS r, doc_id, lower(regexp_replace(coalesce(title, ''), '^§[\\d.]+\\s*', '')) AS w FROM found), h AS (SELECT doc_id, sec, lower(regexp_replace(title, '^§[\\d.]+\\s*', '')) AS k FROM heads),
-            b AS (SELECT r, f.doc_id, (SELECT sec FROM h WHERE h.doc_id = f.doc_id AND (w = k OR (w <> '' AND (contains(k, w) OR contains(w, k)))) ORDER BY w <> k, sec LIMIT 1) AS sec FROM f)
-            SELECT doc_id, CAST(sec AS BIGINT) AS sec, count(*) AS n FROM b GROUP BY doc_id, sec""",
-            found=FOUND, heads=HEADS,
-        ),
-    ),
-    "reason_histogram_fixture": (reason_histogram, _with("SELECT string_split(why, ' (')[1] AS reason, count(*) AS n FROM reasons GROUP BY 1", reasons=REASONS)),
-    "argument_texts_fixture": (
-        argument_texts,
-        _with(
-            """, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, sent) AS k FROM lines)
-            SELECT e.doc_id, CAST(claim AS BIGINT) AS claim, CAST(support AS BIGINT) AS support, a.text AS claim_text, b.text AS support_text FROM edges e JOIN n a ON a.doc_id = e.doc_id AND a.k = claim JOIN n b ON b.doc_id = e.doc_id AND b.k = support""",
-            edges=EDGES, lines=LINES,
-        ),
-    ),
-    "float_numbers_fixture": (float_numbers, _with("SELECT doc_id, id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY home, \"at\") AS number FROM floats", floats=FLOATS)),
-    "report_keys_fixture": (
-        report_keys,
-        _with(
-            """, b AS (SELECT id, trim(key) AS t, replace(lower(trim(key)), ' ', '') AS k FROM keys), g AS (SELECT id, t, CASE WHEN regexp_full_match(k, '[a-z0-9]{12}') THEN k[1:4] || '-' || k[5:8] || '-' || k[9:12] ELSE k END AS k FROM b)
-            SELECT id, CASE WHEN regexp_full_match(k, '[a-z0-9]{4}-[a-z0-9]{4}-[a-z0-9]{4}|[A-Za-z0-9_-]{8,40}') THEN k ELSE t END AS key FROM g""",
-            keys=KEYS,
-        ),
-    ),
 }

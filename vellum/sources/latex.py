@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.citations import listed_references
 from vellum.functions.matches import match_spans
 from vellum.functions.text import split_sentences, tokens
 
@@ -113,7 +114,7 @@ def prose(raw: Column) -> Column:
 def sentences(found: DataFrame) -> DataFrame:
     """(doc_id, sec, sent, text, cites, words): cites holds one key group for each stand-in of a citation."""
     cut = found.select("doc_id", "sec", F.posexplode(split_sentences(prose(F.col("raw")))).alias("sent", "marked"))
-    groups = F.transform(F.regexp_extract_all("marked", F.lit("⟦c:([^⟧]*)⟧"), F.lit(1)), lambda g: F.transform(F.split(g, ","), F.trim))
+    groups = F.transform(F.regexp_extract_all("marked", F.lit("⟦c:([^⟧]*)⟧"), F.lit(1)), lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k)))
     text = F.regexp_replace("marked", "⟦c:[^⟧]*⟧", "[cite]")
     out = cut.select("doc_id", "sec", "sent", text.alias("text"), groups.alias("cites"))
     rest = F.trim(F.regexp_replace("text", r"\[(cite|math|ref)\]|[\s.,;:!?()\"]", ""))
@@ -155,6 +156,16 @@ def printed_references(texts: DataFrame, kinds: DataFrame) -> DataFrame:
     return each.join(kinds, ["doc_id", "kind", "number"]).select("doc_id", "src", F.col("id").alias("target"), "at", "said").unionByName(appendix)
 
 
+def listed_targets(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc_id, src, kind, number, target) of texts (doc_id, src, raw): printed references with lists of numbers that stand for an object of kinds (doc_id, kind, number, id), a subsection without one for its section, and lettered appendices."""
+    each = texts.select("doc_id", "src", F.explode(listed_references(F.col("raw"))).alias("r")).select("doc_id", "src", "r.*")
+    whole = F.when(F.col("kind") == "section", F.substring_index("number", ".", 1))
+    known = kinds.select("doc_id", "kind", "number", "id")
+    found = each.withColumn("whole", whole).join(known, ["doc_id", "kind", "number"], "left").join(known.select("doc_id", "kind", F.col("number").alias("whole"), F.col("id").alias("parent")), ["doc_id", "kind", "whole"], "left")
+    target = F.when(F.col("kind") == "appendix", F.concat(F.lit("appendix:"), F.col("number"))).otherwise(F.coalesce("id", "parent"))
+    return found.select("doc_id", "src", "kind", "number", target.alias("target")).filter("target is not null")
+
+
 def title_mentions(texts: DataFrame, heads: DataFrame) -> DataFrame:
     """(doc_id, src, target, at, said): other sections named by their title, of six characters or more, and the word section; an equality join by document, then a test of each title."""
     titles = heads.withColumn("title", F.trim("title")).filter(F.length("title") >= 6)
@@ -167,7 +178,7 @@ def labelled_references(texts: DataFrame, known: DataFrame, back: DataFrame) ->
     """(doc_id, src, target, at, said) of texts (doc_id, src, raw): references by label to an object of known (doc_id, alias, id), else to a label of the appendix, back (doc_id, alias); several labels of one reference stand at one place."""
     refs = texts.select("doc_id", "src", F.explode(match_spans(F.col("raw"), REFERENCE)).alias("s"))
     labels = F.concat(F.regexp_extract("s.match", REFERENCE, 1), F.regexp_extract("s.match", REFERENCE, 2))
-    each = refs.select("doc_id", "src", "s.at", F.explode(F.transform(F.split(labels, ","), F.trim)).alias("alias")).filter("alias <> ''")
+    each = refs.select("doc_id", "src", "s.at", F.explode(F.transform(F.split(labels, ","), lambda k: F.trim(k))).alias("alias")).filter("alias <> ''")
     both = each.join(known, ["doc_id", "alias"], "left").join(back.withColumn("back", F.lit(True)), ["doc_id", "alias"], "left")
     target = F.coalesce("id", F.when(F.col("back"), F.concat(F.lit("appendix:"), F.col("alias"))))
     return both.select("doc_id", "src", target.alias("target"), "at", F.col("alias").alias("said")).filter("target is not null")
