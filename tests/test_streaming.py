@@ -44,10 +44,34 @@ def test_daily_counts(spark, tmp_path):
     assert {(str(r.day), r.kind, r.n) for r in spark.table("daily").collect()} >= {("2025-01-01", "a", 2), ("2025-01-02", "b", 1)}
 
 
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_size for f in path.rglob("*.parquet")}
+
+
 def test_votes(spark, tmp_path):
     schema = "token string, item string, v int, ts long"
-    for n, rows in enumerate([[("t", "1-1", 1, 1), ("u", "1-1", 1, 2)], [("t", "1-1", 0, 3), ("u", "1-1", -1, 1)]]):
+    many = [(f"t{i}", f"i{i % 7}", 1, 1) for i in range(3000)]
+    batches = [many + [("t", "1-1", 1, 1), ("u", "1-1", 1, 2)], [("t", "1-1", 0, 3), ("u", "1-1", -1, 1), ("w", "1-2", -1, 5), ("w", "1-2", 1, 5)], [("t", "1-1", 1, 2), ("u", "1-1", -1, 9)]]
+    for n, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    jobs.vote_stream(source, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
-    assert {(r.token, r.item, r.v) for r in spark.read.parquet(f"{tmp_path}/out/1").collect()} == {("t", "1-1", 0), ("u", "1-1", 1)}
+    out = tmp_path / "out"
+    jobs.vote_stream(source, str(out), f"{tmp_path}/cp", buckets=64).awaitTermination(120)
+    expected = {}
+    for rows in batches:
+        for token, item, v, ts in rows:
+            if (ts, v) > expected.get((token, item), (-1, 0))[:2]:
+                expected[token, item] = (ts, v)
+    got = {(r.token, r.item): (r.ts, r.v) for r in jobs.stored_votes(spark, str(out), 2).collect()}
+    assert got == {k: x for k, x in expected.items() if x[1] != 0}
+    # Each batch wrote the buckets that it touched, at most one for each of its votes, and not the store.
+    written = {n: sum(size for f, size in _files(out).items() if f.startswith(f"data/{n}/")) for n in range(3)}
+    assert 0 < written[2] < written[0] / 10
+    assert len({f.split("/")[2] for f in _files(out) if f.startswith("data/2/")}) <= 2
+    assert sorted(p.name for p in (out / "manifest").iterdir()) == ["1", "2"]
+    # What version 1 replaced went with version 2; a batch that is run again writes the same.
+    before = jobs.stored_votes(spark, str(out), 2).collect()
+    jobs.upsert_votes(spark.createDataFrame(batches[2], schema), 2, str(out), 64)
+    assert sorted(before) == sorted(jobs.stored_votes(spark, str(out), 2).collect())
+    jobs.upsert_votes(spark.createDataFrame([], schema), 3, str(out), 64)
+    assert sorted(before) == sorted(jobs.stored_votes(spark, str(out), 3).collect())

@@ -175,3 +175,22 @@ def aggregate(results: DataFrame) -> DataFrame:
     means = plane_scores(results).groupBy("doc_id").agg(F.avg("score").alias("score"))
     partial = results.groupBy("doc_id").agg(F.bool_or(F.col("status").isin("skipped", "error")).alias("partial"))
     return partial.join(means, "doc_id").select("doc_id", "score", index_of(F.col("score")).alias("index"), "partial")
+
+
+def rescored(results: DataFrame, changed: DataFrame) -> DataFrame:
+    """results (doc_id, key, plane, status, score) with the rows of `changed`, of the same columns, in place of those of the same paper and measure."""
+    return results.join(changed.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti").unionByName(changed)
+
+
+def reaggregated(before: DataFrame, results: DataFrame, changed: DataFrame) -> DataFrame:
+    """aggregate() of all papers, computed anew from the rescored results only for those that `changed` touches, and as `before` for the rest."""
+    touched = changed.select("doc_id").distinct()
+    return before.join(touched, "doc_id", "left_anti").unionByName(aggregate(results.join(touched, "doc_id", "left_semi")))
+
+
+def read_scores(rows: DataFrame, raw: str) -> DataFrame:
+    """rows with status and score of a measure's answer in JSON: error where it can't be read, na where it holds no score, else done; one bad row does not sink the rest."""
+    value = F.get_json_object(raw, "$.score")
+    score = F.expr(f"try_cast(get_json_object(`{raw}`, '$.score') AS double)")
+    bad = F.col(raw).isNotNull() & (F.get_json_object(raw, "$").isNull() | (value.isNotNull() & score.isNull()))
+    return rows.withColumns({"status": F.when(bad, "error").when(score.isNull(), "na").otherwise("done"), "score": score})

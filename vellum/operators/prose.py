@@ -107,6 +107,11 @@ def redundancy_edges(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("doc_id", "src_sec", "sec").agg(F.count("*").alias("n"))
 
 
+def distinct_sentences(sents: DataFrame) -> DataFrame:
+    """(doc_id, sec, sent, words, copies): of a document's sentences with the same words, the first one and how many there are."""
+    return sents.groupBy("doc_id", "words").agg(F.min(F.struct("sec", "sent")).alias("first"), F.count("*").alias("copies")).select("doc_id", "first.sec", "first.sent", "words", "copies")
+
+
 def near_duplicate_sentences(sents: DataFrame, n: int = GRAM, least: float = 0.2) -> DataFrame:
     """(doc_id, sec1, sent1, sec2, sent2, jaccard): sentences of different sections of a document that share a gram, by the overlap of their word sets.
 

@@ -110,6 +110,22 @@ INPUTS |= {
     "bib": f"SELECT o AS doc_id, n, s, p, {BIB_ENTRY} AS entry FROM {LINES}",
 }
 
+# Files that include each other: three mentions in each, one of a file that may not be there, and one in a comment.
+_NAME = lambda t: f"CASE WHEN {t} = 1 THEN 'main' WHEN ({t}) % 2 = 0 THEN concat('f', {t}) ELSE concat('sub/f', {t}, '.tex') END"
+_ONE, _TWO, _THREE = "p % k + 1", "s % (k + 2) + 1", "(q + n) % k + 1"
+FILE_PIECES = [written("<CASE WHEN n = 1 THEN concat(chr(92), 'documentclass{x}', chr(92), 'begin{document}') ELSE '' END>Begin <p> "), "' middle '", "' then '", written("\nend <q>")]
+INPUTS |= {
+    "members": f"""SELECT o AS archive, CASE WHEN n = 1 THEN 'paper/main.tex' WHEN n % 2 = 0 THEN concat('paper/f', n, '.tex') ELSE concat('paper/sub/f', n, '.tex') END AS path,
+        concat({FILE_PIECES[0]}, {written(r"\input{")}, {_NAME(_ONE)}, {written(r"} middle \include{./")}, {_NAME(_TWO)}, {written(r"} then \input ")}, {_NAME(_THREE)}, {written(chr(10) + r"% \input{main}")}, {FILE_PIECES[3]}) AS text FROM {LINES}""",
+    "included": " UNION ALL ".join(f"SELECT o, n, {i} AS nth, {t} AS t FROM {LINES} WHERE {t} <= k" for i, t in ((1, _ONE), (2, _TWO), (3, _THREE))),
+    "file_pieces": " UNION ALL ".join(f"SELECT o, n, {i} AS i, {piece} AS piece FROM {LINES}" for i, piece in enumerate(FILE_PIECES)),
+    "term_sents": f"""SELECT o AS doc_id, n AS sec, 0 AS sent, {one_of('p', 'The Self-Recall Error (SRE) grows.', 'SRE is high, and the error rate is low.', 'We call it RAGx, the data-driven one.', 'A data-driven method and a rule-based one.', 'The "hidden slot" denotes a place.', 'The hidden slot of RAGx, or "hidden slot".', 'Large Model Index (LMX) is not spelt so.', 'The Large Model Index (LMI) is; LMI and LMX differ.')} AS text FROM {LINES}
+        UNION ALL SELECT o, n, 1, {one_of('s', 'It is crucial and pivotal.', 'A novel method, unlike others.', 'It is not fast but robust, demonstrating that it works.', 'Overall, it is worth noting that this is left for future work.', 'Nothing to see here at all today.', 'SRE refers to an error; it is well established that it grows.', 'Rather than that, a novel, efficient, and scalable one.')} FROM {LINES}""",
+    "own_objects": f"SELECT o AS doc_id, concat('a', n) AS id, {one_of('n', 'section', 'figure')} AS kind, CASE WHEN p % 3 > 0 THEN CAST(s % 4 AS STRING) END AS number, concat('§', n, ' Part ', q % 3) AS title FROM {LINES}",
+    "other_objects": f"SELECT o AS doc_id, concat('b', n) AS id, {one_of('s', 'section', 'figure')} AS kind, CASE WHEN q % 3 > 0 THEN CAST(p % 4 AS STRING) END AS number, concat('part ', d % 3) AS title FROM {LINES}",
+    "changed_results": f"SELECT o AS doc_id, 'figure_exposition' AS key, 'artifacts' AS plane, {one_of('s', 'done', 'error', 'done')} AS status, CASE WHEN s % 3 <> 1 THEN CAST(d AS DOUBLE) / 20 END AS score FROM {LINES} WHERE n = 5 AND q % 2 = 0",
+}
+
 _FROM = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions.scores import axis_top, band, index_of, ratio, shown
 from vellum.functions.text import tokens
-from vellum.operators import ranking, spans, votes
+from vellum.operators import ranking, spans, vectors, votes
+from vellum.streaming import jobs
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +162,12 @@ def rate_limit_window(spark, sf_dir):
     return events.select("event_id", "user_id", hits.alias("hits"), (hits > 3).alias("over"))
 
 
+def rate_limited(spark, sf_dir):
+    """Each event of a user, and whether it is accepted: at most three accepted ones lie within a day."""
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    return jobs.rate_limited(events, "user_id", "s", "event_id", 86400, 3).select("event_id", F.col("key").cast("long").alias("user_id"), "accepted")
+
+
 def _votes(spark, sf_dir):
     value = F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type") == "error", -1).when(F.col("event_type") == "signup", 0).otherwise(1)
     return _t(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 17).alias("item"), value.alias("v"))
@@ -246,14 +253,9 @@ def session(spark, sf_dir):
 
 def embedding_neighbours(spark, sf_dir):
     """The five nearest vectors by cosine of every vector whose id is divisible by 100: this stated set of queries goes to all rows."""
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
-    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"), F.col("norm").alias("qn"))
-    cosine = dot(F.col("e"), F.col("q")) / (F.col("norm") * F.col("qn"))
-    pairs = rows.join(asked, F.col("vec_id") != F.col("query")).select("query", "vec_id", cosine.alias("cosine"))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "vec_id"))).filter("rank <= 5")
-    return ranked.select("query", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    found = vectors.nearest(rows.filter("id % 100 = 0"), rows, 5)
+    return found.select("query", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
 _VOTES = "v AS (SELECT event_id, user_id, event_id % 17 AS item, CASE WHEN event_type = 'error' THEN -1 WHEN event_type = 'signup' THEN 0 ELSE 1 END AS v FROM events), latest AS (SELECT user_id, item, arg_max(v, event_id) AS v FROM v GROUP BY user_id, item HAVING arg_max(v, event_id) <> 0)"
@@ -343,6 +345,13 @@ QUERIES = {
         rate_limit_window,
         "WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) SELECT event_id, user_id, count(*) OVER w AS hits, count(*) OVER w > 3 AS over FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)",
     ),
+    "rate_limited": (
+        rate_limited,
+        """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, n, true AS accepted, [s] AS taken FROM e WHERE n = 1
+            UNION ALL SELECT user_id, event_id, n, ok, CASE WHEN ok THEN list_append(recent, s) ELSE recent END FROM (SELECT e.*, [x FOR x IN taken IF e.s - x <= 86400] AS recent, len([x FOR x IN taken IF e.s - x <= 86400]) < 3 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+        SELECT event_id, user_id, accepted FROM r""",
+    ),
     "vote_upsert": (vote_upsert, f"WITH {_VOTES} SELECT user_id, item, CAST(v AS BIGINT) AS v FROM latest"),
     "vote_tally": (vote_tally, f"WITH {_TALLY} SELECT * FROM tally"),
     "hub_rank": (hub_rank, f"WITH {_TALLY} SELECT *, row_number() OVER (ORDER BY up - down DESC, up DESC, item) AS rank FROM tally"),
