@@ -28,14 +28,22 @@ def masked_tokens(line: Column) -> Column:
     return F.filter(F.split(masked, " "), lambda t: t != "")
 
 
+def _without(lines: Column, drops: Column) -> Column:
+    """Lines but those at the places in drops. Places that stay are found by one hash set, and both arrays are made once, so the time goes with the number of lines."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
+    both = F.array(F.struct(lines.alias("lines"), stay.alias("stay")))
+    return F.get(F.transform(both, lambda b: F.transform(b["stay"], lambda i: F.get(b["lines"], i))), F.lit(0))
+
+
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_tokens: int = 4, least_docs: int = 5, constant: float = 0.6, short: bool = True) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) per row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # What lines are found again by: rows with the same id and text have the same lines to drop.
     key = [F.xxhash64("doc_id", "text").alias("key"), F.length("text").alias("size")]
-    # Tokens are made inside the generator, so that each line is cut once, whatever is read of them later.
+    # Hashes and tokens are made before lines become rows: each text is hashed and each line cut once, whatever is read of them later.
     lines = F.transform(F.split("text", "\n"), masked_tokens)
-    tokens = rows.select(*key, F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("at", "tokens")).filter(F.size("tokens") >= (1 if short else least_tokens))
+    cut = rows.select(*key, F.xxhash64("text").alias("copy"), lines.alias("lines"))
+    tokens = cut.select("key", "size", "copy", F.posexplode("lines").alias("at", "tokens")).filter(F.size("tokens") >= (1 if short else least_tokens))
     tokens = tokens.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)), "variant": F.xxhash64("tokens")})
     leaves = tokens.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     leaves = small_side(kept(leaves, "leaves"))
@@ -64,9 +72,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(lines, variants)
     every = rows.withColumns({"key": key[0], "size": key[1]}).join(drops, ["key", "size"], "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains("drops", i))
     return every.select(
-        "doc_id", F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text")
+        "doc_id", F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.concat_ws("\n", _without(lines, F.col("drops")))).alias("text")
     )
 
 

@@ -1,4 +1,4 @@
-"""Repeated passages by prefix-free parsing.
+"""Repeated passages by the phrases of a prefix-free parsing, grouped by hashes instead of sorted.
 
 A window of 200 bytes chooses its trigger, the gram in it with the least rolling hash, so the choice follows from the
 window's bytes alone. Consecutive windows with the same trigger form a phrase. Equal windows lie in phrases with the same trigger,
@@ -8,7 +8,7 @@ equal, as at the ends of a repeat, are cut into parts that are compared in the s
 their core without being equal are resolved window by window. What is asked of the suffix order is which suffixes
 agree in their first 200 bytes; those are neighbours in it, and here they are grouped by a hash of that prefix within their
 trigger: suffix arrays of dictionary and parse are not built, and no order of the whole corpus is sorted. Texts are parsed
-in segments, so memory does not grow with a text.
+in segments; what is still asked of a text after that, its open parts and windows, is gathered by text, some 50 bytes for each open window.
 
 Defined results: a null or empty text has no bytes; texts shorter than the width lose nothing; rows that repeat an id
 are documents of their own, and equal ones remove each other; a null id stays null; further columns are ignored; an
