@@ -110,9 +110,9 @@ INPUTS |= {
     "bib": f"SELECT o AS doc_id, n, s, p, {BIB_ENTRY} AS entry FROM {LINES}",
 }
 
-# Files that include each other: three mentions in each, one of a file that may not be there, and one in a comment.
+# Files that include each other: three mentions in each, one of a file that may not be there and one of the main file, and one in a comment.
 _NAME = lambda t: f"CASE WHEN {t} = 1 THEN 'main' WHEN ({t}) % 2 = 0 THEN concat('f', {t}) ELSE concat('sub/f', {t}, '.tex') END"
-_ONE, _TWO, _THREE = "p % k + 1", "s % (k + 2) + 1", "(q + n) % k + 1"
+_ONE, _TWO, _THREE = "p % k + 1", "s % (k + 2) + 1", "1"
 FILE_PIECES = [written("<CASE WHEN n = 1 THEN concat(chr(92), 'documentclass{x}', chr(92), 'begin{document}') ELSE '' END>Begin <p> "), "' middle '", "' then '", written("\nend <q>")]
 INPUTS |= {
     "members": f"""SELECT o AS archive, CASE WHEN n = 1 THEN 'paper/main.tex' WHEN n % 2 = 0 THEN concat('paper/f', n, '.tex') ELSE concat('paper/sub/f', n, '.tex') END AS path,
