@@ -225,7 +225,7 @@ PAPERS = {
     "title_mentions": Over(
         ("texts", "heads"),
         lambda texts, heads: latex.title_mentions(texts, heads),
-        f""", p AS (SELECT t.doc_id, src, sec, raw, '(?i)\\b(?:the\\s+)?[“"'']?' || regexp_escape(trim(title)) || '[”"'']?\\s+section\\b' AS rx FROM texts t JOIN heads h ON h.doc_id = t.doc_id AND src <> sec AND length(trim(title)) >= 6),
+        f""", p AS (SELECT t.doc_id, src, sec, raw, '(?i)\\b(?:the\\s+)?[“"'']?' || regexp_escape(trim(title)) || '[”"'']?\\s+section\\b' AS rx FROM texts t JOIN heads h ON h.doc_id = t.doc_id AND src <> sec AND length(trim(title)) >= 6 AND contains(lower(raw), lower(trim(title)))),
         x AS (SELECT doc_id, src, sec, string_split_regex(raw, rx) AS p, regexp_extract_all(raw, rx) AS m FROM p)
         SELECT doc_id, CAST(src AS BIGINT) AS src, 'sec:' || sec AS target, {place('p', 'm', 'i')} AS "at", m[i] AS said FROM x, unnest(range(1, len(m) + 1)) AS t(i)""",
     ),
