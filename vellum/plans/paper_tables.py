@@ -126,6 +126,31 @@ INPUTS |= {
     "changed_results": f"SELECT o AS doc_id, 'figure_exposition' AS key, 'artifacts' AS plane, {one_of('s', 'done', 'error', 'done')} AS status, CASE WHEN s % 3 <> 1 THEN CAST(d AS DOUBLE) / 20 END AS score FROM {LINES} WHERE n = 5 AND q % 2 = 0",
 }
 
+# Feedback by supplier, its lines being pieces of 150 annotations, of which one takes many; a ninth of the annotations has no piece. Proposals by part, votes by event, posts by turn, marks by order.
+_ANN = "CASE WHEN d = 0 THEN 0 ELSE p % 150 END"
+INPUTS |= {
+    "submissions": """SELECT s_suppkey AS fb, CASE WHEN s_suppkey % 9 = 1 THEN '  ' ELSE s_name END AS name, CASE WHEN s_suppkey % 11 <> 2 THEN concat(' Group ', s_nationkey) END AS affiliation,
+        CASE s_suppkey % 5 WHEN 3 THEN concat('s', s_suppkey, ' at example.org') WHEN 4 THEN concat('s', s_suppkey, '@example') ELSE concat('s', s_suppkey, '@example.org ') END AS email FROM supplier""",
+    "annotations": f"""SELECT s AS fb, a AS ann, {one_of('a', 'other', '', 'citation_isolation', 'other')} AS kind, CASE WHEN s % 7 = 3 AND a = 5 THEN '  ' ELSE concat(' Title ', a) END AS title,
+        CASE WHEN s % 17 = 4 AND a = 0 THEN 'Too short' ELSE concat('It is noted ', q, ' times here, in words that go on for a while.') END AS note,
+        CASE WHEN a % 3 = 0 THEN concat('Pattern ', a % 10, ' ') END AS pattern_name, CASE WHEN a % 6 = 0 THEN concat(' What it is: ', q) ELSE '' END AS pattern_what
+        FROM (SELECT s, {_ANN} AS a, max(q) AS q FROM {LINES} WHERE s % 13 <> 6 GROUP BY s, {_ANN}) AS w""",
+    "fb_pieces": f"SELECT s AS fb, {_ANN} AS ann, o * 100 + n AS piece, CASE d WHEN 1 THEN NULL WHEN 2 THEN '' ELSE concat('piece ', p, ' of ', o) END AS text FROM {LINES} WHERE s % 13 <> 6 AND {_ANN} % 9 <> 4",
+    "disputed_": f"SELECT s AS fb, o * 100 + n AS nth, concat('f', p) AS finding FROM {LINES} WHERE flag <> 'N' AND s % 13 <> 6",
+    "drafts": f"SELECT p_partkey AS id, {one_of('p_partkey', 'ab ', ' abc', 'A pattern', '', 'Other pattern')} AS name, CASE WHEN p_size % 3 > 0 THEN {one_of('p_size', 'structure', 'Argument', ' artifacts ', 'other')} END AS plane, CASE p_partkey % 7 WHEN 0 THEN ' too short ' WHEN 1 THEN NULL WHEN 2 THEN '0123456789' ELSE concat(' ', p_name, ' is noticed ') END AS what FROM part",
+    "ballots": "SELECT event_id, concat(event_id % 6, '-', user_id % 6) AS item, CASE WHEN user_id % 10 > 0 THEN concat('t', user_id, ' ') ELSE ' ' END AS token, CASE WHEN event_id % 7 < 6 THEN event_id % 7 % 4 - 1 END AS v FROM events",
+    "posts": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'case' ELSE role END AS kind, concat(turn % 6, '-', conv_id % 6) AS item, CASE conv_id % 5 WHEN 0 THEN ' Of nine ' WHEN 1 THEN ' exactly twenty chars' ELSE text END AS text FROM conversations",
+    "prompts_": "SELECT c_custkey AS id, c_name AS text FROM customer",
+    "ups": "SELECT o_custkey AS id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 50 END AS token FROM orders",
+    "report_docs": "SELECT o_orderkey AS doc_id, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('On order ', o_orderkey) END AS title, CASE WHEN o_custkey % 8 < 4 THEN concat('order-', o_orderkey) END AS fallback, CASE o_orderstatus WHEN 'F' THEN 'latex' WHEN 'O' THEN 'pdf' END AS source FROM orders",
+    "measured": f"""SELECT o AS doc_id, {one_of('n - 1', 'cross_refs', 'macro_redundancy', 'argument_graph', 'citation_isolation', 'figure_exposition', 'evidence_gap')} AS key, {one_of('n - 1', 'structure', 'structure', 'argument', 'argument', 'artifacts', 'artifacts')} AS plane,
+        CASE WHEN flag = 'N' THEN {one_of('s', 'na', 'skipped', 'error')} ELSE 'done' END AS status, CASE WHEN flag <> 'N' THEN CAST(d AS DOUBLE) / 10 END AS score, d AS num, 10 AS den FROM {LINES} WHERE n <= 6""",
+    "asserted": " UNION ALL ".join(f"""SELECT o * 100 + n AS claim, {r} AS run, concat('Our method is always better across domains than RULER on ', q, ' sets, and it holds for all kinds of data that one can think of.') AS text,
+        {one_of(f'(p + {r} * s)', 'Across domains', 'RULER', 'holds for all kinds of data that one can', 'not in the claim', '', 'always better')} AS phrase, CASE WHEN s % 4 > 0 THEN concat('class ', (p + {r} * q) % 3) END AS class, CASE WHEN q % 3 > 0 THEN 'all' ELSE '' END AS qualifier FROM {LINES}""" for r in range(3)),
+    "covered": " UNION ALL ".join(f"SELECT o * 100 + n AS claim, concat('class ', {i} % 3) AS class, concat('item ', (q + {i} * s) % 5) AS item FROM {LINES} WHERE (p + {i}) % 2 = 0" for i in range(10)),
+    "limits": f"SELECT o * 100 + n AS claim FROM {LINES} WHERE d = 3 UNION ALL SELECT o * 100 + n FROM {LINES} WHERE d = 3 AND q > 25",
+}
+
 _FROM = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
 
 
