@@ -79,6 +79,12 @@ def test_marks_count_once_a_user(spark):
     assert got == {1: (2, True), 2: (0, False), None: (0, False)}
 
 
+def test_totals_of_a_log(spark):
+    log = spark.createDataFrame([("2024-02-03 10:00:00",), ("2024-02-03",), ("2023-12-31 x",), ("2023-1-31 x",), (" 2020-01-01",), ("2020-01-01T00",), ("",), (None,)], "logged string")
+    assert [tuple(r) for r in listings.totals(log, "logged").select("analyses", "since", "days").collect()] == [(8, "2023-12-31", 2)]
+    assert [tuple(r) for r in listings.totals(log.limit(0), "logged").select("analyses", "since", "days").collect()] == [(0, None, 0)]
+
+
 RESULTS = "doc_id int, key string, plane string, status string, score double, num double, den int"
 
 

@@ -44,6 +44,14 @@ def latest(rows: DataFrame, at: str, *ties: str, n: int = LATEST) -> DataFrame:
     return rows.orderBy(*(F.desc(c) for c in (at, *ties))).limit(n)
 
 
+def totals(rows: DataFrame, at: str) -> DataFrame:
+    """(analyses, since, days) of a log, one row: all its rows, those with a bad or no date too, the first valid day and the number of those; `since` is null where no row has a day."""
+    day = F.get(F.split(at, " "), F.lit(0))
+    valid = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
+    by_day = rows.groupBy(valid.alias("day")).agg(F.count("*").alias("n"))  # days are few
+    return by_day.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("analyses"), F.min("day").alias("since"), F.count("day").alias("days"))
+
+
 def numbered_sentences(sents: DataFrame) -> DataFrame:
     """sents (doc_id, sec, sent, ...) with their number in the document, from 1."""
     return sents.withColumn("number", F.row_number().over(W.partitionBy("doc_id").orderBy("sec", "sent")))

@@ -151,6 +151,17 @@ INPUTS |= {
     "limits": f"SELECT o * 100 + n AS claim FROM {LINES} WHERE d = 3 UNION ALL SELECT o * 100 + n FROM {LINES} WHERE d = 3 AND q > 25",
 }
 
+# Printed lists of references, two lines an entry, numbered in every other paper; lines that may begin a caption; a log with days that are none; pages as a list by age.
+_REF_FIRST = written("<CASE WHEN o % 2 = 0 THEN concat('[', n, '] ') ELSE '' END>Jane Doe<s % 5>, R. Roe. <CASE p % 3 WHEN 0 THEN concat('G', p % 9, 'Net: a study') WHEN 1 THEN 'Plain words: a study' ELSE 'Two MixedName' END>")
+_REF_SECOND = written("<CASE WHEN p % 3 = 2 THEN 'here: on ' ELSE 'of ' END><q> things, <1990 + n>b.")
+INPUTS |= {
+    "ref_lines": f"SELECT o AS doc_id, 2 * n AS line, CAST(72 + q % 3 AS DOUBLE) AS x0, {_REF_FIRST} AS text FROM {LINES} UNION ALL SELECT o, 2 * n + 1, CAST(84 AS DOUBLE), {_REF_SECOND} FROM {LINES}",
+    "styles": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'numeric' ELSE 'author-year' END AS style FROM orders",
+    "caption_lines": f"SELECT o * 100 + n AS id, CASE WHEN d > 0 THEN concat({one_of('p', 'Figure ', 'fig. A', 'TABLE', 'Tab. ', 'Algorithm ', 'Alg.', 'In Table ')}, q, {one_of('s', ': what', '. What', ' | what', ' shows what', ' : what')}) END AS text FROM {LINES}",
+    "log": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('on ', event_id) WHEN 2 THEN '2020-1-01 00:00:00' WHEN 3 THEN concat('20', 24 + event_id % 2, '-0', 1 + user_id % 9, '-', 10 + user_id % 18) ELSE concat('2025-0', 1 + user_id % 9, '-', 10 + event_id % 18, ' 10:00:00') END AS logged FROM events",
+    "pages_": "SELECT page_id, CASE WHEN page_id % 4 > 0 THEN CAST(page_id % 50 AS DOUBLE) END AS created FROM pages",
+}
+
 _FROM = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
 
 

@@ -1,14 +1,16 @@
-"""Submissions and short reports over rows written from the given tables (paper_tables.py), each with SQL over the same inputs."""
+"""Submissions, short reports, printed lists and totals over rows written from the given tables (paper_tables.py), each with SQL over the same inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import listings, ranking, summaries, votes
 from vellum.operators import submissions as S
-from vellum.operators import summaries, votes
 from vellum.operators.measures import WORK_NAME
 from vellum.plans.paper_queries import Over
+from vellum.plans.paper_tables import LINES
+from vellum.sources import references
 
 ASKING = 7
 
@@ -46,6 +48,16 @@ def _overreach(claims: DataFrame, covered: DataFrame, limits: DataFrame) -> Data
     return votes.verdicts(summaries.overreach(claims, covered, limits), ["claim"], F.col("verdict"))
 
 
+def _captions(lines: DataFrame) -> DataFrame:
+    """Lines that begin a caption."""
+    return lines.select("id", references.caption(F.col("text")).alias("c")).filter("c is not null").select("id", "c.*")
+
+
+def _by_age(pages: DataFrame) -> DataFrame:
+    """Pages from the newest on; those without a date count as the oldest."""
+    return ranking.ranked(pages, [F.desc(F.coalesce("created", F.lit(0.0))), "page_id"])
+
+
 def _trim(c: str) -> str:
     return f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 
@@ -127,6 +139,22 @@ SUBMITTED = {
         c AS (SELECT claim, count(*) AS n, count(*) FILTER (WHERE fails) AS f FROM v GROUP BY claim)
         SELECT claim, CASE WHEN f > 0 AND f < n THEN 'UNRESOLVED' WHEN f > 0 THEN 'FAIL' ELSE 'PASS' END AS final FROM c""",
     ),
+    "printed_names": Over(
+        ("ref_lines", "styles"),
+        references.printed_names,
+        f""" SELECT o AS doc_id, CASE WHEN o % 2 = 0 THEN 'ref' || n ELSE 'doe' || s % 5 || 1990 + n || 'b' END AS cite_key, CASE p % 3 WHEN 0 THEN 'G' || p % 9 || 'Net' ELSE 'Two MixedName' || CASE WHEN o % 2 = 0 THEN chr(10) ELSE ' ' END || 'here' END AS name FROM {LINES} WHERE p % 3 <> 1""",
+    ),
+    "caption_starts": Over(
+        ("caption_lines",),
+        _captions,
+        " SELECT id, CASE lower(left(text, 3)) WHEN 'fig' THEN 'figure' WHEN 'tab' THEN 'table' ELSE 'algorithm' END AS kind, regexp_extract(text, 'A?[0-9]+') AS number FROM caption_lines WHERE NOT starts_with(text, 'In') AND NOT contains(text, 'shows')",
+    ),
+    "log_totals": Over(
+        ("log",),
+        lambda log: listings.totals(log, "logged"),
+        ", d AS (SELECT CASE WHEN regexp_matches(logged, '^[0-9]{4}-[0-9]{2}-[0-9]{2}( |$)') THEN left(logged, 10) END AS day FROM log) SELECT count(*) AS analyses, min(day) AS since, count(DISTINCT day) AS days FROM d",
+    ),
+    "gallery_newest": Over(("pages_",), _by_age, " SELECT *, row_number() OVER (ORDER BY coalesce(created, 0) DESC, page_id) AS rank FROM pages_"),
 }
 
 QUERIES = {name: (over.query, over.oracle) for name, over in SUBMITTED.items()}
