@@ -138,6 +138,18 @@ def test_views_without_helper_columns(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/v").columns == ["a"]
 
 
+def test_mirror(spark, tmp_path):
+    rows = [{"key": k, "status": "done", "gallery": shown, "label": f"L{k}", "result": {"index": {"index": 5}, "document": {"title": None}, "measures": [{"key": "cross_refs", "plane": "structure", "status": "done", "score": 0.5, "notes": ["n"]}]}} for k, shown in (("k1", True), ("k2", False), ("k3", True), (None, True))]
+    read = spark.read.schema(reports.REPORT).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    log = spark.createDataFrame([("2024-01-02 x",), (None,)], "at string")
+    for _ in range(2):
+        reports.write_mirror(read, log, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "jobs").glob("of=*")) == ["of=k1", "of=k3"]
+    assert spark.read.schema(reports.REPORT).json(f"{tmp_path}/jobs/of=k1").select("key", "label", "result.index.index").collect() == [("k1", "Lk1", 5)]
+    assert spark.read.json(f"{tmp_path}/stats").select("analyses", "since").first() == (2, "2024-01-02")
+    assert {r.title for r in spark.read.json(f"{tmp_path}/gallery").collect()} == {"Lk1", "Lk3"} and spark.read.json(f"{tmp_path}/findings").count() == 2
+
+
 def test_comments(spark):
     texts = ["a\\begin{comment}x\ny\\end{comment}b", "a % x\n  % gone\n50\\% b\\\\% c", "a\\iffalse x\n% \\fi\ny\\fi b", "a\n% end"]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(latex.without_comments(F.col("t")).alias("t"))

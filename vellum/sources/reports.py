@@ -111,5 +111,16 @@ def write_views(views: dict[str, DataFrame], path: str) -> None:
         df.select([c for c in df.columns if not c.startswith("_")]).write.mode("overwrite").json(f"{path}/{name}")
 
 
+def write_mirror(reports: DataFrame, log: DataFrame, path: str) -> None:
+    """A static copy of the views under `path`: gallery, findings and totals of a log (at, ...), of the reports shown, each of which has a folder jobs/of=<key> of its own; one without a key is left out.
+
+    Rows go to the task of their key before they are written, so that a key's folder holds one file; keys are short and safe as folder names (listings.report_key)."""
+    from vellum.operators.listings import totals
+
+    shown = reports.filter("gallery and key is not null")
+    write_views({"gallery": gallery(shown), "findings": findings(measure_results(shown)), "stats": totals(log, "at")}, path)
+    shown.withColumn("of", F.col("key")).repartition("of").write.mode("overwrite").partitionBy("of").json(f"{path}/jobs")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
