@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.plans import listing_queries, match_queries, paper_queries, prose_queries, submission_queries, table_queries
+from vellum.plans import listing_queries, match_queries, paper_queries, prose_queries, reader_queries, submission_queries, table_queries
 
-TABLES = [prose_queries.QUERIES, table_queries.QUERIES, paper_queries.QUERIES, match_queries.QUERIES, listing_queries.QUERIES, submission_queries.QUERIES]
+TABLES = [prose_queries.QUERIES, table_queries.QUERIES, paper_queries.QUERIES, match_queries.QUERIES, listing_queries.QUERIES, submission_queries.QUERIES, reader_queries.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

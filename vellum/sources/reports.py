@@ -12,9 +12,11 @@ UNIT = "struct<id:string,sec:string,kind:string,text:string,runs:array<string>,f
 RUN = f"meta struct<item:string,paper:string,side:string,title:string,n_runs:int,F:int,P:int,U:int,NA:int,pre:struct<FAIL:int,PASS:int,UNRESOLVED:int,NOT_APPLICABLE:int>>, units array<{UNIT}>"
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Finished reports of a folder tree; what can't be parsed is passed over."""
-    return spark.read.schema(REPORT).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "job.json").json(path).filter("status = 'done' and result is not null")
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Finished reports of a folder tree, each a file job.json, or with `lines` each a line of any file, which large files can be split by; what can't be parsed is passed over."""
+    read = spark.read.schema(REPORT).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
+    read = read if lines else read.option("multiLine", "true").option("pathGlobFilter", "job.json")
+    return read.json(path).filter("status = 'done' and result is not null")
 
 
 def first_of(*tables: DataFrame) -> DataFrame:
@@ -73,9 +75,9 @@ def first_page_marks(results: DataFrame, most: int = 40) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "measure", "rect", short.alias("note"))
 
 
-def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Registry runs: (item, meta columns) and (item, id, sec, kind, text, runs, final)."""
-    runs = spark.read.schema(RUN).option("multiLine", "true").json(path)
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Registry runs, a file each or with `lines` a line each: (item, meta columns) and (item, id, sec, kind, text, runs, final)."""
+    runs = spark.read.schema(RUN).option("multiLine", str(not lines).lower()).json(path)
     return runs.select("meta.*"), runs.select("meta.item", F.explode("units").alias("u")).select("item", "u.*")
 
 
@@ -97,7 +99,8 @@ def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.option("header", "true").schema("kind string, at string, key string, name string, value string").csv(path).filter(F.col("kind") == kind)
+    """Rows of one kind from a table with a head line, its quotes doubled."""
+    return spark.read.option("header", "true").option("escape", '"').schema("kind string, at string, key string, name string, value string").csv(path).filter(F.col("kind") == kind)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -123,4 +126,10 @@ def write_mirror(reports: DataFrame, log: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """Rows with a head line, quotes doubled, blanks at the ends of values kept."""
+    rows.write.mode("overwrite").option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of write_csv; empty strings, which are quoted, and nulls, which are not, stay apart. Values must not hold line ends, so that files can be split."""
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').option("nullValue", "\0").csv(path)

@@ -38,6 +38,16 @@ def _path(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, for files to be written. It is removed with the scope it was made in, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    fs, target = _path(spark, path)
+    fs.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
 
