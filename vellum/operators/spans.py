@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.storage import kept
+
+#: Units from zero up to which positions have cells of their own.
+FARTHEST = float(1 << 52)
+
 
 def longest_run(rows: DataFrame, by: list[str], order: list[str], holds: Column, least: int = 2) -> DataFrame:
     """(by, start, length): the longest run of consecutive rows that hold, the earliest on a tie, of at least `least`."""
@@ -24,10 +29,43 @@ def islands(rows: DataFrame, by: list[str], at: str, gap: int) -> DataFrame:
     return marked.groupBy(*by, "_island").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_island")
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: list[str], point: str) -> DataFrame:
-    """Each point (by, point) with the shortest span (by, span, first, last) around it, the first on a tie, and of equal ones the least by name; points outside all spans are left out."""
-    inside = points.join(spans, by).filter(F.col(point).between(F.col("first"), F.col("last")))
-    return inside.groupBy(*by, point).agg(F.min_by("span", F.struct(F.col("last") - F.col("first"), "first", "span")).alias("span"))
+def _cell(at: Column, unit: float) -> Column:
+    """The cell of a position, those far out in the last one on their side."""
+    return F.floor(F.least(F.greatest(at.cast("double") / unit, F.lit(-FARTHEST)), F.lit(FARTHEST))).cast("long")
+
+
+def _covering(first: Column, last: Column) -> Column:
+    """Structs (level, cell) of the fewest cells of doubling width, 2^level, that together are the cells from first to last; none where last comes before first.
+
+    On each level that leaves at most one at either end, where a run of cells does not begin or end with a pair."""
+    begin = lambda j: -F.call_function("shiftright", -first, j)
+    end = lambda j: F.call_function("shiftright", last + 1, j)
+    odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+    ends = lambda j: F.array(
+        F.when((begin(j) < end(j)) & odd(begin(j)), F.struct(j.alias("level"), begin(j).alias("cell"))),
+        F.when((begin(j) < end(j)) & odd(end(j)), F.struct(j.alias("level"), (end(j) - 1).alias("cell"))),
+    )
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(last - first + 1, F.lit(1)).cast("double"))).cast("int") + 1)
+    return F.array_compact(F.flatten(F.transform(levels, ends)))
+
+
+def innermost(points: DataFrame, spans: DataFrame, by: list[str], point: str, unit: float = 1.0) -> DataFrame:
+    """Each point (by, point) with the shortest span (by, span, first, last) around it, the first on a tie, and of equal ones the least by name; points outside all spans are left out, as are nulls.
+
+    Positions lie in cells of `unit`. A span is some cells of doubling width, a number that grows with the logarithm of its length, and the two cells of its ends, in which positions are looked at.
+    Of a cell only the best span is kept before the join, and a point asks the cells around it, one a level; so neither a key with many spans nor long spans make pairs of all points and spans."""
+    measured = spans.filter(F.col("first") <= F.col("last")).select(*by, "span", "first", "last", _cell(F.col("first"), unit).alias("_a"), _cell(F.col("last"), unit).alias("_b"))
+    # Both ends of a span as cells of level -1, with their bounds; what lies between them as cells without.
+    edges = F.transform(F.array_distinct(F.array("_a", "_b")), lambda c: F.struct(F.lit(-1).alias("level"), c.alias("cell")))
+    cells = measured.withColumn("_c", F.explode(F.concat(edges, _covering(F.col("_a") + 1, F.col("_b") - 1))))
+    bound = lambda c: F.when(F.col("_c.level") < 0, F.col(c))
+    best = F.min(F.struct((F.col("last") - F.col("first")).alias("length"), "first", "span")).alias("best")
+    cells = kept(cells.groupBy(*by, F.col("_c.level").alias("level"), F.col("_c.cell").alias("cell"), bound("first").alias("from"), bound("last").alias("to")).agg(best), "cells")
+    top = cells.agg(F.max("level")).first()[0]
+    levels = F.sequence(F.lit(-1), F.lit(-1 if top is None else top))
+    asked = points.select(*by, point).distinct().withColumn("level", F.explode(levels)).withColumn("cell", F.call_function("shiftright", _cell(F.col(point), unit), F.greatest("level", F.lit(0))))
+    inside = asked.join(cells, [*by, "level", "cell"]).filter((F.col("level") >= 0) | F.col(point).between(F.col("from"), F.col("to")))
+    return inside.groupBy(*by, point).agg(F.min("best").alias("best")).select(*by, point, "best.span")
 
 
 def preceding(rows: DataFrame, others: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
