@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.storage import kept
+from vellum.storage import kept, small_side
 
 #: Units from zero up to which positions have cells of their own.
 FARTHEST = float(1 << 52)
+#: Spans of a key that each of its points is compared with.
+MANY = 64
 
 
 def longest_run(rows: DataFrame, by: list[str], order: list[str], holds: Column, least: int = 2) -> DataFrame:
@@ -49,12 +51,28 @@ def _covering(first: Column, last: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(levels, ends)))
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: list[str], point: str, unit: float = 1.0) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, by: list[str], point: str, unit: float = 1.0, many: int | None = None) -> DataFrame:
     """Each point (by, point) with the shortest span (by, span, first, last) around it, the first on a tie, and of equal ones the least by name; points outside all spans are left out, as are nulls.
 
-    Positions lie in cells of `unit`. A span is some cells of doubling width, a number that grows with the logarithm of its length, and the two cells of its ends, in which positions are looked at.
-    Of a cell only the best span is kept before the join, and a point asks the cells around it, one a level; so neither a key with many spans nor long spans make pairs of all points and spans."""
-    measured = spans.filter(F.col("first") <= F.col("last")).select(*by, "span", "first", "last", _cell(F.col("first"), unit).alias("_a"), _cell(F.col("last"), unit).alias("_b"))
+    A point meets all spans of its key where those are at most `many` (MANY by default). The other keys are looked up by cells, so that none of them makes pairs of all its points and spans. Both ways give the same rows."""
+    spans = spans.filter(F.col("first") <= F.col("last"))
+    large = kept(spans.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > (MANY if many is None else many)).select(*by), "large")
+    if large.isEmpty():
+        return _met(points, spans, by, point)
+    large = small_side(large)
+    of = lambda df, how: df.join(large, by, how)
+    return _met(of(points, "left_anti"), of(spans, "left_anti"), by, point).unionByName(_by_cells(of(points, "left_semi"), of(spans, "left_semi"), by, point, unit))
+
+
+def _met(points: DataFrame, spans: DataFrame, by: list[str], point: str) -> DataFrame:
+    inside = points.join(spans, by).filter(F.col(point).between(F.col("first"), F.col("last")))
+    return inside.groupBy(*by, point).agg(F.min_by("span", F.struct(F.col("last") - F.col("first"), "first", "span")).alias("span"))
+
+
+def _by_cells(points: DataFrame, spans: DataFrame, by: list[str], point: str, unit: float) -> DataFrame:
+    """Positions lie in cells of `unit`. A span is some cells of doubling width, a number that grows with the logarithm of its length, and the two cells of its ends, in which positions are looked at.
+    Of a cell only the best span is kept before the join, and a point asks the cells around it, one a level."""
+    measured = spans.select(*by, "span", "first", "last", _cell(F.col("first"), unit).alias("_a"), _cell(F.col("last"), unit).alias("_b"))
     # Both ends of a span as cells of level -1, with their bounds; what lies between them as cells without.
     edges = F.transform(F.array_distinct(F.array("_a", "_b")), lambda c: F.struct(F.lit(-1).alias("level"), c.alias("cell")))
     cells = measured.withColumn("_c", F.explode(F.concat(edges, _covering(F.col("_a") + 1, F.col("_b") - 1))))
