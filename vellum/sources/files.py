@@ -17,6 +17,8 @@ from vellum.sources.latex import without_comments
 
 #: Bytes that an archive may hold when expanded.
 EXPANDED = 200 << 20
+#: Bytes of members that are held before they are handed on.
+GATHERED = 8 << 20
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -68,16 +70,29 @@ def _members(data: bytes, name: str, limit: int) -> Iterator[tuple[str, bytes]]:
 
 
 def unpack(files: DataFrame, limit: int = EXPANDED) -> DataFrame:
-    """(archive, path, content, error): the files inside each file; what can't be read is a row with an error, so that one bad file does not sink the job."""
+    """(archive, path, content, error): the files inside each file; what can't be read is a row with an error, so that one bad file does not sink the job.
+
+    Members are handed on by the thousand, or by GATHERED bytes where that is less."""
+    columns = ["archive", "path", "content", "error"]
+
+    def members(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for name, data in _members(bytes(content), PurePosixPath(path).name, limit):
+                yield path, name, data, None
+        except Exception as e:  # noqa: BLE001  any reader's error belongs in the row
+            yield path, None, None, f"{type(e).__name__}: {e}"[:240]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    for name, data in _members(bytes(content), PurePosixPath(path).name, limit):
-                        yield pd.DataFrame({"archive": [path], "path": [name], "content": [data], "error": [None]})
-                except Exception as e:  # noqa: BLE001  any reader's error belongs in the row
-                    yield pd.DataFrame({"archive": [path], "path": [None], "content": [None], "error": [f"{type(e).__name__}: {e}"[:240]]})
+                for row in members(path, content):
+                    rows.append(row)
+                    held += len(row[2] or b"")
+                    if len(rows) == 1000 or held >= GATHERED:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, "archive string, path string, content binary, error string")
 
