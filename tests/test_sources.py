@@ -154,3 +154,13 @@ def test_comments(spark):
     texts = ["a\\begin{comment}x\ny\\end{comment}b", "a % x\n  % gone\n50\\% b\\\\% c", "a\\iffalse x\n% \\fi\ny\\fi b", "a\n% end"]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(latex.without_comments(F.col("t")).alias("t"))
     assert [r.t for r in frame.collect()] == ["ab", "a \n50\\% b\\\\", "a b", "a\n"]
+
+
+def test_sections_number_within_rows(spark):
+    tex = "\\documentclass{x}\n\\begin{document}\\begin{abstract}A.\\end{abstract}\n\\section{One}\\sectionmark{o}a\\\\\\\\% b\n\\section*{Ethics}e\n\\section [s] {Two {x}}t\\% u\n\\begin{ack}no\\section{No}\\end{document}\n\\section{Out}"
+    plain = spark.createDataFrame([(1, tex), (2, tex.replace("a\\", "\0a\\")), (3, "\\section{Only}o\\printbibliography"), (4, None), (5, "none")], "doc_id long, tex string")
+    found = latex.sections(plain)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # texts were shuffled and sorted before
+    got = [tuple(r) for r in found.orderBy("doc_id", "sec").collect()]
+    of = lambda i, mark: [(i, 0, "Abstract", False, "abstract", "A."), (i, 1, "One", False, "body", f"\\sectionmark{{o}}{mark}a\\\\\\\\\n"), (i, 2, "Two {x}", False, "body", "t\\% u\n")]
+    assert got == [*of(1, ""), *of(2, "\0"), (3, 1, "Only", False, "body", "o")]

@@ -5,6 +5,8 @@ tables and exhibits. Macros are not expanded; unknown commands lose their backsl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ STATEMENTS = (
     r"societal impact|author contribution|acknowledg|funding|impact statement|disclosure|checklist|code of conduct)"
 )
 BACK_MATTER = (
-    r"(?i)\\appendix\b|\\begin\{appendices\}|\\bibliography\s*\{|\\printbibliography|\\begin\{thebibliography\}|"
-    r"\\section\*?\s*\{\s*Acknowledg|\\begin\{ack\}|\\section\*?\s*\{\s*(?:Supplementary|Appendix)"
+    r"(?i)\\(?:appendix\b|begin\{appendices\}|bibliography\s*\{|printbibliography|begin\{thebibliography\}|"
+    r"section\*?\s*\{\s*Acknowledg|begin\{ack\}|section\*?\s*\{\s*(?:Supplementary|Appendix))"
 )
 RELATED = r"(?i)(related|prior|previous)\s+(work|research|literature|studies)|background|literature review|related\s+approaches"
 EXHIBIT_ENVIRONMENTS = (
@@ -59,31 +61,55 @@ PRINTED = {
 ENVIRONMENTS = {"figure": "figure", "table": "table", "equation": "equation", "align": "equation", "algorithm": "algorithm", "theorem": "theorem", "lemma": "theorem"}
 
 
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What `made` makes of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _where(text: Column, literal: str, made: Callable[[Column], Column]) -> Column:
+    """What `made` makes of texts that hold the literal, the others as they are: a search for bytes is cheap beside a pattern."""
+    return _let(text, lambda t: F.when(t.contains(literal), made(t)).otherwise(t))
+
+
 def without_comments(tex: Column) -> Column:
-    """Without comment environments, comments and \\iffalse blocks, in this order; lines that are only a comment vanish, escaped percent signs stay."""
-    tex = F.regexp_replace(tex, r"(?s)\\begin\{comment\}.*?\\end\{comment\}", "")
-    tex = F.regexp_replace(tex, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", "")
-    tex = F.regexp_replace(tex, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1")
-    return F.regexp_replace(tex, r"(?s)\\iffalse\b.*?\\fi\b", "")
+    """Without comment environments, comments and \\iffalse blocks, in this order; lines that are only a comment vanish, escaped percent signs stay.
+
+    A percent sign without a backslash before it is looked for by itself; the pattern that counts backslashes is for texts with two of them before one."""
+    tex = _where(tex, "\\begin{comment}", lambda t: F.regexp_replace(t, r"(?s)\\begin\{comment\}.*?\\end\{comment\}", ""))
+    tex = _where(tex, "%", lambda t: F.regexp_replace(F.regexp_replace(t, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", ""), r"%(?<!\\%)[^\n]*", ""))
+    tex = _where(tex, "\\\\%", lambda t: F.regexp_replace(t, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1"))
+    return _where(tex, "\\iffalse", lambda t: F.regexp_replace(t, r"(?s)\\iffalse\b.*?\\fi\b", ""))
 
 
 def body(tex: Column) -> Column:
     """Between the document's begin and the first back matter or end."""
-    inner = F.regexp_replace(tex, r"(?s)^.*?\\begin\{document\}", "")
-    return F.get(F.split(F.regexp_replace(inner, r"(?s)\\end\{document\}.*$", ""), BACK_MATTER, 2), F.lit(0))
+    begin = "\\begin{document}"
+    inner = _where(tex, begin, lambda t: F.substring(t, F.locate(begin, t) + len(begin), F.length(t)))
+    return F.get(F.split(F.substring_index(inner, "\\end{document}", 1), BACK_MATTER, 2), F.lit(0))
+
+
+def _cut(text: Column) -> Column:
+    """The text in pieces, each but the first beginning with a section's command; a mark is set before the commands where the text does not hold it already."""
+    rest = r"(?=\*?\s*(?:\[[^\]]*\])?\{)"
+    marked = F.split(F.regexp_replace(text, r"\\section" + rest, "\0\\\\section"), "\0")
+    return F.when(text.contains("\0"), F.split(text, r"(?=\\section\*?\s*(?:\[[^\]]*\])?\{)")).otherwise(marked)
 
 
 def sections(papers: DataFrame) -> DataFrame:
-    """(doc_id, sec, title, starred, kind, raw) of papers (doc_id, tex): the abstract is section 0; statements are left out before numbering."""
-    text = papers.select("doc_id", body(without_comments(F.col("tex"))).alias("t"))
-    abstract = text.select("doc_id", F.lit(-1).alias("i"), F.lit("Abstract").alias("title"), F.lit(False).alias("starred"), F.regexp_extract("t", r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1).alias("raw")).filter("raw <> ''")
-    parts = text.select("doc_id", F.posexplode(F.split("t", r"(?=\\section\*?\s*(?:\[[^\]]*\])?\{)")).alias("i", "part")).filter(F.col("part").startswith("\\section"))
+    """(doc_id, sec, title, starred, kind, raw) of papers (doc_id, tex): the abstract is section 0; statements are left out before numbering.
+
+    A paper's sections are numbered within its row, so their texts are not shuffled."""
     head = r"(?s)^\\section(\*?)\s*(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"
-    found = parts.select("doc_id", "i", F.regexp_extract("part", head, 2).alias("title"), (F.regexp_extract("part", head, 1) == "*").alias("starred"), F.regexp_replace("part", head, "").alias("raw"))
-    found = found.filter(~F.col("title").rlike(STATEMENTS))
-    order = W.partitionBy("doc_id").orderBy("i")
-    numbered = found.withColumn("sec", F.row_number().over(order)).withColumn("kind", F.lit("body"))
-    return abstract.withColumns({"sec": F.lit(0), "kind": F.lit("abstract")}).unionByName(numbered).select("doc_id", "sec", "title", "starred", "kind", "raw")
+    part = lambda title, starred, kind, raw: F.struct(title.alias("title"), starred.alias("starred"), F.lit(kind).alias("kind"), raw.alias("raw"))
+
+    def every(t: Column) -> Column:
+        abstract = part(F.lit("Abstract"), F.lit(False), "abstract", F.regexp_extract(t, r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1))
+        begun = F.filter(_cut(t), lambda p: p.startswith("\\section"))
+        found = F.transform(begun, lambda p: part(F.regexp_extract(p, head, 2), F.regexp_extract(p, head, 1) == "*", "body", F.regexp_replace(p, head, "")))
+        return F.concat(F.array(abstract), F.filter(found, lambda s: ~s["title"].rlike(STATEMENTS)))
+
+    numbered = papers.select("doc_id", F.posexplode(_let(body(without_comments(F.col("tex"))), every)).alias("sec", "s"))
+    return numbered.select("doc_id", "sec", "s.title", "s.starred", "s.kind", "s.raw").filter("sec > 0 or raw <> ''")
 
 
 def numbers(found: DataFrame) -> DataFrame:
