@@ -68,3 +68,12 @@ def test_verdicts_read_every_run(spark, tmp_path):
     spark.createDataFrame([(10 * u + i, u, k) for u, own in enumerate(kinds) for i, k in enumerate(own)], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.user_id: r.final for r in catalog.queries()["unit_verdicts_all_runs"](spark, str(tmp_path)).collect()}
     assert got == {0: "UNRESOLVED", 1: "FAIL", 2: "NOT_APPLICABLE", 3: "UNRESOLVED", 4: "FAIL"}
+
+
+def test_stops_are_looked_for_first(spark):
+    plan = spark.createDataFrame([("",)], "t string").select(text.split_sentences(F.concat("t", "t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(t#") == 1  # the block was evaluated in each branch before
+    assert "\\.(?<=(?:^|[^A-Za-z])" in plan  # the look-behind was tried at every character
+    block = "See Fig. 2 and etc. We use vs. Them i.e. this. J. Doe ran 3.5 km. Next.\n\nNo. 4 is Fig. A. Xfig. End, e.g. U.S. Law"
+    got = spark.createDataFrame([(block,)], "t string").select(text.split_sentences(F.col("t")).alias("s")).first().s
+    assert got == ["See Fig. 2 and etc. We use vs. Them i.e. this.", "J. Doe ran 3.5 km.", "Next.", "No. 4 is Fig. A. Xfig.", "End, e.g. U.S. Law"]

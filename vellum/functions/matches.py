@@ -6,17 +6,10 @@ a text with many matches costs n log n and not n squared."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import TOKEN
-
-
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of the value, which is evaluated once, however often the body reads it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+from vellum.functions.text import TOKEN, bound
 
 
 def running_sums(numbers: Column) -> Column:

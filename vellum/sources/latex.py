@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.citations import listed_references
 from vellum.functions.matches import match_spans
-from vellum.functions.text import split_sentences, tokens
+from vellum.functions.text import bound, split_sentences, tokens, where
 
 # Titles of statements, back matter, roles of sections, exhibits, acknowledged gaps, numeric cells, rules of tables, references by label and printed ones.
 STATEMENTS = (
@@ -51,7 +51,7 @@ TABLE_RULES = [
     r"\\(?:rowcolor|cellcolor)\s*(?:\[[^\]]*\])?\s*\{[^}]*\}",
     r"\\specialrule\s*\{[^}]*\}\s*\{[^}]*\}\s*\{[^}]*\}",
 ]
-REFERENCE = r"\\(?:eq|auto|c|C|page|name)?ref\*?\s*\{([^}]*)\}|\\hyperref\s*\[([^\]]*)\]"
+REFERENCE = r"\\(?:(?:eq|auto|c|C|page|name)?ref\*?\s*\{([^}]*)\}|hyperref\s*\[([^\]]*)\])"
 PRINTED = {
     "section": r"(?:\bSections?|\bSecs?\.|§)\s*~?\s*(\d+)(?:\.\d+)*",
     "figure": r"\b(?:Figures?|Figs?\.)\s*~?\s*(\d+)",
@@ -61,30 +61,25 @@ PRINTED = {
 ENVIRONMENTS = {"figure": "figure", "table": "table", "equation": "equation", "align": "equation", "algorithm": "algorithm", "theorem": "theorem", "lemma": "theorem"}
 
 
-def _let(value: Column, made: Callable[[Column], Column]) -> Column:
-    """What `made` makes of a value that is evaluated once, however often it is named there."""
-    return F.get(F.transform(F.array(value), made), F.lit(0))
-
-
-def _where(text: Column, literal: str, made: Callable[[Column], Column]) -> Column:
-    """What `made` makes of texts that hold the literal, the others as they are: a search for bytes is cheap beside a pattern."""
-    return _let(text, lambda t: F.when(t.contains(literal), made(t)).otherwise(t))
+def _holding(text: Column, literal: str, body: Callable[[Column], Column]) -> Column:
+    """body of the texts that hold the literal, the others as they are: a search for bytes is cheap beside a pattern."""
+    return where(text, lambda t: t.contains(literal), body)
 
 
 def without_comments(tex: Column) -> Column:
     """Without comment environments, comments and \\iffalse blocks, in this order; lines that are only a comment vanish, escaped percent signs stay.
 
     A percent sign without a backslash before it is looked for by itself; the pattern that counts backslashes is for texts with two of them before one."""
-    tex = _where(tex, "\\begin{comment}", lambda t: F.regexp_replace(t, r"(?s)\\begin\{comment\}.*?\\end\{comment\}", ""))
-    tex = _where(tex, "%", lambda t: F.regexp_replace(F.regexp_replace(t, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", ""), r"%(?<!\\%)[^\n]*", ""))
-    tex = _where(tex, "\\\\%", lambda t: F.regexp_replace(t, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1"))
-    return _where(tex, "\\iffalse", lambda t: F.regexp_replace(t, r"(?s)\\iffalse\b.*?\\fi\b", ""))
+    tex = _holding(tex, "\\begin{comment}", lambda t: F.regexp_replace(t, r"(?s)\\begin\{comment\}.*?\\end\{comment\}", ""))
+    tex = _holding(tex, "%", lambda t: F.regexp_replace(F.regexp_replace(t, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", ""), r"%(?<!\\%)[^\n]*", ""))
+    tex = _holding(tex, "\\\\%", lambda t: F.regexp_replace(t, r"(?m)(?<!\\)((?:\\\\)*)%[^\n]*", "$1"))
+    return _holding(tex, "\\iffalse", lambda t: F.regexp_replace(t, r"(?s)\\iffalse\b.*?\\fi\b", ""))
 
 
 def body(tex: Column) -> Column:
     """Between the document's begin and the first back matter or end."""
     begin = "\\begin{document}"
-    inner = _where(tex, begin, lambda t: F.substring(t, F.locate(begin, t) + len(begin), F.length(t)))
+    inner = _holding(tex, begin, lambda t: F.substring(t, F.locate(begin, t) + len(begin), F.length(t)))
     return F.get(F.split(F.substring_index(inner, "\\end{document}", 1), BACK_MATTER, 2), F.lit(0))
 
 
@@ -108,7 +103,7 @@ def sections(papers: DataFrame) -> DataFrame:
         found = F.transform(begun, lambda p: part(F.regexp_extract(p, head, 2), F.regexp_extract(p, head, 1) == "*", "body", F.regexp_replace(p, head, "")))
         return F.concat(F.array(abstract), F.filter(found, lambda s: ~s["title"].rlike(STATEMENTS)))
 
-    numbered = papers.select("doc_id", F.posexplode(_let(body(without_comments(F.col("tex"))), every)).alias("sec", "s"))
+    numbered = papers.select("doc_id", F.posexplode(bound(body(without_comments(F.col("tex"))), every)).alias("sec", "s"))
     return numbered.select("doc_id", "sec", "s.title", "s.starred", "s.kind", "s.raw").filter("sec > 0 or raw <> ''")
 
 
@@ -130,11 +125,11 @@ def prose(raw: Column) -> Column:
     t = F.regexp_replace(raw, r"(?s)\\begin\{(figure|table|equation|align|algorithm|tabular|lstlisting|verbatim)\*?\}.*?\\end\{\1\*?\}", " ")
     t = F.regexp_replace(t, r"\\[cC]ite[a-zA-Z]*\*?\s*(?:\[[^\]]*\]\s*){0,2}\{([^}]*)\}", "⟦c:$1⟧")
     t = F.regexp_replace(t, r"\\(?:eq|auto|c|C|page|name)?ref\*?\{[^}]*\}", "[ref]")
-    t = F.regexp_replace(t, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$]*\$|\\\(.*?\\\)", "[math]")
-    t = F.regexp_replace(t, r"\\label\{[^}]*\}|\\(?:begin|end)\{[^}]*\}|\\(?:vspace|hspace)\*?\{[^}]*\}", " ")
+    t = where(t, lambda t: t.contains("$") | t.contains("\\[") | t.contains("\\("), lambda t: F.regexp_replace(t, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$]*\$|\\\(.*?\\\)", "[math]"))
+    t = F.regexp_replace(t, r"\\(?:label\{[^}]*\}|(?:begin|end)\{[^}]*\}|(?:vspace|hspace)\*?\{[^}]*\})", " ")
     t = F.regexp_replace(t, r"\\([%&#_$])", "$1")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+\*?\s?", "")
-    return F.translate(F.regexp_replace(t, r"``|''", "\""), "{}~", "  " + " ")
+    return F.translate(F.replace(F.replace(t, F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"')), "{}~", "  " + " ")
 
 
 def sentences(found: DataFrame) -> DataFrame:
@@ -251,7 +246,10 @@ def exhibits(found: DataFrame) -> DataFrame:
     env = found.select("doc_id", "raw", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\\begin\{([A-Za-z]+)\*?\}"), F.lit(1)))).alias("env"))
     boxes = env.filter(F.col("env").rlike(EXHIBIT_ENVIRONMENTS) | (F.col("env").rlike(BOXES) & F.col("raw").rlike(IO_MARKERS))).select("doc_id", F.lit("environment").alias("kind"))
     outside = found.join(roles(found).filter("role = 'related'"), ["doc_id", "sec"], "left_anti")
-    quotes = outside.select("doc_id", F.explode(F.regexp_extract_all(prose(F.col("raw")), F.lit(r"(?s)[“\"]([^”\"]{60,1200})[”\"]"), F.lit(1))).alias("q"))
+    marked = F.lit(False)
+    for mark in "“\"`'":  # of which every quotation begins with one in the source
+        marked = marked | F.col("raw").contains(mark)
+    quotes = outside.filter(marked).select("doc_id", F.explode(F.regexp_extract_all(prose(F.col("raw")), F.lit(r"(?s)[“\"]([^”\"]{60,1200})[”\"]"), F.lit(1))).alias("q"))
     return captions.unionByName(boxes).unionByName(quotes.filter(F.size(F.split(F.trim("q"), r"\s+")) >= 20).select("doc_id", F.lit("quotation").alias("kind")))
 
 
