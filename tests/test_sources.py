@@ -7,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from vellum.operators import measures
+from vellum import storage
 from vellum.sources import files, latex, reports
 
 TEX = r"""\documentclass{article}
@@ -164,3 +165,19 @@ def test_sections_number_within_rows(spark):
     got = [tuple(r) for r in found.orderBy("doc_id", "sec").collect()]
     of = lambda i, mark: [(i, 0, "Abstract", False, "abstract", "A."), (i, 1, "One", False, "body", f"\\sectionmark{{o}}{mark}a\\\\\\\\\n"), (i, 2, "Two {x}", False, "body", "t\\% u\n")]
     assert got == [*of(1, ""), *of(2, "\0"), (3, 1, "Only", False, "body", "o")]
+
+
+def test_large_sides_are_not_broadcast_by_their_files(spark):
+    rows = storage.kept(spark.range(50_000).select("id", F.lit("a").alias("same")), "rows")
+    plan = lambda limit: rows.join(storage.small_side(rows, limit), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(None)
+    assert "Broadcast" not in plan(1000)  # the files are far below Spark's threshold, by which the driver gathered the rows before
+
+
+def test_quotations_are_looked_for_where_marks_stand(spark):
+    said = "``" + "a word " * 20 + "''"
+    texts = [said, said.replace("``", "“").replace("''", "”"), said.replace("``", "`\\emph `"), "a word " * 40]
+    found = spark.createDataFrame([(i, 1, "T", False, "body", t) for i, t in enumerate(texts)], "doc_id long, sec int, title string, starred boolean, kind string, raw string")
+    got = latex.exhibits(found)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "quotation"), (1, "quotation"), (2, "quotation")]
+    assert "Contains(raw" in got._jdf.queryExecution().optimizedPlan().toString()  # all sections were made prose before

@@ -87,8 +87,9 @@ def matched_objects(own: DataFrame, other: DataFrame, by: list[str]) -> DataFram
         return numbered(a, "own_id").join(numbered(b, "other_id"), [*by, "kind", "key", "nth"]).select(*by, "own_id", "other_id", F.lit(tier).alias("tier"))
 
     first = kept(paired(own, other, F.col("number"), "number"), "matched")
-    left = own.join(first.select(*by, F.col("own_id").alias("id")), [*by, "id"], "left_anti")
-    right = other.join(first.select(*by, F.col("other_id").alias("id")), [*by, "id"], "left_anti")
+    taken = small_side(first)
+    left = own.join(taken.select(*by, F.col("own_id").alias("id")), [*by, "id"], "left_anti")
+    right = other.join(taken.select(*by, F.col("other_id").alias("id")), [*by, "id"], "left_anti")
     return first.unionByName(paired(left, right, plain_title(F.col("title")), "title"))
 
 
