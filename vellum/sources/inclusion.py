@@ -59,11 +59,11 @@ def inclusion_order(mains: DataFrame, mentions: DataFrame, depth: int = DEPTH) -
         ahead = ahead.select("archive", F.col("file").alias("path"), F.concat("place", F.array((2 * F.col("nth") - 1).cast("int"))).alias("place"), F.concat("through", F.array("file")).alias("through"))
         every = start.unionByName(ahead).groupBy("archive", "path").agg(F.min(F.struct("place", "through")).alias("p")).select("archive", "path", "p.*")
         before, places = places, kept(every, "places")
-        same = before.select("archive", "path", "place").join(places.select("archive", "path", "place"), ["archive", "path", "place"])
+        same = before.select("archive", "path", "place").join(small_side(places).select("archive", "path", "place"), ["archive", "path", "place"])
         n = places.count()
         if n == before.count() and n == same.count():
             break
-    return places.select("archive", "path", "place")
+    return small_side(places).select("archive", "path", "place")
 
 
 def spliced(members: DataFrame, order: DataFrame) -> DataFrame:
