@@ -59,3 +59,34 @@ def test_pointers_in_true_order(spark):
     # The roadmap is the longest run in this order: the second mention of the middle part, and the ending.
     road = measures.roadmap(found.filter("kind = 'body'"), things, points)
     assert sorted(r.pos for r in road.collect()) == [2, 3]
+
+
+def test_spans_of_texts_with_marks(spark):
+    """A text that holds the mark itself, one without matches and one with more than FEW of them."""
+    rows = [(0, "a1\0b22"), (1, "none"), (2, None), (3, "x1 " * 40), (4, "")]
+    got = spark.createDataFrame(rows, "id long, text string").select("id", matches.match_spans(F.col("text"), r"\d+").alias("s")).collect()
+    for r in got:
+        text = dict(rows)[r.id]
+        assert (None if r.s is None else [(s.at, s.end, s.match) for s in r.s]) == (None if text is None else [(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", text)])
+
+
+def test_references_are_sought_once(spark):
+    texts = spark.createDataFrame([(1, 1, "XSection 1, Section 1.2 and Secs. ~3; §4, Figs. 2 BigFigure 2, Tables 1, Appendices B, Appendix AB.")], "doc_id long, src long, raw string")
+    kinds = spark.createDataFrame([(1, k, str(n), f"{k}{n}") for k in ("section", "figure", "table") for n in range(1, 5)], "doc_id long, kind string, number string, id string")
+    found = latex.printed_references(texts, kinds)
+    assert [r.target for r in found.orderBy("at").collect()] == ["section1", "section3", "section4", "figure2", "table1", "appendix:B"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_object_numbers_read_sections_once_for_places(spark):
+    found = spark.createDataFrame([(1, 1, "A", False, "body", r"\begin{figure}\label{f2}\end{figure} \begin{figure}\label{f1}\end{figure}")], "doc_id long, sec int, title string, starred boolean, kind string, raw string")
+    numbered = latex.object_numbers(found, latex.placed_objects(found))
+    assert {(r.kind, r.number, r.id) for r in numbered.collect()} == {("section", "1", "sec:1"), ("figure", "1", "f2"), ("figure", "2", "f1")}
+    assert "Join" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_are_tested_where_they_stand(spark):
+    texts = spark.createDataFrame([(1, 1, "See the METHÖD one Section and “Results x” section."), (1, 2, "The methöd one is none."), (1, 3, "In Results X Section 2.")], "doc_id long, src long, raw string")
+    heads = spark.createDataFrame([(1, 3, "Results x"), (1, 4, "MethÖd one")], "doc_id long, sec int, title string")
+    found = latex.title_mentions(texts, heads)
+    assert {(r.src, r.target) for r in found.collect()} == {(1, "sec:3"), (1, "sec:4")}

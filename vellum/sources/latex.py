@@ -5,6 +5,7 @@ tables and exhibits. Macros are not expanded; unknown commands lose their backsl
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,12 @@ PRINTED = {
     "table": r"\bTables?\s*~?\s*(\d+)",
     "appendix": r"\bAppendi(?:x|ces)\s*~?\s*([A-Z])\b",
 }
+#: All of them at once, which never overlap: the first letter is looked for by itself, and then what may stand before it.
+SOUGHT = (
+    r"[SFTA§](?:(?<=§)\s*~?\s*\d+(?:\.\d+)*|(?<=\bS)ec(?:tions?|s?\.)\s*~?\s*\d+(?:\.\d+)*|(?<=\bF)ig(?:ures?|s?\.)\s*~?\s*\d+|"
+    r"(?<=\bT)ables?\s*~?\s*\d+|(?<=\bA)ppendi(?:x|ces)\s*~?\s*[A-Z]\b)"
+)
+SOUGHT_KINDS = {"S": "section", "§": "section", "F": "figure", "T": "table", "A": "appendix"}
 ENVIRONMENTS = {"figure": "figure", "table": "table", "equation": "equation", "align": "equation", "algorithm": "algorithm", "theorem": "theorem", "lemma": "theorem"}
 
 
@@ -91,7 +98,17 @@ def _cut(text: Column) -> Column:
 
 
 def sections(papers: DataFrame) -> DataFrame:
-    """(doc_id, sec, title, starred, kind, raw) of papers (doc_id, tex): the abstract is section 0; statements are left out before numbering.
+    """(doc_id, sec, title, starred, kind, raw) of papers (doc_id, tex): the abstract is section 0; statements are left out before numbering."""
+    return plain_sections(uncommented(papers))
+
+
+def uncommented(papers: DataFrame) -> DataFrame:
+    """(doc_id, tex): papers without comments, for plain_sections and plain_appendix_labels."""
+    return papers.select("doc_id", without_comments(F.col("tex")).alias("tex"))
+
+
+def plain_sections(papers: DataFrame) -> DataFrame:
+    """sections of papers without comments.
 
     A paper's sections are numbered within its row, so their texts are not shuffled."""
     head = r"(?s)^\\section(\*?)\s*(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"
@@ -103,7 +120,7 @@ def sections(papers: DataFrame) -> DataFrame:
         found = F.transform(begun, lambda p: part(F.regexp_extract(p, head, 2), F.regexp_extract(p, head, 1) == "*", "body", F.regexp_replace(p, head, "")))
         return F.concat(F.array(abstract), F.filter(found, lambda s: ~s["title"].rlike(STATEMENTS)))
 
-    numbered = papers.select("doc_id", F.posexplode(bound(body(without_comments(F.col("tex"))), every)).alias("sec", "s"))
+    numbered = papers.select("doc_id", F.posexplode(bound(body(F.col("tex")), every)).alias("sec", "s"))
     return numbered.select("doc_id", "sec", "s.title", "s.starred", "s.kind", "s.raw").filter("sec > 0 or raw <> ''")
 
 
@@ -144,19 +161,25 @@ def sentences(found: DataFrame) -> DataFrame:
 
 def objects(found: DataFrame) -> DataFrame:
     """(doc_id, id, kind, home, alias, caption): sections, and labelled figures, tables, equations, algorithms and theorems, one row per label."""
-    heads = found.filter("kind = 'body'").select("doc_id", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("id"), F.lit("section").alias("kind"), F.col("sec").alias("home"), F.regexp_extract("raw", r"^\s*\\label\{([^}]*)\}", 1).alias("alias"), F.col("title").alias("caption"))
+    return placed_objects(found).drop("at")
+
+
+def placed_objects(found: DataFrame) -> DataFrame:
+    """objects with `at`, the character of the section's source, from 1, where the label of a figure or the like first stands; null for sections."""
+    heads = found.filter("kind = 'body'").select("doc_id", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("id"), F.lit("section").alias("kind"), F.col("sec").alias("home"), F.regexp_extract("raw", r"^\s*\\label\{([^}]*)\}", 1).alias("alias"), F.col("title").alias("caption"), F.lit(None).cast("int").alias("at"))
     names = "|".join(ENVIRONMENTS)
-    env = found.select("doc_id", F.col("sec").alias("home"), F.explode(F.regexp_extract_all("raw", F.lit(rf"(?s)\\begin\{{(?:{names})\*?\}}.*?\\end\{{(?:{names})\*?\}}"), F.lit(0))).alias("e"))
+    block = rf"(?s)\\begin\{{(?:{names})\*?\}}.*?\\end\{{(?:{names})\*?\}}"
+    env = found.filter(F.col("raw").contains("\\begin{")).select("doc_id", F.col("sec").alias("home"), "raw", F.explode(F.regexp_extract_all("raw", F.lit(block), F.lit(0))).alias("e"))
     kinds = F.create_map(*[F.lit(x) for pair in ENVIRONMENTS.items() for x in pair])
-    env = env.select("doc_id", "home", F.element_at(kinds, F.regexp_extract("e", r"^\\begin\{([a-z]+)", 1)).alias("kind"), F.regexp_extract("e", r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", 1).alias("caption"), F.explode(F.regexp_extract_all("e", F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias"))
-    return heads.unionByName(env.select("doc_id", F.col("alias").alias("id"), "kind", "home", "alias", "caption"))
+    place = F.instr(F.col("raw"), F.concat(F.lit("\\label{"), F.col("alias"), F.lit("}")))
+    env = env.select("doc_id", "home", "raw", F.element_at(kinds, F.regexp_extract("e", r"^\\begin\{([a-z]+)", 1)).alias("kind"), F.regexp_extract("e", r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", 1).alias("caption"), F.explode(F.regexp_extract_all("e", F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias"))
+    return heads.unionByName(env.select("doc_id", F.col("alias").alias("id"), "kind", "home", "alias", "caption", place.alias("at")))
 
 
 def object_numbers(found: DataFrame, things: DataFrame) -> DataFrame:
-    """(doc_id, kind, number, id): printed numbers of sections, and of figures and tables, which are counted through the paper in the order of sections and places."""
+    """(doc_id, kind, number, id) of sections and their placed objects: printed numbers of sections, and of figures and tables, which are counted through the paper in the order of sections and places."""
     heads = numbers(found).filter("number is not null").select("doc_id", F.lit("section").alias("kind"), "number", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("id"))
-    place = F.instr(F.col("raw"), F.concat(F.lit("\\label{"), F.col("alias"), F.lit("}")))
-    floats = things.filter(F.col("kind").isin("figure", "table")).join(found.select("doc_id", F.col("sec").alias("home"), "raw"), ["doc_id", "home"]).withColumn("at", place)
+    floats = things.filter(F.col("kind").isin("figure", "table"))
     return heads.unionByName(running_numbers(floats, "at").select("doc_id", "kind", F.col("number").cast("string").alias("number"), "id"))
 
 
@@ -168,13 +191,13 @@ def running_numbers(floats: DataFrame, at: str) -> DataFrame:
 def printed_references(texts: DataFrame, kinds: DataFrame) -> DataFrame:
     """(doc_id, src, target, at, said) of texts (doc_id, src, raw): numbers that are printed after Section, Figure or Table and stand for an object of kinds (doc_id, kind, number, id), and appendix letters; `at` is the character where `said` begins."""
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(match_spans(F.col("raw"), pattern), lambda s: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(s["match"], pattern, 1).alias("number"), s["at"].alias("at"), s["match"].alias("said")))
-
-    spans = F.flatten(F.array(*(of(k, p) for k, p in PRINTED.items())))
-    each = texts.select("doc_id", "src", F.explode(spans).alias("s")).select("doc_id", "src", "s.*")
-    appendix = each.filter("kind = 'appendix'").select("doc_id", "src", F.concat(F.lit("appendix:"), F.col("number")).alias("target"), "at", "said")
-    return each.join(kinds, ["doc_id", "kind", "number"]).select("doc_id", "src", F.col("id").alias("target"), "at", "said").unionByName(appendix)
+    spans = texts.select("doc_id", "src", F.explode(match_spans(F.col("raw"), SOUGHT)).alias("s")).select("doc_id", "src", "s.at", F.col("s.match").alias("said"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in SOUGHT_KINDS.items() for x in pair]), F.substring("said", 1, 1))
+    number = F.when(kind == "appendix", F.expr("right(said, 1)")).otherwise(F.regexp_extract("said", r"\d+", 0))
+    each = spans.withColumn("kind", kind).withColumn("number", number)
+    target = F.when(F.col("kind") == "appendix", F.concat(F.lit("appendix:"), F.col("number"))).otherwise(F.col("id"))
+    known = kinds.filter("kind <> 'appendix'").select("doc_id", "kind", "number", "id")
+    return each.join(known, ["doc_id", "kind", "number"], "left").select("doc_id", "src", target.alias("target"), "at", "said").filter("target is not null")
 
 
 def listed_targets(texts: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -188,10 +211,16 @@ def listed_targets(texts: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def title_mentions(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """(doc_id, src, target, at, said): other sections named by their title, of six characters or more, and the word section; an equality join by document, then a test of each title."""
+    """(doc_id, src, target, at, said): other sections named by their title, of six characters or more, and the word section; an equality join by document, then a test of each title.
+
+    Only titles that stand in a text, whatever the case of A to Z, are sought by their pattern, and only in texts with the word section behind white space."""
+    lower = lambda c: F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
+    said = texts.filter(F.col("raw").rlike(r"\s[sS](?i:ection)\b")).withColumn("low", lower(F.col("raw")))
     titles = heads.withColumn("title", F.trim("title")).filter(F.length("title") >= 6)
+    titles = titles.groupBy("doc_id").agg(F.collect_list(F.struct("sec", "title", lower(F.col("title")).alias("low"))).alias("titles"))
+    held = F.filter("titles", lambda t: (t["sec"] != F.col("src")) & F.contains(F.col("low"), t["low"]))
+    pairs = said.join(titles, "doc_id").select("doc_id", "src", "raw", F.explode(held).alias("t")).select("doc_id", "src", "raw", "t.sec", "t.title")
     pattern = F.concat(F.lit("(?i)\\b(?:the\\s+)?[“\"']?\\Q"), F.col("title"), F.lit("\\E[”\"']?\\s+section\\b"))
-    pairs = texts.join(titles, "doc_id").filter(F.col("src") != F.col("sec")).filter(F.rlike("raw", pattern))
     return pairs.select("doc_id", "src", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("target"), F.explode(match_spans(F.col("raw"), pattern)).alias("s")).select("doc_id", "src", "target", "s.at", F.col("s.match").alias("said"))
 
 
@@ -207,17 +236,31 @@ def labelled_references(texts: DataFrame, known: DataFrame, back: DataFrame) ->
 
 def appendix_labels(papers: DataFrame) -> DataFrame:
     """(doc_id, alias): labels that stand behind the beginning of the appendix."""
-    behind = F.get(F.split(without_comments(F.col("tex")), r"\\appendix\b", 2), F.lit(1))
-    return papers.select("doc_id", F.explode(F.regexp_extract_all(behind, F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias")).distinct()
+    return plain_appendix_labels(uncommented(papers))
+
+
+def plain_appendix_labels(papers: DataFrame) -> DataFrame:
+    """appendix_labels of papers without comments; only what stands behind the first mention is searched for its beginning."""
+    behind = F.expr(r"substring(tex, locate(r'\appendix', tex), length(tex))")
+    behind = F.get(F.split(behind, r"\\appendix\b", 2), F.lit(1))
+    held = papers.filter(F.col("tex").contains("\\appendix"))
+    return held.select("doc_id", F.explode(F.regexp_extract_all(behind, F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias")).distinct()
 
 
 def pointers(papers: DataFrame, found: DataFrame, things: DataFrame) -> DataFrame:
-    """(doc_id, src, target, via, at, pos): references by label, by printed number and by title; what resolves nowhere is left out.
+    """(doc_id, src, target, via, at, pos) of papers, their sections and objects: references by label, by printed number and by title; what resolves nowhere is left out.
 
     `at` is the character of the section's source where a reference begins, and pos numbers the pointers of a section in this order; at one place, sections come last and others by their name."""
+    if "at" not in things.columns:
+        things = placed_objects(found)
+    return plain_pointers(appendix_labels(papers), found, things)
+
+
+def plain_pointers(back: DataFrame, found: DataFrame, things: DataFrame) -> DataFrame:
+    """pointers of sections and their placed objects, with the labels of the appendix; objects are read more than once."""
     known = things.filter("alias <> ''").select("doc_id", "alias", "id").distinct()
     texts = found.select("doc_id", F.col("sec").alias("src"), "raw")
-    labelled = labelled_references(texts, known, appendix_labels(papers)).withColumn("via", F.lit("ref"))
+    labelled = labelled_references(texts, known, back).withColumn("via", F.lit("ref"))
     printed = printed_references(texts, object_numbers(found, things)).withColumn("via", F.lit("number"))
     named = title_mentions(texts, found.filter("kind = 'body'").select("doc_id", "sec", "title")).withColumn("via", F.lit("name"))
     every = labelled.unionByName(printed).unionByName(named)
