@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from vellum.functions import matches
-from vellum.operators import measures
+from vellum.operators import measures, terms
 from vellum.sources import latex
 
 TEXTS = ["", "no match", "a1b22c333", "1", "11", "é1ß22𝄞3", "1 1 1 1 1 " * 40, None, "x" * 5000 + "7", "7" + "x" * 5000, "".join(f"a{i}" for i in range(3000))]
@@ -90,3 +90,10 @@ def test_titles_are_tested_where_they_stand(spark):
     heads = spark.createDataFrame([(1, 3, "Results x"), (1, 4, "MethÖd one")], "doc_id long, sec int, title string")
     found = latex.title_mentions(texts, heads)
     assert {(r.src, r.target) for r in found.collect()} == {(1, "sec:3"), (1, "sec:4")}
+
+
+def test_definitions_read_sentences_once(spark):
+    sents = spark.createDataFrame([(1, 0, 0, "SRE is high."), (1, 0, 1, "The Self-Recall Error (SRE) denotes it."), (1, 1, 0, "A data-driven way."), (1, 2, 0, None)], "doc_id long, sec int, sent int, text string")
+    found = terms.term_definitions(sents)
+    assert {(r.term, r.n, r.def_sent, r.how, r.verdict) for r in found.collect()} == {("SRE", 2, 1, "expansion", "late")}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
