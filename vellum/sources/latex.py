@@ -166,14 +166,21 @@ def objects(found: DataFrame) -> DataFrame:
 
 def placed_objects(found: DataFrame) -> DataFrame:
     """objects with `at`, the character of the section's source, from 1, where the label of a figure or the like first stands; null for sections."""
-    heads = found.filter("kind = 'body'").select("doc_id", F.concat(F.lit("sec:"), F.col("sec").cast("string")).alias("id"), F.lit("section").alias("kind"), F.col("sec").alias("home"), F.regexp_extract("raw", r"^\s*\\label\{([^}]*)\}", 1).alias("alias"), F.col("title").alias("caption"), F.lit(None).cast("int").alias("at"))
     names = "|".join(ENVIRONMENTS)
     block = rf"(?s)\\begin\{{(?:{names})\*?\}}.*?\\end\{{(?:{names})\*?\}}"
-    env = found.filter(F.col("raw").contains("\\begin{")).select("doc_id", F.col("sec").alias("home"), "raw", F.explode(F.regexp_extract_all("raw", F.lit(block), F.lit(0))).alias("e"))
     kinds = F.create_map(*[F.lit(x) for pair in ENVIRONMENTS.items() for x in pair])
-    place = F.instr(F.col("raw"), F.concat(F.lit("\\label{"), F.col("alias"), F.lit("}")))
-    env = env.select("doc_id", "home", "raw", F.element_at(kinds, F.regexp_extract("e", r"^\\begin\{([a-z]+)", 1)).alias("kind"), F.regexp_extract("e", r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", 1).alias("caption"), F.explode(F.regexp_extract_all("e", F.lit(r"\\label\{([^}]*)\}"), F.lit(1))).alias("alias"))
-    return heads.unionByName(env.select("doc_id", F.col("alias").alias("id"), "kind", "home", "alias", "caption", place.alias("at")))
+    thing = lambda id, kind, alias, caption, at: F.struct(id.alias("id"), kind.alias("kind"), F.col("sec").alias("home"), alias.alias("alias"), caption.alias("caption"), at.alias("at"))
+    head = thing(F.concat(F.lit("sec:"), F.col("sec").cast("string")), F.lit("section"), F.regexp_extract("raw", r"^\s*\\label\{([^}]*)\}", 1), F.col("title"), F.lit(None).cast("int"))
+
+    def labelled(e: Column) -> Column:
+        kind, caption = F.element_at(kinds, F.regexp_extract(e, r"^\\begin\{([a-z]+)", 1)), F.regexp_extract(e, r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", 1)
+        place = lambda alias: F.instr(F.col("raw"), F.concat(F.lit("\\label{"), alias, F.lit("}")))
+        aliases = F.regexp_extract_all(e, F.lit(r"\\label\{([^}]*)\}"), F.lit(1))
+        return bound(F.struct(kind.alias("kind"), caption.alias("caption")), lambda k: F.transform(aliases, lambda a: thing(a, k["kind"], a, k["caption"], place(a))))
+
+    heads = F.filter(F.array(head), lambda _: F.col("kind") == "body")
+    env = F.flatten(F.transform(F.regexp_extract_all("raw", F.lit(block), F.lit(0)), labelled))
+    return found.select("doc_id", F.explode(F.concat(heads, env)).alias("o")).select("doc_id", "o.*")
 
 
 def object_numbers(found: DataFrame, things: DataFrame) -> DataFrame:
