@@ -276,9 +276,13 @@ def plain_pointers(back: DataFrame, found: DataFrame, things: DataFrame) -> Data
 
 
 def numeric(cell: Column) -> Column:
-    """True for a cell that holds a number, whatever its formula marks, brackets, unit or spread."""
-    bare = F.regexp_replace(F.regexp_replace(cell, r"\\(?:textbf|textit|mathbf|underline|emph)\b|[{}$]|\[math\]", ""), r"\\pm", "±")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\\([%&#_])", "$1"), r"\s+", " ")).rlike(NUMERIC_CELL)
+    """True for a cell that holds a number, whatever its formula marks, brackets, unit or spread. A cell without a digit holds none, and one of digits, stops and blanks is read as it stands."""
+
+    def bare(cell: Column) -> Column:
+        plain = F.replace(F.regexp_replace(cell, r"\\(?:textbf|textit|mathbf|underline|emph)\b|[{}$]|\[math\]", ""), F.lit("\\pm"), F.lit("±"))
+        return F.regexp_replace(F.regexp_replace(plain, r"\\([%&#_])", "$1"), r"\s+", " ")
+
+    return bound(cell, lambda c: c.rlike("[0-9]") & F.trim(where(c, lambda t: t.rlike("[^0-9. ]|  "), bare)).rlike(NUMERIC_CELL))
 
 
 def tables(found: DataFrame) -> DataFrame:
