@@ -146,7 +146,7 @@ def prose(raw: Column) -> Column:
     t = F.regexp_replace(t, r"\\(?:label\{[^}]*\}|(?:begin|end)\{[^}]*\}|(?:vspace|hspace)\*?\{[^}]*\})", " ")
     t = F.regexp_replace(t, r"\\([%&#_$])", "$1")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+\*?\s?", "")
-    return F.translate(F.replace(F.replace(t, F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"')), "{}~", "  " + " ")
+    return F.regexp_replace(F.replace(F.replace(t, F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"')), "[{}~]", " ")
 
 
 def sentences(found: DataFrame) -> DataFrame:
@@ -312,6 +312,14 @@ def acknowledged(sents: DataFrame) -> DataFrame:
     return sents.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("text").rlike(ACKNOWLEDGED_GAP), F.lit(False))).alias("acknowledged"))
 
 
+def acknowledged_in(found: DataFrame) -> DataFrame:
+    """acknowledged of the papers' sections, each paper with a row: only prose in which the words of a gap stand together, across sentences or not, is cut into sentences."""
+    loose = ACKNOWLEDGED_GAP.replace(" ", r"\s+")
+    said = lambda text: F.exists(split_sentences(text), lambda s: F.regexp_replace(s, "⟦c:[^⟧]*⟧", "[cite]").rlike(ACKNOWLEDGED_GAP))
+    gaps = bound(prose(F.col("raw")), lambda t: F.when(t.rlike(loose), said(t)).otherwise(F.lit(False)))
+    return found.select("doc_id", gaps.alias("gap")).groupBy("doc_id").agg(F.bool_or(F.coalesce("gap", F.lit(False))).alias("acknowledged"))
+
+
 def work_names(bib: DataFrame) -> DataFrame:
     """(doc_id, cite_key, name) of bibliographies (doc_id, bib): a title's head of one to three words with an inner capital, and the first author's name with et al."""
     entries = bib.select("doc_id", F.explode(F.split("bib", r"(?m)^(?=@)")).alias("e")).filter(F.col("e").rlike(r"^@\w+\s*\{"))
