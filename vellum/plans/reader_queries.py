@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import answers
 from vellum.plans.paper_queries import Over
-from vellum.plans.paper_tables import INPUTS, LINES, one_of
+from vellum.plans.paper_tables import INPUTS, LINES, ONE_PASS, one_of
 from vellum.sources import files, reports
 from vellum.storage import folder
 
@@ -35,22 +35,33 @@ INPUTS |= {
     "sheet_rows": f"SELECT o_orderkey AS id, {one_of('o_orderkey', 'click', 'purchase', 'view')} AS kind, concat('2024-01-', 10 + o_orderkey % 18) AS at, concat('k', o_custkey) AS key, concat('Sheet, \"', o_custkey, '\"') AS name, CAST(1000 + o_orderkey % 9000 AS STRING) AS value FROM orders",
     "answer_rows": f"""SELECT event_id, {one_of('event_id', *'0123456')} AS form, concat('{{"b": ', user_id, ', "a": {{"z": "x {{y}}", "k": ', event_id % 90, '}}}}') AS json FROM events""",
 }
+ONE_PASS["job_findings"] = f"""SELECT o AS doc_id, {one_of('n - 1', *_KEYS)} AS key, nth, {one_of('(p + nth)', 'A "quoted" text, with a comma', 'Plain text', '')} AS text, CASE WHEN s % 3 > 0 THEN concat('why ', q) END AS why,
+        CASE WHEN d % 2 = 0 THEN concat('§', n, ' Part') END AS section, CAST(s % 4 AS INT) AS page, CAST((s + q) % 3 AS INT) AS page2, CAST(q AS DOUBLE) AS x FROM {LINES} LATERAL VIEW explode(array(0, 1)) AS nth WHERE n <= 6 AND p % 3 > nth"""
 
 
-def _jobs(heads: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
-    """Reports written as lines of JSON and read again; those to be broken lose their end."""
-    spark = heads.sparkSession
+def _reports(heads: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
+    """(value): reports as lines of JSON; those to be broken lose their end."""
     pages = F.transform(F.array("page", "page2"), lambda p: F.struct(p.alias("p"), F.array(F.array("x", "x", F.col("x") + 1, F.col("x") + 2)).alias("r")))
     instance = F.struct("nth", "text", "why", F.col("section").alias("section_title"), F.when(F.col("page") < 3, pages).alias("pdf"))
-    instances = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(instance), lambda a, b: a["nth"] - b["nth"]).alias("instances"))
-    measure = F.struct("key", "plane", "status", "score", "num", "den", F.array(F.concat("status", F.lit(", noted")), F.lit("second note")).alias("notes"), "instances")
-    measures = measured.join(instances, ["doc_id", "key"], "left").groupBy("doc_id").agg(F.collect_list(measure).alias("measures"))
+    # Measures and findings meet by report, within the row: a join by report and measure would shuffle both again.
+    instances = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", instance.alias("i"))).alias("found"))
+    listed = measured.groupBy("doc_id").agg(F.collect_list(F.struct("key", "plane", "status", "score", "num", "den")).alias("listed"))
+    of = lambda m: F.transform(F.filter("found", lambda f: f["key"] == m["key"]), lambda f: f["i"])
+    ordered = lambda m: F.array_sort(of(m), lambda a, b: a["nth"] - b["nth"])
+    held = lambda m: F.when(F.exists("found", lambda f: f["key"] == m["key"]), ordered(m)).alias("instances")
+    measure = lambda m: F.struct(*(m[c].alias(c) for c in ("key", "plane", "status", "score", "num", "den")), F.array(F.concat(m["status"], F.lit(", noted")), F.lit("second note")).alias("notes"), held(m))
+    measures = listed.join(instances, "doc_id", "left").select("doc_id", F.transform("listed", measure).alias("measures"))
     document = F.struct("title", "url", "route")
     result = F.struct(F.struct(F.col("idx").alias("index"), "partial").alias("index"), document.alias("document"), "measures")
     report = F.to_json(F.struct("key", "status", "label", "created", "gallery", F.col("given").alias("source_label"), result.alias("result")))
-    written = heads.join(measures, "doc_id").select(F.when(F.col("broken"), F.substring(report, F.lit(1), F.length(report) - 5)).otherwise(report).alias("value"))
+    return heads.join(measures, "doc_id").select(F.when(F.col("broken"), F.substring(report, F.lit(1), F.length(report) - 5)).otherwise(report).alias("value"))
+
+
+def _jobs(heads: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
+    """Reports written as compressed lines and read again."""
+    spark = heads.sparkSession
     path = folder(spark, "jobs")
-    written.write.text(path)
+    _reports(heads, measured, found).write.option("compression", "gzip").text(path)
     return reports.read_reports(spark, path, lines=True)
 
 
