@@ -49,12 +49,18 @@ def named_keys(text: Column) -> Column:
     return F.filter(F.transform(F.concat(grouped, textual), F.lower), lambda k: k != "")
 
 
+#: Any of the printed references: none holds another's first word, so that one pass finds what a pass for each kind would. Their kinds by the first letters.
+PRINTED_LIST = r"\b(?:" + "|".join(p.removeprefix(r"\b") for p in (*LISTED.values(), LETTERED)) + ")"
+FIRST_LETTERS = {"S": "section", "§": "section", "F": "figure", "T": "table", "Al": "algorithm", "E": "equation", "Ap": "appendix"}
+
+
 def listed_references(text: Column) -> Column:
-    """(kind, number) structs of printed references, those of appendices with letters; a range stands for its two ends."""
+    """(kind, number) structs of printed references in order, those of appendices with letters; a range stands for its two ends."""
 
-    def of(kind: str, pattern: str) -> Column:
-        numbers = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda g: F.regexp_extract_all(g, F.lit(r"\d+(?:\.\d+)*"), F.lit(0))))
-        return F.transform(numbers, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
+    def numbered(match: Column) -> Column:
+        kind = F.coalesce(*(F.when(match.startswith(begin), kind) for begin, kind in FIRST_LETTERS.items()))
+        digits = F.regexp_extract_all(match, F.lit(r"\d+(?:\.\d+)*"), F.lit(0))
+        numbers = F.when(match.startswith("Ap"), F.array(F.regexp_extract(match, LETTERED, 1))).otherwise(digits)
+        return F.transform(numbers, lambda n: F.struct(kind.alias("kind"), n.alias("number")))
 
-    lettered = F.transform(F.regexp_extract_all(text, F.lit(LETTERED), F.lit(1)), lambda n: F.struct(F.lit("appendix").alias("kind"), n.alias("number")))
-    return F.concat(*(of(k, p) for k, p in LISTED.items()), lettered)
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PRINTED_LIST), F.lit(0)), numbered))

@@ -209,12 +209,18 @@ def printed_references(texts: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def listed_targets(texts: DataFrame, kinds: DataFrame) -> DataFrame:
     """(doc_id, src, kind, number, target) of texts (doc_id, src, raw): printed references with lists of numbers that stand for an object of kinds (doc_id, kind, number, id), a subsection without one for its section, and lettered appendices."""
-    each = texts.select("doc_id", "src", F.explode(listed_references(F.col("raw"))).alias("r")).select("doc_id", "src", "r.*")
-    whole = F.when(F.col("kind") == "section", F.substring_index("number", ".", 1))
-    known = kinds.select("doc_id", "kind", "number", "id")
-    found = each.withColumn("whole", whole).join(known, ["doc_id", "kind", "number"], "left").join(known.select("doc_id", "kind", F.col("number").alias("whole"), F.col("id").alias("parent")), ["doc_id", "kind", "whole"], "left")
-    target = F.when(F.col("kind") == "appendix", F.concat(F.lit("appendix:"), F.col("number"))).otherwise(F.coalesce("id", "parent"))
-    return found.select("doc_id", "src", "kind", "number", target.alias("target")).filter("target is not null")
+    # The objects of a document come to its texts as one map, so that texts and objects dealt by document are not shuffled by kind and number, once for each join.
+    key = lambda kind, number: F.concat(kind, F.lit(" "), number)
+    pairs = kinds.filter("kind is not null and number is not null and id is not null").groupBy("doc_id").agg(F.collect_list(F.struct(key(F.col("kind"), F.col("number")).alias("key"), "id")).alias("pairs"))
+    keys = F.array_distinct("pairs.key")
+    several = F.transform(keys, lambda k: F.transform(F.filter("pairs", lambda p: p["key"] == k), lambda p: p["id"]))
+    single = F.transform("pairs.id", lambda i: F.array(i))
+    known = pairs.select("doc_id", F.map_from_arrays(keys, F.when(F.size(keys) == F.size("pairs"), single).otherwise(several)).alias("known"))
+    each = texts.join(known, "doc_id", "left").select("doc_id", "src", "known", F.explode(listed_references(F.col("raw"))).alias("r"))
+    kind, number = F.col("r.kind"), F.col("r.number")
+    whole = F.when(kind == "section", F.element_at("known", key(kind, F.substring_index(number, ".", 1))))
+    target = F.when(kind == "appendix", F.array(F.concat(F.lit("appendix:"), number))).otherwise(F.coalesce(F.element_at("known", key(kind, number)), whole))
+    return each.select("doc_id", "src", kind.alias("kind"), number.alias("number"), F.explode(target).alias("target"))
 
 
 def title_mentions(texts: DataFrame, heads: DataFrame) -> DataFrame:
