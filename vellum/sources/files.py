@@ -103,14 +103,19 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def main_score(path: Column, text: Column) -> Column:
+    """How much a file without comments looks like a paper's main LaTeX file: most inputs, sections and length, usual names first; null for one that can't be."""
+    count = lambda rx: F.size(F.regexp_extract_all(text, F.lit(rx), F.lit(0)))
+    usual = F.lower(F.regexp_extract(path, "[^/]*$", 0)).isin("main.tex", "paper.tex", "ms.tex")
+    score = count(r"\\input") + count(r"\\section") + F.length(text) / 5000 + F.when(usual, 5).otherwise(0)
+    return F.when(F.lower(path).endswith(".tex") & text.contains("\\documentclass") & text.contains("\\begin{document}"), score)
+
+
 def main_tex(members: DataFrame) -> DataFrame:
-    """(archive, path, text) of each archive's main LaTeX file, without comments: most inputs, sections and length, usual names first."""
+    """(archive, path, text) of each archive's main LaTeX file, the one of the best score, without comments."""
     tex = members.filter(F.lower("path").endswith(".tex")).withColumn("text", without_comments(decoded(F.col("content"))))
-    tex = tex.filter(F.col("text").contains("\\documentclass") & F.col("text").contains("\\begin{document}"))
-    count = lambda rx: F.size(F.regexp_extract_all("text", F.lit(rx), F.lit(0)))
-    usual = F.lower(F.regexp_extract("path", "[^/]*$", 0)).isin("main.tex", "paper.tex", "ms.tex")
-    score = count(r"\\input") + count(r"\\section") + F.length("text") / 5000 + F.when(usual, 5).otherwise(0)
-    return tex.groupBy("archive").agg(F.max_by(F.struct("path", "text"), F.struct(score, "path")).alias("m")).select("archive", "m.*")
+    scored = tex.select("archive", "path", "text", main_score(F.col("path"), F.col("text")).alias("score")).filter("score is not null")
+    return scored.groupBy("archive").agg(F.max_by(F.struct("path", "text"), F.struct("score", "path")).alias("m")).select("archive", "m.*")
 
 
 def largest_pdf(members: DataFrame) -> DataFrame:

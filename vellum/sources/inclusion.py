@@ -1,80 +1,93 @@
 """Files that include each other: which are reached, in which order, and their text as one.
 
-Inclusion is followed for all archives at once by joining mentions to files until nothing changes. A file is taken once,
-where reading from the beginning meets it first. Its place is the list of the numbers of the mentions that lead to it, and
-the first place of all is the least list, so each round takes, for every file, the least place that its mentions in the
-files of the round before give it; a place that leads through the file itself is none. Rounds read only files' names and
-places; the texts are cut and joined at the end."""
+A file is taken once, where reading from the beginning meets it first. Its place is the list of the numbers of the mentions
+that lead to it, by which the pieces of all texts are put in order. The names that an archive's files mention are one row, so
+mentions are followed within it, without a join for each step; the texts are cut and joined at the end."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.sources.files import decoded, main_tex
+from vellum.sources.files import decoded, main_score
 from vellum.sources.latex import without_comments
-from vellum.storage import kept, small_side
+from vellum.storage import kept
 
 # Commands that include a file, and how deep inclusion is followed.
 INCLUDE = r"\\(?:input|include|subfile)\s*\{([^}]*)\}|\\input\s+([^\s{}\\]+)"
 DEPTH = 15
 
 
-def normal_path(path: Column) -> Column:
-    """A path without empty, `.` and `..` parts; null where it leads out of its root."""
+def normal_path(path: str) -> str | None:
+    """A path without empty, `.` and `..` parts; None where it leads out of its root."""
+    parts: list[str] = []
+    for part in path.split("/"):
+        if part == "..":
+            if not parts:
+                return None
+            parts.pop()
+        elif part not in ("", "."):
+            parts.append(part)
+    return "/".join(parts)
 
-    def step(parts: Column, part: Column) -> Column:
-        up = F.when(F.size(parts) > 0, F.slice(parts, F.lit(1), F.size(parts) - 1))
-        return F.when(part.isin("", "."), parts).when(part == "..", up).otherwise(F.concat(parts, F.array(part)))
 
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+def mentioned_names(text: Column) -> Column:
+    """The names in the commands of a text that include a file, in order."""
+    name = lambda m: F.trim(F.trim(F.concat(F.regexp_extract(m, INCLUDE, 1), F.regexp_extract(m, INCLUDE, 2))), F.lit('"'))
+    return F.transform(F.regexp_extract_all(text, F.lit(INCLUDE), F.lit(0)), name)
 
 
-def mentioned_files(members: DataFrame) -> DataFrame:
-    """(archive, path, nth, file) of members (archive, path, text): the file that the n-th command to include one stands for, from 1.
+def _included(paths: list[str], names: list[list[str]], main: str, depth: int) -> Iterator[tuple[str, list[int]]]:
+    """The files of an archive that are reached from the main one, with their places.
 
     A name is looked for from the archive's root, then from the folder of the file that mentions it, with the ending .tex and without; a folder that holds everything counts as the root."""
-    first = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1))
-    roots = members.groupBy("archive").agg(F.when(F.count("*") == F.count(first), F.when(F.min(first) == F.max(first), F.min(first))).alias("top"))
-    found = F.regexp_extract_all("text", F.lit(INCLUDE), F.lit(0))
-    name = F.trim(F.trim(F.concat(F.regexp_extract("m", INCLUDE, 1), F.regexp_extract("m", INCLUDE, 2))), F.lit('"'))
-    said = members.select("archive", "path", F.posexplode(found).alias("i", "m")).select("archive", "path", (F.col("i") + 1).alias("nth"), name.alias("name")).join(roots, "archive")
-    ending = F.when(F.col("name").endswith(".tex"), F.col("name")).otherwise(F.concat("name", F.lit(".tex")))
-    base, folder = F.coalesce("top", F.lit("")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    tries = F.array(*(F.concat(b, F.lit("/"), n) for b in (base, folder) for n in (ending, F.col("name"))))
-    each = said.select("archive", "path", "nth", F.posexplode(tries).alias("tier", "try")).withColumn("file", normal_path(F.col("try")))
-    known = members.select("archive", F.col("path").alias("file"))
-    return each.join(known, ["archive", "file"]).groupBy("archive", "path", "nth").agg(F.min_by("file", "tier").alias("file"))
-
-
-def inclusion_order(mains: DataFrame, mentions: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(archive, path, place) of every file that is included, from mains (archive, path) and mentions (archive, path, nth, file).
-
-    place: the numbers of the mentions that lead to it, doubled and less one; empty for the main file."""
-    mentions = kept(mentions.select("archive", "path", "nth", "file"), "mentions")
-    start = kept(mains.select("archive", "path", F.array().cast("array<int>").alias("place"), F.array("path").alias("through")), "places")
-    places = start
-    for _ in range(2 * depth + 3):  # a place is final after as many rounds as it is long, and what it led to before as many rounds later
-        ahead = mentions.join(small_side(places), ["archive", "path"]).filter(F.size("place") <= depth).filter(~F.array_contains("through", F.col("file")))
-        ahead = ahead.select("archive", F.col("file").alias("path"), F.concat("place", F.array((2 * F.col("nth") - 1).cast("int"))).alias("place"), F.concat("through", F.array("file")).alias("through"))
-        every = start.unionByName(ahead).groupBy("archive", "path").agg(F.min(F.struct("place", "through")).alias("p")).select("archive", "path", "p.*")
-        before, places = places, kept(every, "places")
-        same = before.select("archive", "path", "place").join(small_side(places).select("archive", "path", "place"), ["archive", "path", "place"])
-        n = places.count()
-        if n == before.count() and n == same.count():
-            break
-    return small_side(places).select("archive", "path", "place")
+    said = dict(zip(paths, names, strict=True))
+    tops = {p.partition("/")[0] if "/" in p else None for p in paths}
+    top = next(iter(tops)) or "" if len(tops) == 1 else ""
+    seen, ahead = set(), [(main, [])]
+    while ahead:
+        path, place = ahead.pop()
+        if path in seen:
+            continue
+        seen.add(path)
+        yield path, place
+        if len(place) > depth:
+            continue
+        folder, after = path.rpartition("/")[0], []
+        for nth, name in enumerate(said[path]):
+            tries = (normal_path(f"{base}/{x}") for base in (top, folder) for x in (name if name.endswith(".tex") else name + ".tex", name))
+            file = next((t for t in tries if t in said), None)
+            if file is not None:
+                after.append((file, [*place, 2 * nth + 1]))
+        ahead += reversed(after)
+
+
+def inclusion_order(files: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(archive, main, order) of files (archive, path, names, score): the main file, the one of the best score, and (path, place) structs of it and all that it includes; archives without a scored file are left out.
+
+    place: the numbers of the mentions that lead to a file, doubled and less one; empty for the main file."""
+    order = F.udf(lambda paths, names, main: list(_included(paths, names, main, depth)), "array<struct<path:string,place:array<int>>>")
+    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", "path")))["path"]
+    whole = files.groupBy("archive").agg(best.alias("main"), F.collect_list(F.struct("path", "names")).alias("files")).filter("main is not null")
+    return whole.select("archive", "main", order(F.col("files.path"), F.col("files.names"), "main").alias("order"))
 
 
 def spliced(members: DataFrame, order: DataFrame) -> DataFrame:
-    """(archive, text, n_files): the text of each archive's main file with the included ones in their places, a line of their own; commands that include nothing are left out."""
-    texts = members.join(order, ["archive", "path"]).select("archive", "place", F.split("text", INCLUDE, -1).alias("pieces"))
-    rows = texts.select("archive", "place", F.size("pieces").alias("n"), F.posexplode("pieces").alias("i", "piece"))
-    inner = F.size("place") > 0
-    piece = F.concat(F.when(inner & (F.col("i") == 0), "\n").otherwise(""), "piece", F.when(inner & (F.col("i") == F.col("n") - 1), "\n").otherwise(""))
-    at = F.concat("place", F.array((2 * F.col("i")).cast("int")))
-    parts = rows.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), piece.alias("piece")))).alias("parts"), F.count_if(F.col("i") == 0).alias("n_files"))
-    return parts.select("archive", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"), "n_files")
+    """(archive, path, text, n_files): the text of each archive's main file with the included ones in their places, a line of their own; commands that include nothing are left out.
+
+    order (archive, main, order) comes to the members (archive, path, text) by archive alone, so that members dealt by archive are not shuffled."""
+    own = F.filter("order", lambda o: o["path"] == F.col("path"))
+    texts = members.join(order, "archive").select("archive", "main", "text", F.explode(own).alias("o")).select("archive", "main", "o.place", F.split("text", INCLUDE, -1).alias("pieces"))
+    inner, last = F.size("place") > 0, F.size("pieces") - 1
+
+    def cut(piece: Column, i: Column) -> Column:
+        text = F.concat(F.when(inner & (i == 0), "\n").otherwise(""), piece, F.when(inner & (i == last), "\n").otherwise(""))
+        return F.struct(F.concat("place", F.array((2 * i).cast("int"))).alias("at"), text.alias("piece"))
+
+    parts = texts.select("archive", "main", F.transform("pieces", cut).alias("parts")).groupBy("archive").agg(F.first("main").alias("path"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"), F.count("*").alias("n_files"))
+    return parts.select("archive", "path", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"), "n_files")
 
 
 def tex_members(members: DataFrame) -> DataFrame:
@@ -85,9 +98,8 @@ def tex_members(members: DataFrame) -> DataFrame:
 def expanded_papers(members: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(archive, path, text, n_files) of unpacked members: each archive's main LaTeX file with all that it includes."""
     texts = tex_members(members)
-    mains = main_tex(members).select("archive", "path")
-    joined = spliced(texts, inclusion_order(mains, mentioned_files(texts), depth))
-    return mains.join(joined, "archive")
+    named = texts.filter("path is not null").select("archive", "path", mentioned_names(F.col("text")).alias("names"), main_score(F.col("path"), F.col("text")).alias("score"))
+    return spliced(texts, inclusion_order(named, depth))
 
 
 def reached(starts: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
